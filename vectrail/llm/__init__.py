@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = (
     "quality",
     "mixing",
+    "pii",
 )
 
 
