@@ -12,6 +12,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = (
+    "simhash",
     "quality",
     "mixing",
     "pii",
