@@ -16,6 +16,7 @@ MODULES = (
     "quality",
     "mixing",
     "pii",
+    "lm_score",
 )
 
 
