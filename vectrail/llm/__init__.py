@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = (
     "simhash",
+    "decontaminate",
     "quality",
+    "html_text",
     "mixing",
     "pii",
+    "toxicity",
     "lm_score",
 )
 
