@@ -14,7 +14,7 @@ import zstandard
 class WordHashes(dict):
     """XXH64 of words, kept for words that come again; the memory it may take is bounded."""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __init__(self, seed: int = 0) -> None:
         super().__init__()
