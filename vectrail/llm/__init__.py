@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = (
     "simhash",
+    "suffix_dedup",
     "substring_dedup",
     "decontaminate",
     "quality",
