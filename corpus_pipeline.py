@@ -1,10 +1,14 @@
-"""A training-corpus pipeline over ``documents``; its stages are filled in as operators land."""
+"""A training-corpus pipeline over ``documents``: filter, deduplicate, decontaminate, redact, mix.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept;
+its result is written to the shared folder and read again as the next one's input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectrail.llm import mixing, quality
+from vectrail.llm import decontaminate, mixing, pii, quality, simhash
 from vectrail.llm.common import materialize, table
 
 
@@ -13,21 +17,43 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_quality(docs, table(spark, sf_dir, "labels"))
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
+    return simhash.drop_near_copies(docs, words_per_shingle=5, similarity=0.8)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind."""
+    return pii.redact(docs)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with the words taken of each."""
+    """Documents that the mix takes, with ``taken``, the words it takes of each."""
     return mixing.mix(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("source_mix", source_mix)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("pii_redaction", pii_redaction),
+    ("source_mix", source_mix),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over ``documents``; each result is written and read again."""
+    """All stages in turn over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Quality cutoffs come from exact binomial bounds, which SQL can't express.
+#: Quality cutoffs come from exact binomial bounds and redaction from a trained classifier,
+#: which SQL can't express; tests hold the stages against brute force.
 ORACLE_SQL = None
