@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and ORACLES.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("plans.retrieval",)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
