@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ def doubles(v: Column | str) -> Column:
     return (F.col(v) if isinstance(v, str) else v).cast("array<double>")
 
 
+def bind(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once, also where ``then`` uses it in a lambda."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     """Dot product, summed from left to right in double precision."""
     return F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -23,14 +30,14 @@ def norm(v: Column | str) -> Column:
 
 def l2_normalize(v: Column | str, policy: str = "floor") -> Column:
     """Unit vector; tiny norms count as 1e-12 (floor), leave the vector (passthrough) or fail (error)."""
-    d, n = doubles(v), norm(v)
-    scaled = lambda by: F.transform(d, lambda x: x / by)
+    d = doubles(v)
+    scaled = lambda least: bind(F.greatest(norm(v), F.lit(least)), lambda n: F.transform(d, lambda x: x / n))
     if policy == "floor":
-        return scaled(F.greatest(n, F.lit(1e-12)))
+        return scaled(1e-12)
     if policy == "passthrough":
-        return F.when(n <= 1.1920929e-07, d).otherwise(scaled(n))
+        return F.when(norm(v) <= 1.1920929e-07, d).otherwise(scaled(0.0))
     if policy == "error":
-        return F.when(n <= 1e-12, F.raise_error(F.lit("zero vector")).cast("array<double>")).otherwise(scaled(n))
+        return F.when(norm(v) <= 1e-12, F.raise_error(F.lit("zero vector")).cast("array<double>")).otherwise(scaled(0.0))
     raise ValueError(f"unknown policy {policy}")
 
 
@@ -45,7 +52,7 @@ def weighted_concat(a: Column | str, b: Column | str, weight: float) -> Column:
     """Two encoders' vectors as one: each normalised, scaled by the root of its share, joined, normalised."""
     left = F.transform(l2_normalize(a), lambda x: x * F.sqrt(F.lit(weight)))
     right = F.transform(l2_normalize(b), lambda x: x * F.sqrt(F.lit(1.0 - weight)))
-    return l2_normalize(F.concat(left, right))
+    return bind(F.concat(left, right), l2_normalize)
 
 
 def blend(score: Column, local: Column, alpha: float) -> Column:

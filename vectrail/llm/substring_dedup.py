@@ -6,12 +6,12 @@ stands for. A window is sketched through its anchor, a run of ``ANCHOR`` of its
 all equal windows choose alike (winnowing); a window occurs at most as often as its anchor,
 so the estimate of the anchor is an overestimate of the window's count, and anchors are a
 seventh as many as windows. Second pass: only windows whose estimate is two or more are
-grouped, by 128 bits of hash, exactly; a window that occurs twice has an anchor that occurs
+grouped, by 104 bits of hash, exactly; a window that occurs twice has an anchor that occurs
 twice and is never lost.
 
-Grouping is safe for windows that occur everywhere: a task first keeps only the first
-occurrence of each window among its own documents and marks the others, so a window
-reaches its reducer once per batch at most, and reducers stream over sorted rows.
+A batch of documents keeps the first occurrence of each window among its own and marks the
+others, so a window that is everywhere reaches the task of its hash range once per batch;
+what it sends is packed, one row per range.
 """
 
 from __future__ import annotations
@@ -20,19 +20,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectrail.llm.common import row_key, table, text_bytes
-from vectrail.llm.packing import WordHashes, mix
+from vectrail.llm.packing import WordHashes, mix, pack, unpack
 from vectrail.llm.repeats import Finder, ordinals, repeated_anchors
 from vectrail.llm.winnow import anchors, rolling
 
 #: Words of a window and of its anchor.
 WINDOW, ANCHOR = 20, 8
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
-DOCS = 500
+#: Documents of a batch; characters of text that a hash range stands for, and ranges at least.
+DOCS, RANGE_CHARS, LEAST_RANGES = 2000, 16 << 20, 12
 
 
 def _anchored(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,94 +48,118 @@ def anchor_finder() -> Finder:
     return lambda text: _anchored(cache.array(text.split()))[0]
 
 
-def _firsts(columns: list[np.ndarray]) -> np.ndarray:
-    """Of rows sorted by (h, g, ...): whether a row is the first of its (h, g)."""
-    h, g = columns[:2]
-    return np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])))
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Of sorted rows: whether a row differs from the one before."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return out
+
 
+ROWS = pa.schema([("range", pa.int32()), ("docs", pa.binary()), ("data", pa.binary()), ("key", pa.int64()), ("at", pa.binary())])
 
-SPAN = "key long, start int, end int"
 
+def _removed(keys: np.ndarray, pos: np.ndarray) -> list[tuple]:
+    """Rows of window starts to remove by document."""
+    by = np.lexsort((pos, keys))
+    keys, pos = keys[by], pos[by]
+    first = np.flatnonzero(_new(keys)) if len(keys) else np.zeros(0, np.int64)
+    return [(-1, None, None, int(keys[i]), p.astype("<i4").tobytes()) for i, p in zip(first, np.split(pos, first[1:]), strict=True)] if len(first) else []
 
-def _spans(key: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    """Runs of consecutive positions of a document as one row each."""
-    by = np.lexsort((pos, key))
-    key, pos = key[by], pos[by]
-    new = np.concatenate(([True], (key[1:] != key[:-1]) | (pos[1:] > pos[:-1] + WINDOW))) if len(key) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(key)) - 1 if len(first) else first
-    return pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(pos[first].astype(np.int32)), pa.array((pos[last] + WINDOW).astype(np.int32))], names=["key", "start", "end"])
 
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(ROWS)], schema=ROWS)
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(key, start, end) word spans of ``docs`` (doc_id, key, text) covered by later occurrences.
 
-    Order of occurrences: doc_id, null last, then position. Rows of one key are one
-    document; of different texts under one id, that with the smaller key comes first.
+def _candidates(batch: pa.RecordBatch, cache: WordHashes, ranges: int) -> pa.RecordBatch:
+    """Packed first occurrences of a batch's likely windows by hash range, and its later ones.
+
+    ``docs`` holds (id is null, id, key) of the documents that the packed rows name.
+    """
+    about = np.stack([batch.column(0).is_null().to_numpy(zero_copy_only=False).astype(np.int64), batch.column(0).fill_null(0).to_numpy(), batch.column(1).to_numpy()])
+    parts = []
+    for i, (text, flagged) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+        words = cache.array(text.split())
+        h, _, owned = _anchored(words)
+        may = np.zeros(len(h), bool)
+        may[ordinals(flagged)] = True
+        pos = np.flatnonzero(np.repeat(may, owned))  # owned runs lie one after the other
+        if len(pos):
+            a = mix(rolling(words, WINDOW, BASES[1])[pos], 5)
+            b = mix(rolling(mix(words, 7), WINDOW, BASES[2])[pos], 6) >> np.uint64(24)
+            parts.append((a, b, np.full(len(pos), i), pos))
+    if not parts:
+        return _table([])
+    h, g, doc, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort(about[::-1])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(_new(*about[:, order])) - 1  # equal documents have one rank
+    by = np.lexsort((pos, rank[doc], g, h))
+    h, g, doc, pos = h[by], g[by], doc[by], pos[by]
+    first, place = _new(h, g), _new(h, g, rank[doc], pos)
+    later = place & ~first
+    rows = _removed(about[2][doc[later]], pos[later])
+    h, g, doc, pos = h[first], g[first], doc[first], pos[first]
+    cuts = np.searchsorted((h >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24), np.arange(ranges + 1))
+    for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if a < b:
+            own, local = np.unique(doc[a:b], return_inverse=True)
+            rows.append((r, about[:, own].astype("<i8").tobytes(), pack(h[a:b], g[a:b], local, pos[a:b]), None, None))
+    return _table(rows)
+
+
+def _resolved(_: tuple[pa.Scalar, ...], stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Window starts to remove: all occurrences in a hash range but the first of each window."""
+    about, columns, n, done = [], [], 0, []
+    for batch in stream:
+        for docs, data, key, at in zip(*[batch.column(c).to_pylist() for c in ("docs", "data", "key", "at")], strict=True):
+            if data is None:
+                done.append((key, at))
+                continue
+            h, g, doc, pos = unpack(data)
+            about.append(np.frombuffer(docs, "<i8").reshape(3, -1))
+            columns.append((h, g, doc.astype(np.int32) + n, pos.astype(np.int32)))
+            n += about[-1].shape[1]
+    if columns:
+        null, ids, keys = np.concatenate(about, axis=1)
+        order = np.lexsort((keys, ids, null))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.cumsum(_new(null[order], ids[order], keys[order])) - 1
+        h, g, doc, pos = (np.concatenate(c) for c in zip(*columns, strict=True))
+        columns.clear()
+        by = np.lexsort((pos, rank[doc], g, h))
+        h, g, doc, pos = h[by], g[by], doc[by], pos[by]
+        # a document that stands in several batches is at the same place in each
+        first = _new(h, g)
+        start = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+        same = (rank[doc] == rank[doc[start]]) & (pos == pos[start])
+        done += [(r[3], r[4]) for r in _removed(keys[doc[~same]], pos[~same])]
+    for i in range(0, len(done), 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done[i : i + 10_000]], pa.int64()), pa.array([x[1] for x in done[i : i + 10_000]], pa.binary())], names=["key", "at"])
+
+
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """(key, at): starts of windows of ``docs`` (doc_id, key, text) that also start earlier.
+
+    ``at`` is an array of pieces, little-endian 32-bit word positions each. Order of
+    occurrences: doc_id, null last, then position. Rows of one key are one document; of
+    different texts under one id, that with the smaller key comes first.
     """
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    ranges = max(LEAST_RANGES, -(-size // RANGE_CHARS))
     likely = repeated_anchors(docs, anchor_finder).withColumnRenamed("key", "_key")
-    docs = docs.join(likely, F.col("key") == F.col("_key")).select("doc_id", "key", "text", "flagged")
+    # the columns of `docs` stay as they are: its exchange is used again to cut the texts
+    d = docs.join(likely, F.col("key") == F.col("_key")).select("doc_id", "key", "text", "flagged")
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emit(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for whole in batches:
+        for whole in stream:
             for batch in (whole.slice(i, DOCS) for i in range(0, whole.num_rows, DOCS)):
-                yield candidates(batch, cache)
-
-    def candidates(batch: pa.RecordBatch, cache: WordHashes) -> pa.RecordBatch:
-        ids, absent = batch.column(0).fill_null(2**63 - 1).to_numpy(), batch.column(0).is_null().to_numpy(zero_copy_only=False)
-        keys, parts = batch.column(1).to_numpy(), []
-        for i, (text, flagged) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-            words = cache.array(text.split())
-            h, _, owned = _anchored(words)
-            may = np.zeros(len(h), bool)
-            may[ordinals(flagged)] = True
-            pos = np.flatnonzero(np.repeat(may, owned))  # owned runs lie one after the other
-            if len(pos):
-                a = mix(rolling(words, WINDOW, BASES[1])[pos], 5)
-                b = mix(rolling(mix(words, 7), WINDOW, BASES[2])[pos], 6)
-                parts.append((a.view(np.int64), b.view(np.int64), np.full(len(pos), absent[i], np.int8), np.full(len(pos), ids[i]), np.full(len(pos), keys[i]), pos))
-        if not parts:
-            return pa.RecordBatch.from_pylist([], schema=EMITTED)
-        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-        by = np.lexsort(columns[::-1])
-        columns = [c[by] for c in columns]
-        new = _firsts(columns)
-        # a later occurrence in this batch that isn't the same place again
-        same = np.zeros(len(new), bool)
-        same[1:] = np.all([c[1:] == c[:-1] for c in columns[2:]], axis=0)
-        spans = _spans(columns[4][~new & ~same], columns[5][~new & ~same])
-        h, g, null, ids, keys, pos = (c[new] for c in columns)
-        n, m = len(h), spans.num_rows
-        blank = pa.nulls(m, pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.concat_arrays([pa.array(h), blank]), pa.concat_arrays([pa.array(g), blank]), pa.concat_arrays([pa.array(null), pa.nulls(m, pa.int8())]),
-                pa.concat_arrays([pa.array(ids), blank]), pa.concat_arrays([pa.array(keys), spans.column(0)]),
-                pa.concat_arrays([pa.array(pos.astype(np.int32)), spans.column(1)]), pa.concat_arrays([pa.nulls(n, pa.int32()), spans.column(2)]),
-            ],
-            schema=EMITTED,
-        )
-
-    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = (None, None)
-        for batch in batches:
-            done = batch.filter(pc.is_valid(batch.column("end")))
-            yield pa.RecordBatch.from_arrays([done.column(c) for c in ("key", "start", "end")], names=["key", "start", "end"])
-            batch = batch.filter(pc.is_null(batch.column("end")))
-            if batch.num_rows:
-                h, g = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                new = _firsts([h, g])
-                new[0] = (h[0], g[0]) != last
-                last = (h[-1], g[-1])
-                yield _spans(batch.column(4).to_numpy()[~new], batch.column(5).to_numpy()[~new].astype(np.int64))
-
-    rows = docs.mapInArrow(emit, "h long, g long, absent tinyint, id long, key long, start int, end int")
-    rows = rows.repartition(F.coalesce("h", "key")).sortWithinPartitions("h", "g", "absent", "id", "key", "start")
-    return rows.mapInArrow(later, SPAN)
-
+                yield _candidates(batch, cache, ranges)
 
-EMITTED = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("absent", pa.int8()), ("id", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+    rows = d.mapInArrow(emit, "range int, docs binary, data binary, key long, at binary")
+    by = F.when(F.col("range") >= 0, F.col("range")).otherwise(F.pmod("key", F.lit(ranges)).cast("int"))
+    found = rows.withColumn("by", by).groupBy("by").applyInArrow(_resolved, "key long, at binary")
+    return found.groupBy("key").agg(F.collect_list("at").alias("at"))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, column: str = "spans") -> DataFrame:
@@ -164,17 +188,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of each document; ``kept`` is the text that is left.
 
     Null texts have no words. Rows that repeat id and text are one document and get the
-    same result. Very long texts are spread over as many rows as they have windows.
+    same result.
     """
     d = docs.select("doc_id", row_key().alias("key"), text_bytes().alias("text"))
-    d = with_spans(d, repeated_spans(d)).select("doc_id", "text", "spans")
+    found = repeated_windows(d).withColumnRenamed("key", "_key")
+    d = d.join(found, F.col("key") == F.col("_key"), "left").select("doc_id", "text", "at")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words, at, kept = text.split(), 0, []
-                for a, b in union(spans):
+                for a, b in union([{"start": p, "end": p + WINDOW} for p in ordinals(found or []).tolist()]):
                     kept += words[at:a]
                     at = b
                 kept += words[at:]

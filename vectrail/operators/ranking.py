@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectrail.functions.vectors import doubles, dot
+from vectrail.functions.vectors import doubles, dot, l2_normalize
 
 #: Query vectors that are broadcast at once.
 BLOCK = 4096
@@ -95,7 +95,7 @@ def tokens(rows: DataFrame, size: int = 4) -> DataFrame:
     d = rows.select("pos", doubles("embedding").alias("v"))
     starts = F.sequence(F.lit(0), F.floor(F.size("v") / size).cast("int") - 1)
     d = d.select("pos", "v", F.explode(starts).alias("token")).select("pos", "token", F.slice("v", F.col("token") * size + 1, F.lit(size)).alias("t"))
-    return d.withColumn("t", F.transform("t", lambda x: x / F.greatest(F.sqrt(dot("t", "t")), F.lit(1e-12))))
+    return d.withColumn("t", l2_normalize("t"))
 
 
 def patch_matches(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
