@@ -52,7 +52,7 @@ def weighted_concat(a: Column | str, b: Column | str, weight: float) -> Column:
     """Two encoders' vectors as one: each normalised, scaled by the root of its share, joined, normalised."""
     left = F.transform(l2_normalize(a), lambda x: x * F.sqrt(F.lit(weight)))
     right = F.transform(l2_normalize(b), lambda x: x * F.sqrt(F.lit(1.0 - weight)))
-    return bind(F.concat(left, right), l2_normalize)
+    return bind(F.concat(left, right), lambda v: l2_normalize(v))
 
 
 def blend(score: Column, local: Column, alpha: float) -> Column:
