@@ -12,11 +12,13 @@ once, so an anchor that is everywhere costs its range one entry per batch.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectrail.llm.packing import mix, pack, unpack
@@ -30,11 +32,64 @@ BATCH = 2000
 Finder = Callable[[bytes], np.ndarray]
 
 
-def _flagged(keys: np.ndarray, doc: np.ndarray, ordinal: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """Ordinals by document as bytes; doc is sorted."""
-    first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
-    parts = np.split(ordinal.astype("<i4"), first[1:])
-    return keys[doc[first]].tolist(), [p.tobytes() for p in parts] if len(first) else []
+#: Places in documents on their way back: ``keys`` names the documents of a packed row.
+MARKS = "batch long, keys binary, data binary"
+
+
+def marks(batch: int, keys: np.ndarray, doc: np.ndarray, at: np.ndarray) -> list[tuple[int, bytes, bytes]]:
+    """At most one packed row: places ``at`` in the documents ``doc`` (indices of ``keys``)."""
+    if not len(doc):
+        return []
+    by = np.lexsort((at, doc))
+    own, local = np.unique(doc[by], return_inverse=True)
+    return [(batch, keys[own].astype("<i8").tobytes(), pack(local, at[by]))]
+
+
+def batch_ids() -> Iterator[int]:
+    """Numbers that no other batch of the stage has."""
+    return itertools.count(TaskContext.get().partitionId() << 32)
+
+
+def mark_rows(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["batch", "keys", "data"])
+
+
+def packed_rows(batch: pa.RecordBatch, keep: np.ndarray) -> list[tuple[int, bytes, bytes]]:
+    """(batch, keys, data) of some rows."""
+    part = batch.filter(pa.array(keep))
+    return list(zip(*[part.column(c).to_pylist() for c in ("batch", "keys", "data")], strict=True))
+
+
+def range_or_batch(ranges: int) -> Column:
+    """The task of a row: that of its hash range, or one by batch for finished marks (-1)."""
+    return F.when(F.col("range") >= 0, F.col("range")).otherwise(F.pmod("batch", F.lit(ranges)).cast("int")).alias("by")
+
+
+def _by_key(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document of a batch."""
+    keys, places = [], []
+    for part in stream:
+        for names, data in zip(part.column("keys").to_pylist(), part.column("data").to_pylist(), strict=True):
+            local, at = unpack(data)
+            keys.append(np.frombuffer(names, "<i8")[local.astype(np.int64)])
+            places.append(at.astype("<i4"))
+    key, at = np.concatenate(keys), np.concatenate(places)
+    by = np.argsort(key, kind="stable")
+    key, at = key[by], at[by]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array([p.tobytes() for p in np.split(at, first[1:])], pa.binary())], names=["key", "at"])
+
+
+def by_document(packed: DataFrame, column: str) -> DataFrame:
+    """(key, ``column``) of packed rows (MARKS): per document an array of pieces.
+
+    A piece holds little-endian 32-bit places. Rows go back to the batch that they came
+    from before they are unpacked, so there are as many rows as documents and not one for
+    each document and hash range.
+    """
+    found = packed.select("batch", "keys", "data").groupBy("batch").applyInArrow(_by_key, "key long, at binary")
+    return found.groupBy("key").agg(F.collect_list("at").alias(column))
 
 
 def repeated_anchors(docs: DataFrame, finder: Callable[[], Finder]) -> DataFrame:
@@ -47,12 +102,12 @@ def repeated_anchors(docs: DataFrame, finder: Callable[[], Finder]) -> DataFrame
     ranges = max(LEAST_RANGES, -(-size // RANGE_CHARS))
 
     def sketch(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = finder()
+        find, ids = finder(), batch_ids()
         for whole in stream:
-            for batch in (whole.slice(i, BATCH) for i in range(0, whole.num_rows, BATCH)):
-                yield piece_of(batch, find)
+            for i in range(0, whole.num_rows, BATCH):
+                yield piece_of(whole.slice(i, BATCH), next(ids), find)
 
-    def piece_of(batch: pa.RecordBatch, find: Finder) -> pa.RecordBatch:
+    def piece_of(batch: pa.RecordBatch, number: int, find: Finder) -> pa.RecordBatch:
         keys = batch.column(0).to_numpy()
         parts = [find(t) for t in batch.column(1).to_pylist()]
         n = np.array([len(p) for p in parts], np.int64)
@@ -64,8 +119,7 @@ def repeated_anchors(docs: DataFrame, finder: Callable[[], Finder]) -> DataFrame
         h, doc, ordinal = h[once], doc[once], ordinal[once]
         _, back, times = np.unique(h, return_inverse=True, return_counts=True)
         often = times[back] > 1
-        k, f = _flagged(keys, doc[often], ordinal[often])
-        rows = [(-1, None, None, a, b) for a, b in zip(k, f, strict=True)]
+        rows = [(-1, *row) for row in marks(number, keys, doc[often], ordinal[often])]
         first = np.zeros(len(h), bool)
         first[np.unique(h, return_index=True)[1]] = True
         at = (h >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)
@@ -77,25 +131,21 @@ def repeated_anchors(docs: DataFrame, finder: Callable[[], Finder]) -> DataFrame
                 i = by[a:b]
                 own, local = np.unique(doc[i], return_inverse=True)
                 data = pack(local, h[i] & np.uint64((1 << 48) - 1), ordinal[i] * 2 + often[i])
-                rows.append((r, keys[own].astype("<i8").tobytes(), data, None, None))
-        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], t) for c, t in enumerate(kinds)], names=["range", "keys", "data", "key", "flagged"])
+                rows.append((r, number, keys[own].astype("<i8").tobytes(), data))
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], t) for c, t in enumerate(kinds)], names=["range", "batch", "keys", "data"])
 
     def merge(_: tuple[pa.Scalar, ...], stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, parts = [], []
+        parts = []
         for batch in stream:
-            for keys, data, key, flagged in zip(*[batch.column(c).to_pylist() for c in ("keys", "data", "key", "flagged")], strict=True):
-                if data is None:
-                    known.append((key, flagged))
-                else:
-                    parts.append((keys, data))
-        for i in range(0, len(known), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in known[i : i + 10_000]], pa.int64()), pa.array([x[1] for x in known[i : i + 10_000]], pa.binary())], names=["key", "flagged"])
-        entries = sum(len(unpack(d)[0]) for _, d in parts)
+            own = batch.column("range").to_numpy() < 0
+            yield mark_rows(packed_rows(batch, own))
+            parts += packed_rows(batch, ~own)
+        entries = sum(len(unpack(d)[0]) for _, _, d in parts)
         cells = 1 << max(10, (CELLS * entries).bit_length())
         total = np.zeros((ROWS, cells), np.uint8)
         place = lambda h, row: (mix(h, 30 + row) >> np.uint64(8)) & np.uint64(cells - 1)
-        for _, data in parts:
+        for _, _, data in parts:
             _, h, about = unpack(data)
             for row in range(ROWS):
                 own = np.zeros(cells, np.uint8) if len(h) * 16 > cells else None
@@ -107,17 +157,13 @@ def repeated_anchors(docs: DataFrame, finder: Callable[[], Finder]) -> DataFrame
                 else:
                     own += np.minimum(np.bincount(c.astype(np.int64), weight, cells), 2).astype(np.uint8)
                     total[row] = np.minimum(total[row] + own, 2)
-        for keys, data in parts:
+        for number, keys, data in parts:
             doc, h, about = unpack(data)
             likely = np.all([total[row, place(h, row)] >= 2 for row in range(ROWS)], axis=0) & (about & np.uint64(1) == 0)
-            k, f = _flagged(np.frombuffer(keys, "<i8"), doc[likely].astype(np.int64), (about[likely] >> np.uint64(1)).astype(np.int64))
-            if k:
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(f, pa.binary())], names=["key", "flagged"])
-
-    rows = docs.select("key", "text").mapInArrow(sketch, "range int, keys binary, data binary, key long, flagged binary")
-    by = F.when(F.col("range") >= 0, F.col("range")).otherwise(F.pmod("key", F.lit(ranges)).cast("int"))
-    found = rows.withColumn("by", by).groupBy("by").applyInArrow(merge, "key long, flagged binary")
-    return found.groupBy("key").agg(F.collect_list("flagged").alias("flagged"))
+            yield mark_rows(marks(number, np.frombuffer(keys, "<i8"), doc[likely].astype(np.int64), (about[likely] >> np.uint64(1)).astype(np.int64)))
+
+    rows = docs.select("key", "text").mapInArrow(sketch, f"range int, {MARKS}")
+    return by_document(rows.groupBy(range_or_batch(ranges)).applyInArrow(merge, MARKS), "flagged")
 
 
 def ordinals(flagged: list[bytes]) -> np.ndarray:

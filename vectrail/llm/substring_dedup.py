@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from vectrail.llm.common import row_key, table, text_bytes
 from vectrail.llm.packing import WordHashes, mix, pack, unpack
-from vectrail.llm.repeats import Finder, ordinals, repeated_anchors
+from vectrail.llm.repeats import MARKS, Finder, batch_ids, by_document, mark_rows, marks, ordinals, packed_rows, range_or_batch, repeated_anchors
 from vectrail.llm.winnow import anchors, rolling
 
 #: Words of a window and of its anchor.
@@ -55,25 +55,18 @@ def _new(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-ROWS = pa.schema([("range", pa.int32()), ("docs", pa.binary()), ("data", pa.binary()), ("key", pa.int64()), ("at", pa.binary())])
-
-
-def _removed(keys: np.ndarray, pos: np.ndarray) -> list[tuple]:
-    """Rows of window starts to remove by document."""
-    by = np.lexsort((pos, keys))
-    keys, pos = keys[by], pos[by]
-    first = np.flatnonzero(_new(keys)) if len(keys) else np.zeros(0, np.int64)
-    return [(-1, None, None, int(keys[i]), p.astype("<i4").tobytes()) for i, p in zip(first, np.split(pos, first[1:]), strict=True)] if len(first) else []
+ROWS = pa.schema([("range", pa.int32()), ("batch", pa.int64()), ("keys", pa.binary()), ("data", pa.binary())])
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(ROWS)], schema=ROWS)
 
 
-def _candidates(batch: pa.RecordBatch, cache: WordHashes, ranges: int) -> pa.RecordBatch:
+def _candidates(batch: pa.RecordBatch, number: int, cache: WordHashes, ranges: int) -> pa.RecordBatch:
     """Packed first occurrences of a batch's likely windows by hash range, and its later ones.
 
-    ``docs`` holds (id is null, id, key) of the documents that the packed rows name.
+    The later ones are marks, under no range (-1). For ranges, ``keys`` holds (id is null,
+    id, key) of the documents that the packed rows name.
     """
     about = np.stack([batch.column(0).is_null().to_numpy(zero_copy_only=False).astype(np.int64), batch.column(0).fill_null(0).to_numpy(), batch.column(1).to_numpy()])
     parts = []
@@ -97,44 +90,48 @@ def _candidates(batch: pa.RecordBatch, cache: WordHashes, ranges: int) -> pa.Rec
     h, g, doc, pos = h[by], g[by], doc[by], pos[by]
     first, place = _new(h, g), _new(h, g, rank[doc], pos)
     later = place & ~first
-    rows = _removed(about[2][doc[later]], pos[later])
+    rows = [(-1, *row) for row in marks(number, about[2], doc[later], pos[later])]
     h, g, doc, pos = h[first], g[first], doc[first], pos[first]
     cuts = np.searchsorted((h >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24), np.arange(ranges + 1))
     for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         if a < b:
             own, local = np.unique(doc[a:b], return_inverse=True)
-            rows.append((r, about[:, own].astype("<i8").tobytes(), pack(h[a:b], g[a:b], local, pos[a:b]), None, None))
+            rows.append((r, number, about[:, own].astype("<i8").tobytes(), pack(h[a:b], g[a:b], local, pos[a:b])))
     return _table(rows)
 
 
 def _resolved(_: tuple[pa.Scalar, ...], stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Window starts to remove: all occurrences in a hash range but the first of each window."""
-    about, columns, n, done = [], [], 0, []
+    numbers, about, columns, starts = [], [], [], [0]
     for batch in stream:
-        for docs, data, key, at in zip(*[batch.column(c).to_pylist() for c in ("docs", "data", "key", "at")], strict=True):
-            if data is None:
-                done.append((key, at))
-                continue
+        own = batch.column("range").to_numpy() < 0
+        yield mark_rows(packed_rows(batch, own))
+        for number, docs, data in packed_rows(batch, ~own):
             h, g, doc, pos = unpack(data)
+            numbers.append(number)
             about.append(np.frombuffer(docs, "<i8").reshape(3, -1))
-            columns.append((h, g, doc.astype(np.int32) + n, pos.astype(np.int32)))
-            n += about[-1].shape[1]
-    if columns:
-        null, ids, keys = np.concatenate(about, axis=1)
-        order = np.lexsort((keys, ids, null))
-        rank = np.empty(len(order), np.int32)
-        rank[order] = np.cumsum(_new(null[order], ids[order], keys[order])) - 1
-        h, g, doc, pos = (np.concatenate(c) for c in zip(*columns, strict=True))
-        columns.clear()
-        by = np.lexsort((pos, rank[doc], g, h))
-        h, g, doc, pos = h[by], g[by], doc[by], pos[by]
-        # a document that stands in several batches is at the same place in each
-        first = _new(h, g)
-        start = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-        same = (rank[doc] == rank[doc[start]]) & (pos == pos[start])
-        done += [(r[3], r[4]) for r in _removed(keys[doc[~same]], pos[~same])]
-    for i in range(0, len(done), 10_000):
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done[i : i + 10_000]], pa.int64()), pa.array([x[1] for x in done[i : i + 10_000]], pa.binary())], names=["key", "at"])
+            columns.append((h, g, doc.astype(np.int32) + starts[-1], pos.astype(np.int32)))
+            starts.append(starts[-1] + about[-1].shape[1])
+    if not columns:
+        return
+    null, ids, keys = np.concatenate(about, axis=1)
+    order = np.lexsort((keys, ids, null))
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.cumsum(_new(null[order], ids[order], keys[order])) - 1
+    h, g, doc, pos = (np.concatenate(c) for c in zip(*columns, strict=True))
+    columns.clear()
+    by = np.lexsort((pos, rank[doc], g, h))
+    h, g, doc, pos = h[by], g[by], doc[by], pos[by]
+    # a document that stands in several batches is at the same place in each
+    first = _new(h, g)
+    start = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+    later = (rank[doc] != rank[doc[start]]) | (pos != pos[start])
+    doc, pos = doc[later], pos[later]
+    by = np.argsort(doc, kind="stable")
+    doc, pos = doc[by], pos[by]
+    cuts = np.searchsorted(doc, starts)
+    for number, a, b in zip(numbers, cuts[:-1], cuts[1:], strict=True):
+        yield mark_rows(marks(number, keys, doc[a:b], pos[a:b]))
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -151,15 +148,13 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     d = docs.join(likely, F.col("key") == F.col("_key")).select("doc_id", "key", "text", "flagged")
 
     def emit(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache, ids = WordHashes(), batch_ids()
         for whole in stream:
-            for batch in (whole.slice(i, DOCS) for i in range(0, whole.num_rows, DOCS)):
-                yield _candidates(batch, cache, ranges)
+            for i in range(0, whole.num_rows, DOCS):
+                yield _candidates(whole.slice(i, DOCS), next(ids), cache, ranges)
 
-    rows = d.mapInArrow(emit, "range int, docs binary, data binary, key long, at binary")
-    by = F.when(F.col("range") >= 0, F.col("range")).otherwise(F.pmod("key", F.lit(ranges)).cast("int"))
-    found = rows.withColumn("by", by).groupBy("by").applyInArrow(_resolved, "key long, at binary")
-    return found.groupBy("key").agg(F.collect_list("at").alias("at"))
+    rows = d.mapInArrow(emit, f"range int, {MARKS}")
+    return by_document(rows.groupBy(range_or_batch(ranges)).applyInArrow(_resolved, MARKS), "at")
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, column: str = "spans") -> DataFrame:
