@@ -28,6 +28,8 @@ def difference(df, sql: str, sf_dir: str) -> str:
     con = duckdb.connect()
     for t in TABLES:
         p = Path(sf_dir, f"{t}.parquet")
+        if not p.exists():
+            continue
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{p}{'/*.parquet' if p.is_dir() else ''}'")
     found = con.execute(sql)
     names = [d[0] for d in found.description]
