@@ -118,9 +118,10 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     key, taken = unused("row_key", documents), unused("taken", documents)
     sizes = documents.select("doc_id", "source", words().alias("size"), row_key().alias("_k"))
     plan = schedule(materialize(sizes, "mix-sizes"), weights, share, epochs).where("taken > 0")
-    plan = plan.groupBy("_k", "source").agg(F.max("taken").alias(taken)).withColumnRenamed("source", "_s")
+    other, of = unused("plan_key", documents), unused("plan_source", documents)
+    plan = plan.groupBy(F.col("_k").alias(other), F.col("source").alias(of)).agg(F.max("taken").alias(taken))
     d = documents.withColumn(key, row_key())
-    return d.join(plan, (d[key] == plan["_k"]) & d["source"].eqNullSafe(plan["_s"])).drop(key, "_k", "_s")
+    return d.join(plan, (F.col(key) == F.col(other)) & F.col("source").eqNullSafe(F.col(of))).drop(key, other, of)
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
