@@ -180,8 +180,22 @@ def bucket_links(prints: np.ndarray, sides: np.ndarray | None, radius: int) -> t
     return moved, labels[moved]
 
 
+def _stars(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(member, its group's first) of the groups that the links a - b make among n lanes."""
+    labels = np.arange(n)
+    while True:
+        low, new = np.minimum(labels[a], labels[b]), labels.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == labels).all():
+            moved = np.flatnonzero(labels != np.arange(n))
+            return moved, labels[moved]
+        labels = new
+
+
 def small_links(prints: np.ndarray, runs: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs of many small buckets at once: lane i against lane i + d for each d."""
+    """Stars of many small buckets at once: lane i is held against lane i + d for each d."""
     out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for d in range(1, int(np.bincount(runs).max(initial=1))):
         at = np.flatnonzero(runs[d:] == runs[:-d])
@@ -196,11 +210,11 @@ def small_links(prints: np.ndarray, runs: np.ndarray, radius: int) -> tuple[np.n
         hit = at[np.flatnonzero(np.unpackbits((~counts.beyond()).view(np.uint8))[: len(at)])]
         out_a.append(hit)
         out_b.append(hit + d)
-    return np.concatenate(out_a), np.concatenate(out_b)
+    return _stars(len(prints), np.concatenate(out_a), np.concatenate(out_b))
 
 
 def _link_sorted(batches: Iterator[pa.RecordBatch], width: int, radius: int) -> Iterator[pa.RecordBatch]:
-    """Links of rows sorted by (key, i, j); a bucket may run over several batches."""
+    """Links of rows sorted by (key, i, j, node); a bucket may run over several batches."""
     rest: list[np.ndarray] = []
 
     def solve(key, i, j, side, node, prints, last):
@@ -276,7 +290,8 @@ def links(prints: DataFrame, width: int, radius: int, tables: list[list[int]], b
     rows = rows.join(materialize(hot, "hot-buckets"), F.col("key") == F.col("k"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("own", "o").cast("int").alias("i"), F.greatest("own", "o").cast("int").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side"), *columns)
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    # a star's centre is its smallest node, so that the tables' stars of a group mostly coincide
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     return rows.mapInArrow(lambda b: _link_sorted(b, width, radius), "a long, b long")
 
 
