@@ -62,4 +62,4 @@ def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def located(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sightings with their camera's place; unknown cameras drop out. The registry is a fixed 100 rows."""
-    return sightings(spark, sf_dir).join(F.broadcast(cameras(spark)), "camera_id")
+    return sightings(spark, sf_dir).join(F.broadcast(cameras(spark).withColumnRenamed("kind", "camera_kind")), "camera_id")
