@@ -95,6 +95,16 @@ def test_near_copies_go(spark):
     assert awkward.where("trim(coalesce(text, '')) = ''").count() == 1
 
 
+def test_unrelated_texts_without_own_id_stay(spark):
+    """Null or shared ids don't make one group of distinct texts."""
+    r = np.random.default_rng(6)
+    a, b, c, d = (" ".join(f"v{x}" for x in r.integers(0, 5000, 200)) for _ in range(4))
+    clash = ("en", "web", 1, "k", 1, "s", "t", "kept", 5, "r")
+    data = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, d)]
+    out = simhash.drop_near_copies(rows.frame(spark, [(*x, *clash) for x in data]))
+    assert rows.found(out, "doc_id", "text") == sorted([(None, a), (None, b), (7, c), (7, d)], key=repr)
+
+
 def plain_op2(data):
     texts = {}
     for i, t in data:

@@ -296,16 +296,17 @@ def links(prints: DataFrame, width: int, radius: int, tables: list[list[int]], b
 
 
 def classes(prints: DataFrame, width: int, radius: int, tables: list[list[int]]) -> DataFrame:
-    """(node, component_id) of the distinct fingerprints of ``prints`` (doc_id, node, f0, ...).
+    """(node, root, component_id) of the distinct fingerprints of ``prints`` (doc_id, node, f0, ...).
 
-    component_id is the smallest doc_id reachable over links, its own rows included.
+    component_id is the smallest doc_id reachable over links, its own rows included. Only
+    the root names a component: ids may be null or shared.
     """
     distinct = prints.groupBy("node", *names(width)).agg(F.min("doc_id").alias("low"))
     distinct = materialize(distinct, "fingerprints")
     roots = components(links(distinct, width, radius, tables)).withColumnRenamed("node", "n")
     found = distinct.join(roots, F.col("node") == F.col("n"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     found = materialize(found, "classes")
-    return found.join(found.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "component_id")
+    return found.join(found.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "root", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,9 +335,9 @@ def drop_near_copies(docs: DataFrame, words_per_shingle: int = 5, similarity: fl
     prints = materialize(prints.withColumn("node", F.xxhash64(*names(width))), "doc-fingerprints")
     n = prints.agg(F.approx_count_distinct("node")).first()[0]
     found = classes(prints.drop("_k"), width, radius, sampled_tables(n, width, similarity))
-    chosen = prints.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).where("doc_id <=> component_id")
-    chosen = chosen.groupBy("component_id").agg(F.min("_k").alias("_k"))
-    d = keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["component_id"]) & (keyed[key] == chosen["_k"]), "left_semi")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "_k")).alias("x")
+    chosen = prints.join(found.select(F.col("node").alias("n"), "root"), F.col("node") == F.col("n")).groupBy("root").agg(first).select("x.id", "x._k")
+    d = keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["id"]) & (keyed[key] == chosen["_k"]), "left_semi")
     one = Window.partitionBy("doc_id", key).orderBy(F.lit(0))
     return d.withColumn(place, F.row_number().over(one)).where(F.col(place) == 1).drop(key, place)
 
