@@ -160,6 +160,13 @@ def test_redaction(spark):
     assert pii.redact(docs).columns == docs.columns and pii.redact(rows.frame(spark, [])).count() == 0
 
 
+def test_long_secret_is_one_span(spark):
+    """A secret's span reaches the end of its value, however long."""
+    docs = spark.createDataFrame([("set token=" + "aB3_" * 500 + " end",), ("api_key: " + "x9" * 50_000,)], "text string")
+    got = [[(s["kind"], s["start"], s["end"]) for s in r["s"]] for r in docs.select(pii.candidates(docs["text"]).alias("s")).collect()]
+    assert got == [[("secret", 4, 2010)], [("secret", 0, 100_009)]]
+
+
 def plain_base(data):
     toks = [[*[w.lower() for w in rows.words(t)], b"\n"] for _, t in data]
     held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in data]

@@ -28,7 +28,7 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TEL = r"(?<![0-9+(]|\+[0-9]{1,3}[ .-]{0,2})(?:\([0-9]{3}\)|[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"  # not part of an international one
-SECRET = r"(?i)\b(?:api[_-]?key|access[_-]?key|secret|token|password|passwd)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+=.-]{8,200}"
+SECRET = r"(?i)\b(?:api[_-]?key|access[_-]?key|secret|token|password|passwd)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+=.-]{8,}+"
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "tel", "secret")
