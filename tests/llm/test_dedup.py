@@ -105,6 +105,51 @@ def test_unrelated_texts_without_own_id_stay(spark):
     assert rows.found(out, "doc_id", "text") == sorted([(None, a), (None, b), (7, c), (7, d)], key=repr)
 
 
+def test_near_copies_are_those_by_shingles(spark):
+    """Pairs at 0.6 to 0.9, a chain and repeated lines: rows stay as by brute force on the sets of shingles."""
+    r = np.random.default_rng(8)
+    say = lambda k: [f"v{x}" for x in r.integers(0, 100_000, k)]
+    texts = []
+    for share in np.linspace(0.55, 0.92, 60):  # shared start, own ends
+        n = 200
+        common = round(2 * n * share / (1 + share))
+        start = say(common)
+        texts += [start + say(n - common), start + say(n - common)]
+    start = say(240)
+    texts += [start[20 * i : 20 * i + 160] for i in range(5)]  # each near the next alone
+    line = say(8)
+    texts += [line * 40 + say(150), line * 40 + say(150)]
+    texts = [" ".join(t) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    parent = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent = [parent[j] if x == parent[i] else x for x in parent]
+    want = [min(i for i, x in enumerate(parent) if x == root) for root in set(parent)]
+    clash = ("en", "web", 1, "k", 1, "s", "t", "kept", 5, "r")
+    out = simhash.drop_near_copies(rows.frame(spark, [(i, t, *clash) for i, t in enumerate(texts)]))
+    assert sorted(x["doc_id"] for x in out.collect()) == sorted(want)
+
+
+def test_candidates_in_blocks(spark):
+    """A group of candidates cut into many pairs of blocks has the links of one block."""
+    r = np.random.default_rng(9)
+    bases = r.integers(0, 2**62, (6, 40)).astype(np.uint64)
+    sets = [np.unique(np.concatenate([bases[i % 6][int(r.integers(0, 9)) :], r.integers(0, 2**62, int(r.integers(1, 8))).astype(np.uint64)])) for i in range(60)]
+    df = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "node long, set binary")
+    roots = df.selectExpr("node", "0L AS root")
+    one, many = ({(x["node"], x["root"]) for x in components.components(simhash.verified(roots, df, 0.8, block=n)).collect()} for n in (1000, 7))
+    assert one == many and len(one) > 5 and len({c for _, c in one}) > 1
+
+
+def test_tables_find_pairs_at_the_similarity():
+    """The share of pairs at 0.8 that are candidates is as stated at every size."""
+    for n in (1000, 10**5, 10**6, 3 * 10**7):
+        tables = simhash.sampled_tables(n)
+        assert simhash.found_share(len(tables[0]), len(tables)) >= 0.99
+
+
 def plain_op2(data):
     texts = {}
     for i, t in data:

@@ -15,7 +15,9 @@ Two sets of tables:
   segments, so no link is missed.
 * ``sampled_tables``: for the wide radius that a shingle similarity of 0.8 needs, no exact
   set of tables is small enough; random positions, as many tables as find a pair at that
-  similarity with probability ``RECALL``, and keys that get longer as the corpus grows.
+  similarity with probability ``RECALL`` over the distances that such a pair can have, and
+  keys that get longer as the corpus grows. What these find are candidates: the documents
+  of a group of candidates are held against each other on their shingles (``similar``).
 
 Buckets of over ``BLOCK`` fingerprints are cut into blocks, and pairs of blocks go to
 separate tasks. A bucket returns a star per group of linked fingerprints, never all pairs.
@@ -25,7 +27,7 @@ Copies share one fingerprint, so a group of copies is one node however large it
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -38,27 +40,35 @@ from vectrail.llm.common import materialize, table, text_bytes, unused
 from vectrail.llm.components import components
 
 RADIUS, SEGMENTS, BLOCK = 4, 6, 4096
-#: Of shingle-similar documents: words of a fingerprint, radius over its 64 * WIDE bits
-#: (a similarity of 0.8 differs in 39 of 256 on average, 0.7 in 49, 0.5 in 69), chance that
-#: the tables bring a pair at 0.8 together.
-WIDE, WIDE_RADIUS, RECALL = 4, 48, 0.99
+#: Of shingle-similar documents: words of a fingerprint, radius of candidates over its
+#: 64 * WIDE bits (a similarity of 0.8 differs in 39 of 256 on average, in over 58 once in
+#: 2000 pairs), chance that a pair at 0.8 is within the radius and in one of the buckets.
+WIDE, WIDE_RADIUS, RECALL = 4, 58, 0.99
+#: Shingles of one block of a group of candidates.
+BLOCK_SHINGLES = 1 << 20
 #: Buckets up to this size are compared many at a time.
 SMALL = 48
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: bytes, words_per_shingle: int, width: int = 1) -> np.ndarray:
-    """The fingerprint of a text as ``width`` unsigned 64-bit words; zero without words.
-
-    The first word comes from the shingles' XXH64 with seed 42, further ones from mixing it.
-    """
+def shingles(text: bytes, words_per_shingle: int) -> np.ndarray:
+    """XXH64 with seed 42 of each shingle of a text, repeats included."""
     words = text.lower().split()
     if not words:
-        return np.zeros(width, np.uint64)
+        return np.zeros(0, np.uint64)
     joined, k = b" ".join(words), min(words_per_shingle, len(words))
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - k + 1].tolist()
-    first = np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], np.uint64)
+    return np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(first: np.ndarray, width: int = 1) -> np.ndarray:
+    """The fingerprint of shingles as ``width`` unsigned 64-bit words; zero without shingles.
+
+    The first word comes from the shingles' hashes, further ones from mixing them.
+    """
+    if not len(first):
+        return np.zeros(width, np.uint64)
     h = np.empty((len(first), width), np.uint64)
     h[:, 0] = first
     for j in range(1, width):
@@ -83,7 +93,7 @@ def with_fingerprint(docs: DataFrame, words_per_shingle: int, width: int = 1, ke
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(len(keep)).to_pylist()
-            prints = np.array([fingerprint(x, words_per_shingle, width) for x in texts], np.uint64).reshape(-1, width).view(np.int64)
+            prints = np.array([fingerprint(shingles(x, words_per_shingle), width) for x in texts], np.uint64).reshape(-1, width).view(np.int64)
             arrays = [*batch.columns[: len(keep)], *[pa.array(np.ascontiguousarray(prints[:, j])) for j in range(width)]]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *names(width)])
 
@@ -91,6 +101,25 @@ def with_fingerprint(docs: DataFrame, words_per_shingle: int, width: int = 1, ke
     return docs.select(*keep, text_bytes().alias("_text")).mapInArrow(measure, schema)
 
 
+def with_shingle_set(docs: DataFrame, words_per_shingle: int, width: int, keep: tuple[str, ...], sets: bool = False) -> DataFrame:
+    """The columns ``keep``, a key of the set of shingles (node), and its fingerprint or, with ``sets``, the set."""
+    made = [("set", "binary")] if sets else [(c, "long") for c in names(width)]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.unique(shingles(x, words_per_shingle)) for x in batch.column(len(keep)).to_pylist()]
+            node = pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in own], np.uint64).view(np.int64))
+            if sets:
+                arrays = [pa.array([x.tobytes() for x in own], pa.binary())]
+            else:
+                prints = np.array([fingerprint(x, width) for x in own], np.uint64).reshape(-1, width).view(np.int64)
+                arrays = [pa.array(np.ascontiguousarray(prints[:, j])) for j in range(width)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], node, *arrays], names=[*keep, "node", *[c for c, _ in made]])
+
+    schema = docs.select(*keep, F.lit(None).cast("long").alias("node"), *[F.lit(None).cast(t).alias(c) for c, t in made]).schema
+    return docs.select(*keep, text_bytes().alias("_text")).mapInArrow(measure, schema)
+
+
 def bits_of(prints: np.ndarray) -> np.ndarray:
     """n x 64w array of bits of n x w fingerprints."""
     return np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), -1), axis=1)
@@ -259,18 +288,102 @@ def exact_tables(radius: int = RADIUS, segments: int = SEGMENTS) -> list[list[in
     return [sum(chosen, []) for chosen in combinations(parts, segments - radius)]
 
 
-def sampled_tables(n: int, width: int = WIDE, similarity: float = 0.8, recall: float = RECALL) -> list[list[int]]:
+def found_share(bits: int, count: int, width: int = WIDE, radius: int = WIDE_RADIUS, similarity: float = 0.8) -> float:
+    """Chance that a pair of sets at ``similarity`` is within the radius and agrees on a table.
+
+    The number of differing bits is binomial; a table of random positions is whole with the
+    chance that they all fall on agreeing bits.
+    """
+    n, p = 64 * width, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    share = 0.0
+    for d in range(radius + 1):
+        whole = math.comb(n - d, bits) / math.comb(n, bits)
+        share += math.comb(n, d) * p**d * (1 - p) ** (n - d) * (1 - (1 - whole) ** count)
+    return share
+
+
+def sampled_tables(n: int, width: int = WIDE, similarity: float = 0.8, recall: float = RECALL, radius: int = WIDE_RADIUS) -> list[list[int]]:
     """Random bit positions of as many tables as the recall needs.
 
     Keys have enough bits that n unrelated fingerprints make buckets of a few.
     """
-    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = max(14, math.ceil(math.log2(max(n, 2))) - 2)
-    count = math.ceil(math.log(1 - recall) / math.log1p(-(agree**bits)))
+    if found_share(bits, 1 << 20, width, radius, similarity) < recall:
+        raise ValueError("the radius is too narrow for the recall")
+    count = 1
+    while found_share(bits, count, width, radius, similarity) < recall:
+        count += max(1, count // 50)
     rng = np.random.default_rng(42)
     return [sorted(map(int, rng.choice(64 * width, bits, replace=False))) for _ in range(count)]
 
 
+def similar(sets: list[np.ndarray], sides: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Stars (member, its group's first) of the distinct sets that links of at least ``similarity`` join.
+
+    All pairs are held against each other (sides: those across), but for pairs that are in
+    one group already; so a group of near-copies takes about one comparison a member.
+    """
+    n, size = len(sets), np.array([len(x) for x in sets])
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    codes, labels, mark = np.split(codes, np.cumsum(size)[:-1]), np.arange(n), np.zeros(len(values), bool)
+    left = None if sides is None else np.flatnonzero(sides == 0)
+    for x in range(1, n) if left is None else np.flatnonzero(sides == 1):
+        others = np.arange(x) if left is None else left
+        low, high = np.minimum(size[others], size[x]), np.maximum(size[others], size[x])
+        others = others[(low > 0) & (low >= similarity * high - 1e-6)]
+        mark[codes[x]], step = True, 1
+        while True:
+            others = others[labels[others] != labels[x]]
+            if not len(others):
+                break
+            now = np.sort(np.unique(labels[others], return_index=True)[1])[:step]  # one of each group
+            pick, others = others[now], np.delete(others, now)
+            common = np.add.reduceat(mark[np.concatenate([codes[y] for y in pick])].astype(np.int64), np.cumsum(size[pick]) - size[pick])
+            linked = pick[common / (size[pick] + size[x] - common) >= similarity]
+            if len(linked):
+                _merge(labels, np.append(linked, x))
+            step = min(2 * step, 512)
+        mark[codes[x]] = False
+    moved = np.flatnonzero(labels != np.arange(n))
+    return moved, labels[moved]
+
+
+def _similar_sorted(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links of rows (root, i, j, side, node, set) sorted by (root, i, j); a group may run over several batches."""
+    now, waiting = None, []
+
+    def solve():
+        node = np.array([r[1] for r in waiting], np.int64)
+        sides = None if now[1] == now[2] else np.array([r[0] for r in waiting])
+        a, b = similar([np.frombuffer(r[2], np.uint64) for r in waiting], sides, similarity) if len(waiting) > 1 else ([], [])
+        return pa.RecordBatch.from_arrays([pa.array(node[a] if len(a) else [], pa.int64()), pa.array(node[b] if len(b) else [], pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for root, i, j, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if (root, i, j) != now:
+                if len(waiting) > 1:
+                    yield solve()
+                now, waiting = (root, i, j), []
+            waiting.append(row)
+    if len(waiting) > 1:
+        yield solve()
+
+
+def verified(roots: DataFrame, sets: DataFrame, similarity: float, shingles_per_block: int = BLOCK_SHINGLES, block: int = BLOCK) -> DataFrame:
+    """Star links (a, b) of the nodes of each group of ``roots`` (node, root) whose ``sets`` (node, set) are similar.
+
+    Groups beyond a block are cut into blocks, and pairs of blocks go to separate tasks.
+    """
+    rows = materialize(roots.join(sets, "node"), "candidate-sets")
+    blocks = F.ceil(F.greatest(F.sum(F.length("set")) / (8 * shingles_per_block), F.count("*") / block)).cast("int").alias("blocks")
+    hot = materialize(rows.groupBy(F.col("root").alias("k")).agg(blocks).where("blocks > 1"), "hot-groups")
+    rows = rows.join(hot, F.col("root") == F.col("k"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("root", F.least("own", "o").cast("int").alias("i"), F.greatest("own", "o").cast("int").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side"), "node", "set")
+    rows = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+    return rows.mapInArrow(lambda b: _similar_sorted(b, similarity), "a long, b long")
+
+
 def links(prints: DataFrame, width: int, radius: int, tables: list[list[int]], block: int = BLOCK) -> DataFrame:
     """Star links (a, b) of ``prints`` (distinct; node, f0, ...) that share a bucket."""
     if max(map(len, tables)) > 40:
@@ -295,15 +408,19 @@ def links(prints: DataFrame, width: int, radius: int, tables: list[list[int]], b
     return rows.mapInArrow(lambda b: _link_sorted(b, width, radius), "a long, b long")
 
 
-def classes(prints: DataFrame, width: int, radius: int, tables: list[list[int]]) -> DataFrame:
-    """(node, root, component_id) of the distinct fingerprints of ``prints`` (doc_id, node, f0, ...).
+def classes(prints: DataFrame, width: int, radius: int, tables: list[list[int]], check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(node, root, component_id) of the distinct nodes of ``prints`` (doc_id, node, f0, ...).
 
-    component_id is the smallest doc_id reachable over links, its own rows included. Only
-    the root names a component: ids may be null or shared.
+    With ``check``, links are candidates, and those count that it returns for their groups
+    (node, root). component_id is the smallest doc_id reachable over links, its own rows
+    included. Only the root names a component: ids may be null or shared.
     """
     distinct = prints.groupBy("node", *names(width)).agg(F.min("doc_id").alias("low"))
     distinct = materialize(distinct, "fingerprints")
-    roots = components(links(distinct, width, radius, tables)).withColumnRenamed("node", "n")
+    roots = components(links(distinct, width, radius, tables))
+    if check:
+        roots = components(check(materialize(roots, "candidates")))
+    roots = roots.withColumnRenamed("node", "n")
     found = distinct.join(roots, F.col("node") == F.col("n"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     found = materialize(found, "classes")
     return found.join(found.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "root", "component_id")
@@ -324,17 +441,25 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_near_copies(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, width: int = WIDE, radius: int = WIDE_RADIUS) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest id.
 
-    Documents link when their fingerprints of ``64 * width`` bits over five-word shingles
-    are within the radius that stands for the similarity. Rows that repeat the smallest id
-    of a group stay once. Blank texts are one group. All columns are kept; null ids stay
-    only in groups without other ids.
+    Documents link when the Jaccard similarity of their sets of five-word shingles is at
+    least ``similarity``; a pair right at 0.8 becomes a candidate with probability
+    ``RECALL`` (model of ``found_share``, for sets of more than a few shingles). Rows that
+    repeat the smallest id of a group stay once. Blank texts are one group. All columns are
+    kept; null ids stay only in groups without other ids.
     """
     key, place = unused("node", docs), unused("place", docs)
     keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
-    prints = with_fingerprint(keyed.select("doc_id", "text", F.col(key).alias("_k")), words_per_shingle, width, ("doc_id", "_k"))
-    prints = materialize(prints.withColumn("node", F.xxhash64(*names(width))), "doc-fingerprints")
+    prints = with_shingle_set(keyed.select("doc_id", "text", F.col(key).alias("_k")), words_per_shingle, width, ("doc_id", "_k"))
+    prints = materialize(prints, "doc-fingerprints")
     n = prints.agg(F.approx_count_distinct("node")).first()[0]
-    found = classes(prints.drop("_k"), width, radius, sampled_tables(n, width, similarity))
+
+    def check(roots: DataFrame) -> DataFrame:
+        wanted = materialize(prints.groupBy("node").agg(F.min("_k").alias("_k")).join(roots, "node").select("_k"), "candidate-keys")
+        texts = keyed.select(F.col(key).alias("_k"), "text").join(wanted, "_k").groupBy("_k").agg(F.first("text").alias("text"))
+        sets = with_shingle_set(texts, words_per_shingle, width, ("_k",), sets=True).drop("_k")
+        return verified(roots, sets, similarity)
+
+    found = classes(prints.drop("_k"), width, radius, sampled_tables(n, width, similarity, radius=radius), check)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "_k")).alias("x")
     chosen = prints.join(found.select(F.col("node").alias("n"), "root"), F.col("node") == F.col("n")).groupBy("root").agg(first).select("x.id", "x._k")
     d = keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["id"]) & (keyed[key] == chosen["_k"]), "left_semi")
