@@ -106,6 +106,16 @@ def test_op6(spark, tmp_path):
     assert html_text.op6_html_text(spark, str(tmp_path)).count() == 0
 
 
+def test_split_articles_are_whole():
+    """Linked lines of a marked article stay; elsewhere sections after a link list stay, the list goes."""
+    link, long = "<p><a href=x>Linked {}</a></p>", "A sentence of the text that is long enough to count. " * 4
+    marked = "<article>" + "".join(link.format(i) for i in range(4)) + f"<p>{long}</p>" + link.format(9) + "</article><p>" + long + "</p>"
+    assert html_text.main_text(marked).split("\n") == [*(f"Linked {i}" for i in range(4)), long.strip(), "Linked 9"]
+    links = "".join(link.format(i) for i in range(4))
+    page = f"<div>{links}</div>" + f"<p>{long}</p>" * 20 + links + "<h2>Short</h2><p>lines.</p>" + links + f"<p>Close.</p><p>{long}</p><div>{links}</div>"
+    assert html_text.main_text(page).split("\n") == [*[long.strip()] * 20, "Short", "lines.", "Close.", long.strip()]
+
+
 def test_op7_mix(spark):
     docs = rows.frame(spark)
     out = mixing.mix(docs)

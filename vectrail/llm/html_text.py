@@ -1,10 +1,11 @@
 """Main text of web pages by the distribution of text over blocks of lines.
 
-Markup is stripped to lines, one per block element. Each line has a weight: its text
-length, or nothing if most of it is link text or, on a page that marks its article, if it
-stands outside. Weights are summed over windows of ``SPAN`` lines; where the sum rises over
-``SURGE`` the main text begins (surge point), where it falls back to nothing it ends (dive
-point), and all lines between are kept, short ones too. Elements that never hold main text
+Markup is stripped to lines, one per block element. A page that marks its article keeps
+every line inside it. On other pages each line has a weight: its text length, or nothing if
+most of it is link text. Weights are summed over windows of ``SPAN`` lines; where the sum
+first rises over ``SURGE`` the main text begins (surge point), where it falls back to nothing
+after the last rise it ends (dive point), and all lines between are kept, short ones too, but
+for link blocks, ``SPAN`` or more lines of link text in a row. Elements that never hold main text
 (menus, forms, scripts, page headers and footers, notices, adverts, comments) are cut out
 with the markup.
 """
@@ -21,9 +22,8 @@ from pyspark.sql import functions as F
 
 from vectrail.llm.common import table, text_bytes
 
-#: Lines of a window; window length that begins the text where no article is marked;
-#: share of the heaviest region that another one needs to be kept.
-SPAN, SURGE, SHARE = 3, 80, 0.25
+#: Lines of a window; window length that begins the text where no article is marked.
+SPAN, SURGE = 3, 80
 
 # Elements and their roles.
 RAW = ("script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "title")
@@ -117,28 +117,18 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 def main_text(page: str) -> str:
     """The main text of a page; empty if there is none."""
     lines = lines_of(page)
-    marked = any(inside for _, _, inside in lines)
-    weight = [0 if 2 * linked > len(t) or (marked and not inside) else len(t) for t, linked, inside in lines]
+    if any(inside for _, _, inside in lines):
+        return "\n".join(t for t, _, inside in lines if inside)
+    weight = [0 if 2 * linked > len(t) else len(t) for t, linked, _ in lines]
     sums = [sum(weight[i : i + SPAN]) for i in range(len(weight))]
-    surge = 0 if marked else SURGE
-    regions: list[tuple[int, int]] = []
-    i = 0
-    while i < len(lines):
-        if sums[i] > surge and weight[i]:
-            dive = i
-            while dive < len(lines) and sums[dive] > 0:
-                dive += 1
-            regions.append((i, dive))
-            i = dive
-        else:
-            i += 1
-    if not marked and regions:
-        mass = [sum(weight[a:b]) for a, b in regions]
-        regions = [r for r, m in zip(regions, mass, strict=True) if m >= SHARE * max(mass)]
-    kept = [lines[k][0] for a, b in regions for k in range(a, b) if not marked or lines[k][2]]
-    if not regions and not marked:  # a page of few short lines has no surge
-        kept = [t for (t, _, _), w in zip(lines, weight, strict=True) if w]
-    return "\n".join(kept)
+    surges = [i for i, w in enumerate(weight) if w and sums[i] > SURGE]
+    if not surges:  # a page of few short lines has no surge
+        return "\n".join(t for (t, _, _), w in zip(lines, weight, strict=True) if w)
+    dive = surges[-1]
+    while dive < len(lines) and sums[dive] > 0:
+        dive += 1
+    links = {k for i in range(len(lines) - SPAN + 1) if sums[i] == 0 for k in range(i, i + SPAN)}
+    return "\n".join(lines[k][0] for k in range(surges[0], dive) if k not in links)
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
