@@ -207,6 +207,18 @@ def test_filter_never_underestimates():
     assert (found >= level).all() and (found > level).mean() < 0.05
 
 
+def test_every_bigram_counts(spark):
+    """A bigram seen once in training raises the score; counts are known to a factor of sqrt(2)."""
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    train = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2)
+    docs = spark.createDataFrame([(train, "a b q c q"), (held[0], "a b q"), (held[1], "a c q")], "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in lm_score.score_documents(docs).collect()}
+    assert score[held[0]] > score[held[1]] + 1e-4
+    c = np.arange(1, 5000)
+    ratio = lm_score.expected(lm_score.levels(c)) / c
+    assert ratio.max() < 1.42 and ratio.min() > 1 / 1.42
+
+
 def test_op9(spark, tmp_path):
     """Awkward rows get scores; held-out accuracy on the larger table."""
     where = folder(spark, tmp_path)

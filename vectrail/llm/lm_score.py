@@ -32,11 +32,9 @@ from vectrail.llm.common import materialize, row_key, table, text_bytes
 from vectrail.llm.packing import WordHashes, mix, pack, unpack
 
 #: Log base of the levels, bits per stored key, probes per key, weight of the unigrams.
-LEVEL_BASE, BITS_PER_KEY, PROBES, MU = 2.0, 10, 4, 2000.0
-#: Bigrams seen once in training say little and are most of all; they are not stored.
-MIN_BIGRAM = 2
+LEVEL_BASE, BITS_PER_KEY, PROBES, MU = 2.0**0.5, 12, 4, 2000.0
 #: Bytes of filter that are broadcast at once, of one range's filter segment at most.
-BROADCAST_BYTES = 96 << 20
+BROADCAST_BYTES = 64 << 20
 #: Input characters that one hash range stands for, and ranges at least.
 RANGE_CHARS, LEAST_RANGES = 16 << 20, 12
 #: Documents of a batch.
@@ -195,8 +193,7 @@ def _counted(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Ite
         if waiting > len(counts[0]) // 2 + 500_000:
             counts, more, waiting = _fold(counts, more), [], 0
     h, n = _fold(counts, more)
-    stored = n >= (MIN_BIGRAM if order == BIGRAM else 1)
-    yield _packed([(at, order, None, bloom(h[stored], levels(n[stored])), int(n.sum()), len(h))])
+    yield _packed([(at, order, None, bloom(h, levels(n)), int(n.sum()), len(h))])
     if order == UNIGRAM:
         for b, data in rows:
             yield _packed([(at, SUMS, b, _partial(data, h, np.log10(n + 1.0)), None, None)])
