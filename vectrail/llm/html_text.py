@@ -1,13 +1,20 @@
 """Main text of web pages by the distribution of text over blocks of lines.
 
-Markup is stripped to lines, one per block element. A page that marks its article keeps
-every line inside it. On other pages each line has a weight: its text length, or nothing if
-most of it is link text. Weights are summed over windows of ``SPAN`` lines; where the sum
-first rises over ``SURGE`` the main text begins (surge point), where it falls back to nothing
-after the last rise it ends (dive point), and all lines between are kept, short ones too, but
-for link blocks, ``SPAN`` or more lines of link text in a row. Elements that never hold main text
-(menus, forms, scripts, page headers and footers, notices, adverts, comments) are cut out
-with the markup.
+Markup is stripped to lines, one per block element. Each line has a weight: its text length,
+or nothing if most of it is link text or it stands in an element that never holds main text
+(menus, forms, page headers and footers, sidebars, notices, adverts, reader comments). On
+every page weights are summed over windows of ``SPAN`` lines: where the sum first rises over
+``SURGE`` the main text begins (surge point), where it falls back to nothing after the last
+rise it ends (dive point), and all lines between are kept, short ones too, but for runs of
+``SPAN`` or more lines without weight (link lists). A page's own marks move edges only: an
+``article`` or ``main`` of which lines are kept is kept to its ends, since headlines and
+closing words are short; and where such elements hold half of the weight that is kept or
+more, lines outside them are not the article. A page without a surge keeps its lines of text.
+
+Elements are told by name, role and class. A class is a hint, not proof: layout wrappers have
+such names too, so an element that holds the page's ``main`` or main heading is no chrome,
+forms and page headers neither if they hold most of the text, and names that mean several
+things (``WEAK``) count only where no line is longer than ``SHORT``.
 """
 
 from __future__ import annotations
@@ -15,6 +22,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,113 +30,185 @@ from pyspark.sql import functions as F
 
 from vectrail.llm.common import table, text_bytes
 
-#: Lines of a window; window length that begins the text where no article is marked.
-SPAN, SURGE = 3, 80
+#: Lines of a window; window sum that begins a region; longest line of an element named in WEAK.
+SPAN, SURGE, SHORT = 3, 80, 40
 
 # Elements and their roles.
 RAW = ("script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "title")
-DROPPED = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "figcaption", "canvas", "audio", "video", "head"}
+DROPPED = {"head", "button", "select", "menu", "dialog", "canvas", "audio", "video"}
+CHROME = {"nav", "footer", "aside"}
+LOOSE = {"form", "header"}
 BLOCKS = {
-    "address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figure", "h1", "h2",
-    "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td",
-    "tfoot", "th", "thead", "tr", "ul",
+    "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption",
+    "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "nav", "ol", "p", "pre",
+    "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-CHROME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adslot|banner|breadcrumbs?|comments?|disqus|cookies?|consent|gdpr|footer|masthead|menu|modal|nav|navbar|navigation|newsletter"
-    r"|notice|notification|overlay|pager|pagination|paywall|popup|promo\w*|related|recommend\w*|replies|share|sharing|sidebar|side|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.I,
+STRONG = re.compile(
+    r"ads?|advert\w*|adslot|adbox|banner|breadcrumbs?|comments?|commentlist|disqus|cookies?|consent|gdpr|footer|masthead|menu|modal|nav|navbar|navigation|newsletter"
+    r"|notices?|notifications?|overlay|pager|pagination|paywall|popup|promos?|promotion|related|recommend\w*|replies|sidebar|sponsor\w*|subscribe|toolbar"
 )
-ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "menubar", "form"}
+WEAK = {"share", "sharing", "side", "social", "widget"}
+LAYOUT = {"with", "has", "no", "without", "is", "not", "layout", "wrapper", "wrap", "container", "page", "grid", "open", "closed"}
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "menubar"}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 SPACE = re.compile(r"\s+")
-
-
-def _chrome(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element never holds main text."""
-    if name in DROPPED or (name == "header" and not in_article):
-        return True
-    if name in ("html", "body", "article", "main") or not attributes:
-        return False
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+
+
+def _kind(name: str, attributes: str, in_article: bool) -> str:
+    """What an element is: "dropped", "chrome", "loose" (chrome unless it wraps the page), "weak" or "" (content)."""
+    if name in DROPPED:
+        return "dropped"
+    if name in CHROME:
+        return "chrome"
+    found = "loose" if name == "form" or (name == "header" and not in_article) else ""
+    if name in ("html", "body", "main") or not attributes:
+        return found
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key in ("class", "id") and CHROME.search(value):
-            return True
-        if (key == "role" and value in ROLES) or key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-    return False
-
-
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters of it in links, inside an article) of each block with text."""
+        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
+            return "dropped"
+        if key == "role" and value in ROLES:
+            return "chrome"
+        if key == "class" or (key == "id" and name not in HEADINGS):
+            for parts in (re.split(r"[-_]+", token) for token in value.split()):
+                if len(parts) > 3 or LAYOUT & {*parts}:
+                    continue
+                if STRONG.fullmatch(parts[0]) or STRONG.fullmatch(parts[-1]):
+                    return "chrome"
+                if len(parts) < 3 and (parts[0] in WEAK or parts[-1] in WEAK):
+                    found = found or "weak"
+    return found
+
+
+@dataclass
+class Line:
+    """A block's text, its characters in links, the elements of interest and the article it stands in."""
+
+    text: str
+    linked: int
+    inside: tuple[int, ...]
+    article: int
+
+
+def lines_of(page: str) -> tuple[list[Line], dict[int, str], set[int]]:
+    """Lines of a page, kinds of its elements of interest, and those that hold its main part or heading."""
     page = re.sub(rf"<({'|'.join(RAW)})\b[^>]*>.*?(?:</\1\s*>|$)", " ", page, flags=re.S | re.I)
-    out: list[tuple[str, int, bool]] = []
+    lower = page.lower()
+    out: list[Line] = []
     text: list[str] = []
-    linked, link, article, at = 0, 0, 0, 0
-    skip, depth = "", 0
+    kinds, holds, ends = {}, set(), {}
+    opened: list[list] = []  # [element name, depth of that name, number], numbers of articles negative
+    linked, link, at, number = 0, 0, 0, 0
 
     def close() -> None:
         nonlocal linked
         line = SPACE.sub(" ", html.unescape("".join(text))).strip()
         if line:
-            out.append((line, linked, article > 0))
+            articles = [-e[2] for e in opened if e[2] < 0]
+            out.append(Line(line, linked, tuple(e[2] for e in opened if e[2] > 0), articles[0] if articles else 0))
         text.clear()
         linked = 0
 
-    ends = {}
     for m in TOKEN.finditer(page):
-        if not skip:
-            piece = page[at : m.start()]
-            text.append(piece)
-            linked += len(piece) if link else 0
+        piece = page[at : m.start()]
+        text.append(piece)
+        linked += len(piece.strip()) if link else 0
         at = m.end()
         slash, name, attributes = m[1], (m[2] or "").lower(), m[3] or ""
         if not name:
             continue
-        if skip:
-            if name == skip:
-                depth += -1 if slash else 0 if attributes.endswith("/") else 1
-                if depth == 0:
-                    skip = ""
-            continue
-        if not slash and name not in VOID and _chrome(name, attributes, article > 0):
-            close()
-            if name not in ends:
-                ends[name] = page.lower().rfind(f"</{name}")
-            if ends[name] > m.start():  # an element that nothing closes drops only its tag
-                skip, depth = name, 1
-            continue
-        if name in BLOCKS:
+        if name in BLOCKS or name in DROPPED:
             close()
         elif name == "br":
             text.append(" ")
         if name == "a":
             link = 0 if slash else 1
-        elif name in ("article", "main"):
-            article = max(0, article - 1) if slash else article + 1
-    if not skip:
-        text.append(page[at:])
+        if name in VOID:
+            continue
+        if slash:
+            for k in range(len(opened) - 1, -1, -1):
+                if opened[k][0] == name:
+                    opened[k][1] -= 1
+                    if opened[k][1] == 0:
+                        close()
+                        del opened[k]
+            continue
+        empty = attributes.endswith("/")
+        for e in opened:
+            if e[0] == name and not empty:
+                e[1] += 1
+        if name in ("main", "h1", "article"):
+            holds |= {(e[2], name) for e in opened if e[2] > 0}
+        kind = _kind(name, attributes, any(e[2] < 0 for e in opened))
+        if (not kind and name not in ("article", "main")) or empty:
+            continue
+        if name not in ends:
+            ends[name] = lower.rfind(f"</{name}")
+        if ends[name] > m.start() or name in ("article", "main"):  # chrome that nothing closes drops only its tag
+            close()
+            number += 1
+            opened.append([name, 1, number if kind else -number])
+            kinds[number] = kind
+    text.append(page[at:])
     close()
+    return out, kinds, holds
+
+
+def chrome_of(lines: list[Line], kinds: dict[int, str], holds: set[tuple[int, str]]) -> set[int]:
+    """The elements of interest that really hold no main text."""
+    total, own, longest = 0, {}, {}
+    for x in lines:
+        total += len(x.text)
+        for e in x.inside:
+            own[e] = own.get(e, 0) + len(x.text)
+            longest[e] = max(longest.get(e, 0), len(x.text) - x.linked)
+    out = set()
+    for e, size in own.items():
+        kind = kinds[e]
+        wraps = (e, "main") in holds or (kind == "chrome" and (e, "h1") in holds)
+        if kind in ("loose", "weak"):
+            wraps |= (e, "article") in holds or 2 * size > total
+        if kind == "dropped" or (not wraps and (kind != "weak" or longest[e] <= SHORT)):
+            out.add(e)
     return out
 
 
-def main_text(page: str) -> str:
-    """The main text of a page; empty if there is none."""
-    lines = lines_of(page)
-    if any(inside for _, _, inside in lines):
-        return "\n".join(t for t, _, inside in lines if inside)
-    weight = [0 if 2 * linked > len(t) else len(t) for t, linked, _ in lines]
-    sums = [sum(weight[i : i + SPAN]) for i in range(len(weight))]
-    surges = [i for i, w in enumerate(weight) if w and sums[i] > SURGE]
-    if not surges:  # a page of few short lines has no surge
-        return "\n".join(t for (t, _, _), w in zip(lines, weight, strict=True) if w)
+def between(weight: list[int]) -> list[int]:
+    """The lines from the first surge point to the last dive point, but for runs of SPAN or more lines without weight.
+
+    A surge point is a line where the window sum is over SURGE; the sum falls back to nothing
+    at its dive point.
+    """
+    sums = [sum(weight[k : k + SPAN]) for k in range(len(weight))]
+    surges = [k for k, w in enumerate(weight) if w and sums[k] > SURGE]
+    if not surges:
+        return []
     dive = surges[-1]
-    while dive < len(lines) and sums[dive] > 0:
+    while dive < len(weight) and sums[dive] > 0:
         dive += 1
-    links = {k for i in range(len(lines) - SPAN + 1) if sums[i] == 0 for k in range(i, i + SPAN)}
-    return "\n".join(lines[k][0] for k in range(surges[0], dive) if k not in links)
+    empty = {k + j for k, x in enumerate(sums[: len(sums) - SPAN + 1]) if x == 0 for j in range(SPAN)}
+    return [k for k in range(surges[0], dive) if k not in empty]
+
+
+def main_text(page: str) -> str:
+    """The main text of a page; empty if there is none."""
+    lines, kinds, holds = lines_of(page)
+    chrome = chrome_of(lines, kinds, holds)
+    lines = [x for x in lines if not any(e in chrome and kinds[e] == "dropped" for e in x.inside)]
+    barred = [any(e in chrome for e in x.inside) for x in lines]
+    weight = [0 if no or 2 * x.linked > len(x.text) else len(x.text) for x, no in zip(lines, barred, strict=True)]
+    keep = between(weight)
+    if not keep:  # a page of few short lines
+        keep = [k for k, w in enumerate(weight) if w]
+    articles = {lines[k].article for k in keep if weight[k]} - {0}
+    if 2 * sum(weight[k] for k in keep if lines[k].article) >= sum(weight[k] for k in keep):
+        keep = [k for k in keep if lines[k].article or not articles]
+    keep = sorted({*keep, *(k for k, x in enumerate(lines) if x.article in articles)})
+    return "\n".join(lines[k].text for k in keep if not barred[k])
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
