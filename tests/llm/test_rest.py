@@ -177,48 +177,6 @@ def test_long_secret_is_one_span(spark):
     assert got == [[("secret", 4, 2010)], [("secret", 0, 100_009)]]
 
 
-def plain_base(data):
-    toks = [[*[w.lower() for w in rows.words(t)], b"\n"] for _, t in data]
-    held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in data]
-    c = Counter(x for t, h in zip(toks, held, strict=True) if not h for x in t)
-    n, v = sum(c.values()), len(c)
-    return sorted(((i, h, len(t), sum(x in c for x in t), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in t), 4)) for (i, _), t, h in zip(data, toks, held, strict=True)), key=repr)
-
-
-@pytest.mark.parametrize("source", ["awkward", "sf", "empty"])
-def test_op10(spark, sf, tmp_path, source):
-    where = sf if source == "sf" else folder(spark, tmp_path, [] if source == "empty" else None)
-    docs = spark.read.parquet(f"{where}/documents.parquet")
-    got = lm_score.op10_lm_score(spark, where)
-    ours = sorted(((*r[:5], round(r[5], 4)) for r in got.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score").collect()), key=repr)
-    assert ours == plain_base([(r["doc_id"], r["text"]) for r in docs.collect()])
-    # broadcasting the filter in many groups changes nothing
-    few = lm_score.score_documents(docs.select("doc_id", "text"), broadcast_bytes=1 << 14)
-    assert [(a, round(b, 6)) for a, b in rows.found(few, "doc_id", "score")] == [(a, round(b, 6)) for a, b in rows.found(got, "doc_id", "score")]
-    if source == "sf":
-        x = got.where("held_out").selectExpr("sum(score) AS s", "sum(base_score) AS b").first()
-        assert x["s"] > x["b"]
-
-
-def test_filter_never_underestimates():
-    h = np.random.default_rng(2).integers(0, 2**63, 5000).astype(np.uint64)
-    level = lm_score.levels(np.arange(5000) % 900)
-    found = lm_score.probe(np.frombuffer(lm_score.bloom(h, level), np.uint8), h)
-    assert (found >= level).all() and (found > level).mean() < 0.05
-
-
-def test_every_bigram_counts(spark):
-    """A bigram seen once in training raises the score; counts are known to a factor of sqrt(2)."""
-    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
-    train = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2)
-    docs = spark.createDataFrame([(train, "a b q c q"), (held[0], "a b q"), (held[1], "a c q")], "doc_id long, text string")
-    score = {r["doc_id"]: r["score"] for r in lm_score.score_documents(docs).collect()}
-    assert score[held[0]] > score[held[1]] + 1e-4
-    c = np.arange(1, 5000)
-    ratio = lm_score.expected(lm_score.levels(c)) / c
-    assert ratio.max() < 1.42 and ratio.min() > 1 / 1.42
-
-
 def test_op9(spark, tmp_path):
     """Awkward rows get scores; held-out accuracy on the larger table."""
     where = folder(spark, tmp_path)

@@ -1,21 +1,25 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-The training documents' unigrams and bigrams are counted exactly: a batch of documents
-sends one packed row per hash range, and a range's task adds up what all batches sent. The
-counts are quantised logarithmically, level(c) = 1 + floor(log_b c), and an n-gram is
-stored under the keys (n-gram, 1) .. (n-gram, level). Reading asks for level after level
-until a key is missing, so a count is never underestimated by more than its quantisation.
-
-The filter has ``BITS_PER_KEY`` bits a key, so its error rate is the same for every corpus
-and it grows with it. It is cut into segments by hash. While all segments fit
-``BROADCAST_BYTES`` they are broadcast at once; beyond that they go out in groups of that
-size, one pass over the documents each, which fill in a byte per token and n-gram order.
-
-P(y | x) = (c(xy) + MU * P(y)) / (c(x) + MU), P(y) = (c(y) + 1) / (N + V + 1).
-
-The exact add-one base score is summed in the same ranges as the counts: a range's task
-knows the counts of its words and which documents hold them, and returns one partial sum
-per document. No vocabulary is collected or broadcast.
+The training documents' n-grams of one to three tokens are counted exactly: a batch of
+documents sends each distinct n-gram once, with its count, in one packed row per hash range,
+and a range's task adds up what all batches sent, so a frequent word is one entry a batch.
+Counts are quantised logarithmically, level(c) = 1 + floor(log_b c), and an n-gram is stored
+under the keys (n-gram, 1) .. (n-gram, level). Reading asks for level after level until a
+key is missing, so a count is never underestimated by more than its quantisation.
+
+The filter has ``BITS_PER_KEY`` bits a key: its error rate is the same for every corpus and it
+grows with the corpus. A broadcast of all of it has no size bound, so each worker gets the
+segments of its hash ranges: a range's task builds the segment, writes it with the model, and
+probes it for the n-grams that each batch asked for. The levels go back by batch, where the
+token sequence waits as packed word numbers; texts are read once and never shuffled. The
+number of passes doesn't grow with the corpus.
+
+    P(y)      = (c(y) + 1) / (N + V + 1)
+    P(y | x)  = (c(xy) + MU[0] * P(y)) / (c(x) + MU[0])
+    P(z | xy) = (c(xyz) + MU[1] * P(z | y)) / (c(xy) + MU[1])
+
+The exact add-one base score needs the counts of words alone; a range's task sends those of
+a batch's words along with the levels. No vocabulary is collected or broadcast.
 """
 
 from __future__ import annotations
@@ -24,24 +28,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrail.llm.common import materialize, row_key, table, text_bytes
+from vectrail.llm.common import materialize, table, text_bytes
 from vectrail.llm.packing import WordHashes, mix, pack, unpack
 
-#: Log base of the levels, bits per stored key, probes per key, weight of the unigrams.
-LEVEL_BASE, BITS_PER_KEY, PROBES, MU = 2.0**0.5, 12, 4, 2000.0
-#: Bytes of filter that are broadcast at once, of one range's filter segment at most.
-BROADCAST_BYTES = 64 << 20
+#: Log base of the levels, bits per stored key, probes per key.
+LEVEL_BASE, BITS_PER_KEY, PROBES = 2.0**0.5, 12, 4
+#: Weights of the lower orders, fitted on held-out documents of sf0.1 (log10 a token there:
+#: -3.42; a third of the weights or three times as much: -3.45).
+MU = (300.0, 5.0)
 #: Input characters that one hash range stands for, and ranges at least.
 RANGE_CHARS, LEAST_RANGES = 16 << 20, 12
-#: Documents of a batch.
-BATCH = 2000
+#: Documents and text bytes of a batch (a longer text is a batch of its own).
+BATCH, BATCH_BYTES = 2000, 8 << 20
 
 END = b"\n"  # no word holds a line break, so it stands for the end of a text
-UNIGRAM, BIGRAM, ABOUT, SUMS = 0, 1, 2, 3
+#: Orders of packed rows: tokens, pairs, triples, and the batch's documents.
+ORDERS, TEXT = (0, 1, 2), 3
+#: Hashes of pairs and triples are told apart by their upper 56 bits.
+LOW_BITS = np.uint64(8)
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -49,27 +59,43 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
-def bigrams(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hashes of (previous token, token); the first token of a text follows an end."""
+def ngrams(h: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the token, the pair and the triple that end at each place.
+
+    The first token of a text follows an end; it has no triple (0).
+    """
     before = np.empty_like(h)
     before[1:] = h[:-1]
     before[starts] = WordHashes()[END]
-    return mix(mix(before, 1) + h, 2)
+    two = mix(mix(before, 1) + h, 2) >> LOW_BITS << LOW_BITS
+    before[1:] = two[:-1]
+    three = mix(mix(before, 3) + h, 4) >> LOW_BITS << LOW_BITS
+    three[starts] = 0
+    return [h, two, three]
 
 
-def _tokenised(texts: list[bytes], cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    parts = [cache.array(tokens(t)) for t in texts]
-    return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
+    return (h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
 
 
-def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
-    return (h >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)
+def _cuts(h: np.ndarray, ranges: int) -> Iterator[tuple[int, int, int]]:
+    """(range, first, end) of the ranges that sorted hashes fall into."""
+    if not len(h):
+        return
+    of = _range_of(h, ranges)
+    first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+    yield from zip(of[first].tolist(), first.tolist(), np.append(first[1:], len(h)).tolist(), strict=True)
 
 
 def _batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in stream:
-        for i in range(0, whole.num_rows, BATCH):
-            yield whole.slice(i, BATCH)
+        size = np.cumsum(pa.compute.binary_length(whole.column(2)).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < whole.num_rows:
+            room = (size[at - 1] if at else 0) + BATCH_BYTES
+            end = max(at + 1, min(at + BATCH, int(np.searchsorted(size, room, "right"))))
+            yield whole.slice(at, end - at)
+            at = end
 
 
 PACKED = "range int, order int, batch long, data binary, n long, v long"
@@ -80,35 +106,44 @@ def _packed(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["range", "order", "batch", "data", "n", "v"])
 
 
+def _framed(*parts: bytes) -> bytes:
+    return b"".join([np.array([len(parts), *map(len, parts)], "<i8").tobytes(), *parts])
+
+
+def _unframed(data: bytes) -> list[bytes]:
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    ends = 8 * (n + 1) + np.cumsum(np.frombuffer(data, "<i8", n, 8))
+    return [data[a:b] for a, b in zip([8 * (n + 1), *ends[:-1]], ends, strict=True)]
+
+
 def _sent(stream: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
-    """Packed counts of batches of (held_out, key, text), a row per range and order.
+    """Packed rows of batches of (id, held_out, text).
 
-    Unigrams come by (hash, document of the batch), bigrams of training documents by hash.
-    One more row per batch lists the documents' keys and token counts.
+    A row per order and hash range: the batch's distinct n-grams with their counts in training
+    documents. One more row has the documents: ids, lengths, distinct words, word numbers.
     """
     cache, part = WordHashes(), TaskContext.get().partitionId()
     for seq, batch in enumerate(_batches(stream)):
         key, out = part << 32 | seq, []
-        train = ~batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
-        h, n = _tokenised(batch.column(2).to_pylist(), cache)
-        doc = np.repeat(np.arange(len(n)), n)
-        about = np.stack([batch.column(1).to_numpy(), n])
-        out.append((key % ranges, ABOUT, key, about.astype("<i8").tobytes(), None, None))
-        by = np.lexsort((doc, h))
-        hs, ds = h[by], doc[by]
-        first = np.flatnonzero(np.concatenate(([True], (hs[1:] != hs[:-1]) | (ds[1:] != ds[:-1]))))
-        times = np.diff(np.append(first, len(hs)))
-        hs, ds = hs[first], ds[first]
-        cuts = np.searchsorted(_range_of(hs, ranges), np.arange(ranges + 1))
-        for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if a < b:
-                out.append((r, UNIGRAM, key, pack(hs[a:b], ds[a:b] * 2 + train[ds[a:b]], times[a:b]), None, None))
-        gs, times = np.unique(bigrams(h, np.cumsum(n) - n)[np.repeat(train, n)], return_counts=True)
-        cuts = np.searchsorted(_range_of(gs, ranges), np.arange(ranges + 1))
-        for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if a < b:
-                out.append((r, BIGRAM, key, pack(gs[a:b], times[a:b]), None, None))
-        yield _packed(out)
+        train = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        parts = [cache.array(tokens(t)) for t in batch.column(2).to_pylist()]
+        n = np.array([len(p) for p in parts], np.int64)
+        h = np.concatenate(parts)
+        counted = np.repeat(train, n)
+        for order, grams in zip(ORDERS, ngrams(h, np.cumsum(n) - n), strict=True):
+            found, back = np.unique(grams, return_inverse=True)
+            if order == 0:
+                words, numbers = found, back
+            times = np.bincount(back, counted, len(found)).astype(np.int64)
+            if order == 2 and found[0] == 0:
+                found, times = found[1:], times[1:]
+            shift = LOW_BITS if order else np.uint64(0)
+            out += [(r, order, key, pack(found[a:b] >> shift, times[a:b]), None, None) for r, a, b in _cuts(found, ranges)]
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.select([0, 1]).schema) as writer:
+            writer.write_batch(batch.select([0, 1]))
+        about = _framed(zstandard.compress(sink.getvalue().to_pybytes(), 1), n.astype("<i8").tobytes(), words.astype("<u8").tobytes(), pack(np.zeros(len(numbers)), numbers))
+        yield _packed([*out, (key % ranges, TEXT, key, about, None, None)])
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -170,150 +205,120 @@ def _fold(counts: tuple[np.ndarray, np.ndarray], more: list[tuple[np.ndarray, np
 
 
 def _counted(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one (range, order): the filter segment with totals, and partial sums by batch.
+    """Of one (range, order): the filter segment with totals, and for each batch the levels of
+    its n-grams by probes of the segment; of tokens the exact counts, too.
 
     What batches sent stays packed; a range holds that, its distinct hashes with counts,
     and one unpacked batch at a time.
     """
     at, order = key[0].as_py(), key[1].as_py()
-    rows = [(b, d) for part in parts for b, d in zip(part.column("batch").to_pylist(), part.column("data").to_pylist(), strict=True)]
-    if order == ABOUT:
-        for i in range(0, len(rows), 64):
-            yield _packed([(at, ABOUT, b, d, None, None) for b, d in rows[i : i + 64]])
+    rows = ((b, d) for part in parts for b, d in zip(part.column("batch").to_pylist(), part.column("data").to_pylist(), strict=True))
+    if order == TEXT:
+        for b, d in rows:
+            yield _packed([(at, TEXT, b, d, None, None)])
         return
+    rows, shift = list(rows), LOW_BITS if order else np.uint64(0)
     counts, more, waiting = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0
     for _, data in rows:
-        h, *rest = unpack(data)
-        times = rest[-1].astype(np.int64)
-        if order == UNIGRAM:
-            keep = (rest[0] & np.uint64(1)).astype(bool)
-            h, times = _fold((h[keep], times[keep]), [])
-        more.append((h, times))
-        waiting += len(h)
+        h, times = unpack(data)
+        some = times > 0
+        more.append((h[some] << shift, times[some].astype(np.int64)))
+        waiting += len(more[-1][0])
         if waiting > len(counts[0]) // 2 + 500_000:
             counts, more, waiting = _fold(counts, more), [], 0
     h, n = _fold(counts, more)
-    yield _packed([(at, order, None, bloom(h, levels(n)), int(n.sum()), len(h))])
-    if order == UNIGRAM:
-        for b, data in rows:
-            yield _packed([(at, SUMS, b, _partial(data, h, np.log10(n + 1.0)), None, None)])
-
-
-def _partial(data: bytes, h: np.ndarray, logs: np.ndarray) -> bytes:
-    """Documents of a batch with words of a range: (document, sum of log10(c + 1), known words)."""
-    words, who, times = unpack(data)
-    doc, times = (who >> np.uint64(1)).astype(np.int64), times.astype(float)
-    known, log = np.zeros(len(words), bool), np.zeros(len(words))
-    if len(h):
-        at = np.minimum(np.searchsorted(h, words), len(h) - 1)
-        known = h[at] == words
-        log = np.where(known, logs[at], 0.0)
-    sums, seen = np.bincount(doc, log * times), np.bincount(doc, known * times)
-    some = np.flatnonzero(seen)
-    return np.stack([some.astype(float), sums[some], seen[some]]).astype("<f8").tobytes()
-
-
-def _base(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The documents of one batch with their sums over all ranges."""
-    about, sums = b"", []
+    data = bloom(h, levels(n))
+    yield _packed([(at, order, None, data, int(n.sum()), len(h))])
+    segment = np.frombuffer(data, np.uint8)
+    for b, sent in rows:
+        asked = unpack(sent)[0] << shift
+        found = [zstandard.compress(probe(segment, asked).astype(np.uint8).tobytes(), 1)]
+        if order == 0:
+            exact = np.zeros(len(asked), "<i8")
+            if len(h):
+                place = np.minimum(np.searchsorted(h, asked), len(h) - 1)
+                exact = np.where(h[place] == asked, n[place], 0).astype("<i8")
+            found.append(zstandard.compress(exact.tobytes(), 1))
+        yield _packed([(at, order, b, _framed(*found), None, None)])
+
+
+def probabilities(one: np.ndarray, two: np.ndarray, three: np.ndarray, end: float, starts: np.ndarray, n_all: int, v_all: int) -> np.ndarray:
+    """The smoothed probability of each token from the counts of the n-grams that end there.
+
+    ``end``: count of the end, which every text follows. A count is at most its history's.
+    """
+    history = np.empty_like(one)
+    history[1:] = one[:-1]
+    history[starts] = end
+    pair = np.empty_like(two)
+    pair[1:] = two[:-1]
+    pair[starts] = 0
+    p = (one + 1) / (n_all + v_all + 1)
+    p = (np.minimum(two, history) + MU[0] * p) / (history + MU[0])
+    longer = (np.minimum(three, pair) + MU[1] * p) / (pair + MU[1])
+    longer[starts] = p[starts]
+    return longer
+
+
+def _scored(parts: Iterator[pa.RecordBatch], n_all: int, v_all: int) -> Iterator[pa.RecordBatch]:
+    """The documents of one batch with their scores, from the answers of all ranges."""
+    answers: dict[int, list[tuple[int, bytes]]] = {k: [] for k in ORDERS}
+    about = b""
     for part in parts:
-        for order, data in zip(part.column("order").to_pylist(), part.column("data").to_pylist(), strict=True):
-            if order == ABOUT:
+        for r, order, data in zip(*(part.column(c).to_pylist() for c in ("range", "order", "data")), strict=True):
+            if order == TEXT:
                 about = data
             else:
-                sums.append(np.frombuffer(data, "<f8").reshape(3, -1))
-    keys, n = np.frombuffer(about, "<i8").reshape(2, -1)
-    where, log, seen = np.concatenate(sums, axis=1) if sums else np.zeros((3, 0))
-    where = where.astype(np.int64)
-    columns = [keys, n, np.bincount(where, seen, len(n)).astype(np.int64), np.bincount(where, log, len(n))]
-    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "n_tokens", "n_known", "log_sum"])
-
-
-def _known_levels(h: np.ndarray, order: int, segments: dict[tuple[int, int], np.ndarray], ranges: int) -> np.ndarray:
-    """Levels of hashes as far as the given segments have them, else 0."""
-    unique, back = np.unique(h, return_inverse=True)
-    cuts = np.searchsorted(_range_of(unique, ranges), np.arange(ranges + 1))
-    out = np.zeros(len(unique), np.uint8)
-    for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        if a < b and (order, r) in segments:
-            out[a:b] = probe(segments[order, r], unique[a:b])
-    return out[back]
-
-
-def _scored(batches: Iterator[pa.RecordBatch], sent, ranges: int, n_all: int, v_all: int, last: bool) -> Iterator[pa.RecordBatch]:
-    """Scores of (key, text, levels); before the last group of segments, levels so far."""
-    segments = {k: np.frombuffer(v, np.uint8) for k, v in sent.value}
-    cache = WordHashes()
-    for batch in _batches(batches):
-        texts = batch.column(1).to_pylist()
-        h, n = _tokenised(texts, cache)
-        starts = np.cumsum(n) - n
-        one = _known_levels(h, UNIGRAM, segments, ranges)
-        two = _known_levels(bigrams(h, starts), BIGRAM, segments, ranges)
-        before = [x or b"" for x in batch.column(2).to_pylist()]
-        if any(before):
-            old = np.frombuffer(b"".join(before), np.uint8).reshape(-1, 2)
-            one, two = one | old[:, 0], two | old[:, 1]
-        if not last:
-            both = np.stack([one, two], axis=1)
-            column = pa.array([both[a : a + k].tobytes() for a, k in zip(starts, n, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], column], names=["key", "text", "levels"])
-            continue
-        c1, c2 = expected(one.astype(np.int64)), expected(two.astype(np.int64))
-        history = np.empty_like(c1)
-        history[1:] = c1[:-1]
-        history[starts] = c1[starts + n - 1]
-        unigram = (c1 + 1) / (n_all + v_all + 1)
-        p = (np.minimum(c2, history) + MU * unigram) / (history + MU)
-        score = np.add.reduceat(np.log10(p), starts)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["key", "score"])
-
-
-def score_documents(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each document.
-
-    Null text counts as empty: its only token is the end. A null id is in training. Rows
-    that repeat id and text count in training each and have equal scores. An empty table
-    gives no rows.
+                answers[order].append((r, data))
+    ids, n, words, numbers = _unframed(about)
+    n, words, numbers = np.frombuffer(n, "<i8"), np.frombuffer(words, "<u8").astype(np.uint64), unpack(numbers)[1].astype(np.int64)
+    starts, c, exact = np.cumsum(n) - n, [], None
+    for order, grams in zip(ORDERS, ngrams(words[numbers], starts), strict=True):
+        found, back = (words, numbers) if order == 0 else np.unique(grams, return_inverse=True)
+        level = np.zeros(len(found), np.int64)
+        got = [_unframed(d) for _, d in sorted(answers[order])]
+        known = np.frombuffer(b"".join(zstandard.decompress(g[0]) for g in got), np.uint8)
+        level[len(found) - len(known) :] = known  # but for the 0 of texts' first places
+        c.append(expected(level)[back])
+        if order == 0:
+            exact = np.frombuffer(b"".join(zstandard.decompress(g[1]) for g in got), "<i8")[numbers]
+            end = float(expected(level)[np.searchsorted(words, WordHashes()[END])])
+    score = np.add.reduceat(np.log10(probabilities(*c, end, starts, n_all, v_all)), starts)
+    base = np.add.reduceat(np.log10(exact + 1.0), starts) - n * np.log10(n_all + v_all + 1.0)
+    seen = np.add.reduceat((exact > 0).astype(np.int64), starts)
+    with pa.ipc.open_stream(zstandard.decompress(ids)) as reader:
+        own = reader.read_all().combine_chunks().to_batches()[0]
+    columns = [own.column(0), own.column(1), pa.array(n), pa.array(seen), pa.array(np.full(len(n), n_all)), pa.array(base), pa.array(score)]
+    yield pa.RecordBatch.from_arrays(columns, names=[own.schema.names[0], "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+
+def score_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs``.
+
+    Null text counts as empty: its only token is the end. A null id is in training. Repeated
+    rows are rows each, in training and in the result. An empty table gives no rows. Other
+    columns are left out, so their names don't matter; doc_id may have any type. ``docs``
+    should be a table or another plan that gives the same rows in the same order when a task
+    runs again, for batches are numbered by task; ``materialize`` others first.
     """
-    spark = docs.sparkSession
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    d = docs.select("doc_id", out.alias("held_out"), row_key().alias("key"), text_bytes().alias("text"))
+    d = docs.select("doc_id", out.alias("held_out"), text_bytes().alias("text"))
     size = d.agg(F.sum(F.length("text"))).first()[0] or 0
     ranges = max(LEAST_RANGES, -(-size // RANGE_CHARS))
-    parts = d.select("held_out", "key", "text").mapInArrow(lambda b: _sent(b, ranges), PACKED)
+    parts = d.mapInArrow(lambda b: _sent(b, ranges), PACKED)
     counted = materialize(parts.groupBy("range", "order").applyInArrow(_counted, PACKED), "ngram-counts")
-    n_all, v_all = (x or 0 for x in counted.where(F.col("order") == UNIGRAM).agg(F.sum("n"), F.sum("v")).first())
-    base = counted.where(F.col("order").isin(ABOUT, SUMS)).select("order", "batch", "data").groupBy("batch").applyInArrow(_base, "key long, n_tokens long, n_known long, log_sum double")
-    base = base.groupBy("key").agg(*[F.max(c).alias(c) for c in ("n_tokens", "n_known", "log_sum")]).withColumnRenamed("key", "k")
-
-    sizes = counted.where(F.col("order").isin(UNIGRAM, BIGRAM)).select("order", "range", F.length("data").alias("bytes")).collect()
-    groups, room = [[]], broadcast_bytes
-    for r in sorted(sizes, key=lambda r: (r["range"], r["order"])):
-        if groups[-1] and r["bytes"] > room:
-            groups.append([])
-            room = broadcast_bytes
-        groups[-1].append((r["order"], r["range"]))
-        room -= r["bytes"]
-    scored = d.select("key", "text", F.lit(None).cast("binary").alias("levels"))
-    for i, group in enumerate(groups):
-        first, final = min((r for _, r in group), default=0), max((r for _, r in group), default=0)
-        rows = counted.where(F.col("order").isin(UNIGRAM, BIGRAM) & F.col("range").between(first, final)).select("order", "range", "data").toLocalIterator() if group else []
-        sent = spark.sparkContext.broadcast([((r["order"], r["range"]), bytes(r["data"])) for r in rows if (r["order"], r["range"]) in set(group)])
-        last = i == len(groups) - 1
-        step = lambda b, sent=sent, last=last: _scored(b, sent, ranges, n_all, v_all, last)
-        scored = scored.mapInArrow(step, "key long, score double" if last else "key long, text binary, levels binary")
-        if not last:
-            scored = materialize(scored, "token-levels")
-    ids = d.select("doc_id", "held_out", "key")
-    unique = scored.groupBy("key").agg(F.max("score").alias("score"))
-    rows = ids.join(base, F.col("key") == F.col("k")).join(unique, "key")
-    per_token = F.log10(F.lit(float(n_all + v_all + 1)))
-    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), (F.col("log_sum") - F.col("n_tokens") * per_token).alias("base_score"), "score")
+    n_all, v_all = (x or 0 for x in counted.where("order = 0 AND batch IS NULL").agg(F.sum("n"), F.sum("v")).first())
+    answers = counted.where("batch IS NOT NULL").select("range", "order", "batch", "data")
+    schema = docs.select("doc_id", F.lit(True).alias("held_out"), *[F.lit(None).cast("long").alias(c) for c in ("n_tokens", "n_known", "train_tokens")], *[F.lit(None).cast("double").alias(c) for c in ("base_score", "score")]).schema
+
+    def scored(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _scored(parts, n_all, v_all)
+
+    return answers.groupBy("batch").applyInArrow(scored, schema)
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base and model scores of all documents."""
+    """Base and model scores of all documents; nulls, repeats and empty tables as in ``score_documents``."""
     return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
