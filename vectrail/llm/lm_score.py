@@ -50,8 +50,9 @@ BATCH, BATCH_BYTES = 2000, 8 << 20
 END = b"\n"  # no word holds a line break, so it stands for the end of a text
 #: Orders of packed rows: tokens, pairs, triples, and the batch's documents.
 ORDERS, TEXT = (0, 1, 2), 3
-#: Hashes of pairs and triples are told apart by their upper 56 bits.
-LOW_BITS = np.uint64(8)
+#: Hashes of pairs and triples keep so many bits beyond those that number the corpus's bytes,
+#: so two of them are taken for one equally seldom (once in 4000 at most) at every size.
+SPARE_BITS = 12
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -59,17 +60,22 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
-def ngrams(h: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+def low_bits(size: int) -> np.uint64:
+    """How many low bits of pairs' and triples' hashes are left out for a corpus of ``size`` bytes."""
+    return np.uint64(max(0, 64 - size.bit_length() - SPARE_BITS))
+
+
+def ngrams(h: np.ndarray, starts: np.ndarray, low: np.uint64) -> list[np.ndarray]:
     """Hashes of the token, the pair and the triple that end at each place.
 
-    The first token of a text follows an end; it has no triple (0).
+    The first token of a text follows an end; it has no triple (0, which no other one has).
     """
     before = np.empty_like(h)
     before[1:] = h[:-1]
     before[starts] = WordHashes()[END]
-    two = mix(mix(before, 1) + h, 2) >> LOW_BITS << LOW_BITS
+    two = mix(mix(before, 1) + h, 2) >> low << low
     before[1:] = two[:-1]
-    three = mix(mix(before, 3) + h, 4) >> LOW_BITS << LOW_BITS
+    three = np.maximum(mix(mix(before, 3) + h, 4) >> low, np.uint64(1)) << low
     three[starts] = 0
     return [h, two, three]
 
@@ -116,7 +122,7 @@ def _unframed(data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([8 * (n + 1), *ends[:-1]], ends, strict=True)]
 
 
-def _sent(stream: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+def _sent(stream: Iterator[pa.RecordBatch], ranges: int, low: np.uint64) -> Iterator[pa.RecordBatch]:
     """Packed rows of batches of (id, held_out, text).
 
     A row per order and hash range: the batch's distinct n-grams with their counts in training
@@ -130,14 +136,14 @@ def _sent(stream: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBa
         n = np.array([len(p) for p in parts], np.int64)
         h = np.concatenate(parts)
         counted = np.repeat(train, n)
-        for order, grams in zip(ORDERS, ngrams(h, np.cumsum(n) - n), strict=True):
+        for order, grams in zip(ORDERS, ngrams(h, np.cumsum(n) - n, low), strict=True):
             found, back = np.unique(grams, return_inverse=True)
             if order == 0:
                 words, numbers = found, back
             times = np.bincount(back, counted, len(found)).astype(np.int64)
             if order == 2 and found[0] == 0:
                 found, times = found[1:], times[1:]
-            shift = LOW_BITS if order else np.uint64(0)
+            shift = low if order else np.uint64(0)
             out += [(r, order, key, pack(found[a:b] >> shift, times[a:b]), None, None) for r, a, b in _cuts(found, ranges)]
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, batch.select([0, 1]).schema) as writer:
@@ -204,7 +210,7 @@ def _fold(counts: tuple[np.ndarray, np.ndarray], more: list[tuple[np.ndarray, np
     return h[first], np.add.reduceat(n, first)
 
 
-def _counted(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch], low: np.uint64) -> Iterator[pa.RecordBatch]:
     """Of one (range, order): the filter segment with totals, and for each batch the levels of
     its n-grams by probes of the segment; of tokens the exact counts, too.
 
@@ -217,7 +223,7 @@ def _counted(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Ite
         for b, d in rows:
             yield _packed([(at, TEXT, b, d, None, None)])
         return
-    rows, shift = list(rows), LOW_BITS if order else np.uint64(0)
+    rows, shift = list(rows), low if order else np.uint64(0)
     counts, more, waiting = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0
     for _, data in rows:
         h, times = unpack(data)
@@ -260,7 +266,7 @@ def probabilities(one: np.ndarray, two: np.ndarray, three: np.ndarray, end: floa
     return longer
 
 
-def _scored(parts: Iterator[pa.RecordBatch], n_all: int, v_all: int) -> Iterator[pa.RecordBatch]:
+def _scored(parts: Iterator[pa.RecordBatch], n_all: int, v_all: int, low: np.uint64) -> Iterator[pa.RecordBatch]:
     """The documents of one batch with their scores, from the answers of all ranges."""
     answers: dict[int, list[tuple[int, bytes]]] = {k: [] for k in ORDERS}
     about = b""
@@ -273,7 +279,7 @@ def _scored(parts: Iterator[pa.RecordBatch], n_all: int, v_all: int) -> Iterator
     ids, n, words, numbers = _unframed(about)
     n, words, numbers = np.frombuffer(n, "<i8"), np.frombuffer(words, "<u8").astype(np.uint64), unpack(numbers)[1].astype(np.int64)
     starts, c, exact = np.cumsum(n) - n, [], None
-    for order, grams in zip(ORDERS, ngrams(words[numbers], starts), strict=True):
+    for order, grams in zip(ORDERS, ngrams(words[numbers], starts, low), strict=True):
         found, back = (words, numbers) if order == 0 else np.unique(grams, return_inverse=True)
         level = np.zeros(len(found), np.int64)
         got = [_unframed(d) for _, d in sorted(answers[order])]
@@ -305,14 +311,19 @@ def score_documents(docs: DataFrame) -> DataFrame:
     d = docs.select("doc_id", out.alias("held_out"), text_bytes().alias("text"))
     size = d.agg(F.sum(F.length("text"))).first()[0] or 0
     ranges = max(LEAST_RANGES, -(-size // RANGE_CHARS))
-    parts = d.mapInArrow(lambda b: _sent(b, ranges), PACKED)
-    counted = materialize(parts.groupBy("range", "order").applyInArrow(_counted, PACKED), "ngram-counts")
+    low = low_bits(size)
+
+    def counted_of(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _counted(key, parts, low)
+
+    parts = d.mapInArrow(lambda b: _sent(b, ranges, low), PACKED)
+    counted = materialize(parts.groupBy("range", "order").applyInArrow(counted_of, PACKED), "ngram-counts")
     n_all, v_all = (x or 0 for x in counted.where("order = 0 AND batch IS NULL").agg(F.sum("n"), F.sum("v")).first())
     answers = counted.where("batch IS NOT NULL").select("range", "order", "batch", "data")
     schema = docs.select("doc_id", F.lit(True).alias("held_out"), *[F.lit(None).cast("long").alias(c) for c in ("n_tokens", "n_known", "train_tokens")], *[F.lit(None).cast("double").alias(c) for c in ("base_score", "score")]).schema
 
     def scored(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _scored(parts, n_all, v_all)
+        return _scored(parts, n_all, v_all, low)
 
     return answers.groupBy("batch").applyInArrow(scored, schema)
 

@@ -45,11 +45,11 @@ def pack(*columns: np.ndarray) -> bytes:
     plane, so that constant planes vanish in compression.
     """
     n = len(columns[0])
-    out = [np.array([n, len(columns)], "<u8").tobytes()]
+    out = [np.array([n, len(columns), columns[0][0] if n else 0], "<u8").tobytes()]
     for i, c in enumerate(columns):
         c = c.astype("<u8")
         if i == 0 and n:
-            c = np.concatenate((c[:1], np.diff(c)))
+            c = np.concatenate((np.zeros(1, "<u8"), np.diff(c)))
         width = max(1, -(-int(c.max()).bit_length() // 8)) if n else 1
         out += [bytes([width]), np.ascontiguousarray(c.view(np.uint8).reshape(n, 8)[:, :width].T).tobytes()]
     return zstandard.compress(b"".join(out), 1)
@@ -58,13 +58,13 @@ def pack(*columns: np.ndarray) -> bytes:
 def unpack(data: bytes) -> list[np.ndarray]:
     """The columns of ``pack``, as unsigned 64-bit words."""
     raw = zstandard.decompress(data)
-    n, k = map(int, np.frombuffer(raw, "<u8", 2))
-    at, columns = 16, []
-    for i in range(k):
+    n, k, first = np.frombuffer(raw, "<u8", 3)
+    n, at, columns = int(n), 24, []
+    for i in range(int(k)):
         width = raw[at]
         c = np.zeros((n, 8), np.uint8)
         c[:, :width] = np.frombuffer(raw, np.uint8, n * width, at + 1).reshape(width, n).T
         c = c.view("<u8").reshape(n)
-        columns.append(np.cumsum(c, dtype=np.uint64) if i == 0 else c)
+        columns.append(np.cumsum(c, dtype=np.uint64) + first if i == 0 else c)
         at += 1 + n * width
     return columns
