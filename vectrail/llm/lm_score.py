@@ -51,8 +51,8 @@ END = b"\n"  # no word holds a line break, so it stands for the end of a text
 #: Orders of packed rows: tokens, pairs, triples, and the batch's documents.
 ORDERS, TEXT = (0, 1, 2), 3
 #: Hashes of pairs and triples keep so many bits beyond those that number the corpus's bytes,
-#: so two of them are taken for one equally seldom (once in 4000 at most) at every size.
-SPARE_BITS = 12
+#: so two of them are taken for one equally seldom (once in 256 at most) at every size.
+SPARE_BITS = 8
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -62,7 +62,7 @@ def tokens(text: bytes) -> list[bytes]:
 
 def low_bits(size: int) -> np.uint64:
     """How many low bits of pairs' and triples' hashes are left out for a corpus of ``size`` bytes."""
-    return np.uint64(max(0, 64 - size.bit_length() - SPARE_BITS))
+    return np.uint64(max(1, 64 - size.bit_length() - SPARE_BITS))
 
 
 def ngrams(h: np.ndarray, starts: np.ndarray, low: np.uint64) -> list[np.ndarray]:
@@ -122,6 +122,14 @@ def _unframed(data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([8 * (n + 1), *ends[:-1]], ends, strict=True)]
 
 
+def _distinct(grams: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, whose lowest bit is 0, and how many of each are counted."""
+    x = np.sort(grams | counted.astype(np.uint64))
+    h = x & ~np.uint64(1)
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+    return h[first], np.add.reduceat(x & np.uint64(1), first).astype(np.int64) if len(first) else first
+
+
 def _sent(stream: Iterator[pa.RecordBatch], ranges: int, low: np.uint64) -> Iterator[pa.RecordBatch]:
     """Packed rows of batches of (id, held_out, text).
 
@@ -137,18 +145,19 @@ def _sent(stream: Iterator[pa.RecordBatch], ranges: int, low: np.uint64) -> Iter
         h = np.concatenate(parts)
         counted = np.repeat(train, n)
         for order, grams in zip(ORDERS, ngrams(h, np.cumsum(n) - n, low), strict=True):
-            found, back = np.unique(grams, return_inverse=True)
             if order == 0:
-                words, numbers = found, back
-            times = np.bincount(back, counted, len(found)).astype(np.int64)
-            if order == 2 and found[0] == 0:
-                found, times = found[1:], times[1:]
+                found, numbers, often = np.unique(grams, return_inverse=True, return_counts=True)
+                times = np.bincount(numbers, counted, len(found)).astype(np.int64)
+                words, by_rank = found, np.argsort(-often, kind="stable")
+                numbers = np.argsort(by_rank)[numbers]  # frequent words have small numbers, which pack well
+            else:
+                found, times = _distinct(grams[grams > 0], counted[grams > 0])
             shift = low if order else np.uint64(0)
             out += [(r, order, key, pack(found[a:b] >> shift, times[a:b]), None, None) for r, a, b in _cuts(found, ranges)]
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, batch.select([0, 1]).schema) as writer:
             writer.write_batch(batch.select([0, 1]))
-        about = _framed(zstandard.compress(sink.getvalue().to_pybytes(), 1), n.astype("<i8").tobytes(), words.astype("<u8").tobytes(), pack(np.zeros(len(numbers)), numbers))
+        about = _framed(zstandard.compress(sink.getvalue().to_pybytes(), 1), n.astype("<i8").tobytes(), pack(words, by_rank), pack(np.zeros(len(numbers)), numbers))
         yield _packed([*out, (key % ranges, TEXT, key, about, None, None)])
 
 
@@ -167,10 +176,13 @@ def expected(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, (low + high) / 2, 0.0)
 
 
-def _places(h: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
+def _places(h: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
+    """Places of the keys (hash, level) for one probe after the other; segments have under 2**32 bits."""
     x = mix(h, 16 + level)
-    y = mix(h, 4096 + level) | np.uint64(1)
-    return ((x + np.uint64(probe) * y) >> np.uint64(16)) % np.uint64(bits)
+    y = (x << np.uint64(32) | x >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+    for _ in range(PROBES):
+        yield (x >> np.uint64(32)) * np.uint64(bits) >> np.uint64(32)
+        x = x + y
 
 
 def bloom(h: np.ndarray, level: np.ndarray) -> bytes:
@@ -179,22 +191,24 @@ def bloom(h: np.ndarray, level: np.ndarray) -> bytes:
     cells = np.zeros(bits, bool)
     for j in range(1, int(level.max(initial=0)) + 1):
         all_of_level = h[level >= j]
-        for i in range(0, len(all_of_level), 1 << 18):
-            for p in range(PROBES):
-                cells[_places(all_of_level[i : i + (1 << 18)], j, p, bits)] = True
+        for i in range(0, len(all_of_level), 1 << 16):
+            for at in _places(all_of_level[i : i + (1 << 16)], j, bits):
+                cells[at] = True
     return np.packbits(cells, bitorder="little").tobytes()
 
 
 def probe(segment: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Levels of hashes, by repeated membership probes of a segment."""
-    out, alive, bits = np.zeros(len(h), np.int64), np.arange(len(h)), len(segment) * 8
+    out, alive, bits = np.zeros(len(h), np.uint8), np.arange(len(h)), len(segment) * 8
     j = 0
     while len(alive):
         j += 1
-        for p in range(PROBES):
-            at = _places(h[alive], j, p, bits)
-            hit = segment[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1
-            alive = alive[hit.astype(bool)]
+        hit = np.ones(len(alive), bool)
+        for at in _places(h[alive], j, bits):
+            hit &= (segment[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            if not hit.any():
+                break
+        alive = alive[hit]
         out[alive] = j
     return out
 
@@ -238,13 +252,13 @@ def _counted(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch], low: n
     segment = np.frombuffer(data, np.uint8)
     for b, sent in rows:
         asked = unpack(sent)[0] << shift
-        found = [zstandard.compress(probe(segment, asked).astype(np.uint8).tobytes(), 1)]
+        found = [zstandard.compress(probe(segment, asked).tobytes(), 1)]
         if order == 0:
-            exact = np.zeros(len(asked), "<i8")
+            exact = np.zeros(len(asked), np.int64)
             if len(h):
                 place = np.minimum(np.searchsorted(h, asked), len(h) - 1)
-                exact = np.where(h[place] == asked, n[place], 0).astype("<i8")
-            found.append(zstandard.compress(exact.tobytes(), 1))
+                exact = np.where(h[place] == asked, n[place], 0)
+            found.append(pack(np.zeros(len(exact)), exact))
         yield _packed([(at, order, b, _framed(*found), None, None)])
 
 
@@ -277,7 +291,8 @@ def _scored(parts: Iterator[pa.RecordBatch], n_all: int, v_all: int, low: np.uin
             else:
                 answers[order].append((r, data))
     ids, n, words, numbers = _unframed(about)
-    n, words, numbers = np.frombuffer(n, "<i8"), np.frombuffer(words, "<u8").astype(np.uint64), unpack(numbers)[1].astype(np.int64)
+    words, by_rank = unpack(words)
+    n, numbers = np.frombuffer(n, "<i8"), by_rank.astype(np.int64)[unpack(numbers)[1].astype(np.int64)]
     starts, c, exact = np.cumsum(n) - n, [], None
     for order, grams in zip(ORDERS, ngrams(words[numbers], starts, low), strict=True):
         found, back = (words, numbers) if order == 0 else np.unique(grams, return_inverse=True)
@@ -287,7 +302,7 @@ def _scored(parts: Iterator[pa.RecordBatch], n_all: int, v_all: int, low: np.uin
         level[len(found) - len(known) :] = known  # but for the 0 of texts' first places
         c.append(expected(level)[back])
         if order == 0:
-            exact = np.frombuffer(b"".join(zstandard.decompress(g[1]) for g in got), "<i8")[numbers]
+            exact = np.concatenate([unpack(g[1])[1] for g in got]).astype(np.int64)[numbers]
             end = float(expected(level)[np.searchsorted(words, WordHashes()[END])])
     score = np.add.reduceat(np.log10(probabilities(*c, end, starts, n_all, v_all)), starts)
     base = np.add.reduceat(np.log10(exact + 1.0), starts) - n * np.log10(n_all + v_all + 1.0)
