@@ -10,9 +10,9 @@ key is missing, so a count is never underestimated by more than its quantisation
 The filter has ``BITS_PER_KEY`` bits a key: its error rate is the same for every corpus and it
 grows with the corpus. A broadcast of all of it has no size bound, so each worker gets the
 segments of its hash ranges: a range's task builds the segment, writes it with the model, and
-probes it for the n-grams that each batch asked for. The levels go back by batch, where the
-token sequence waits as packed word numbers; texts are read once and never shuffled. The
-number of passes doesn't grow with the corpus.
+probes it for the n-grams that each batch asked for. The levels go back by batch, where they
+meet the token sequence, packed word numbers from a second reading of the texts. There are
+two readings whatever the size of the corpus.
 
     P(y)      = (c(y) + 1) / (N + V + 1)
     P(y | x)  = (c(xy) + MU[0] * P(y)) / (c(x) + MU[0])
@@ -30,7 +30,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,14 +67,14 @@ def low_bits(size: int) -> np.uint64:
 def ngrams(h: np.ndarray, starts: np.ndarray, low: np.uint64) -> list[np.ndarray]:
     """Hashes of the token, the pair and the triple that end at each place.
 
-    The first token of a text follows an end; it has no triple (0, which no other one has).
+    Pairs and triples are made of the upper bits of their tokens. The first token of a text follows an end; it has no triple (0, which no other one has).
     """
-    before = np.empty_like(h)
-    before[1:] = h[:-1]
-    before[starts] = WordHashes()[END]
-    two = mix(mix(before, 1) + h, 2) >> low << low
+    before, token = np.empty_like(h), h >> low
+    before[1:] = token[:-1]
+    before[starts] = np.uint64(WordHashes()[END]) >> low
+    two = mix(mix(before, 1) + token, 2) >> low << low
     before[1:] = two[:-1]
-    three = np.maximum(mix(mix(before, 3) + h, 4) >> low, np.uint64(1)) << low
+    three = np.maximum(mix(mix(before, 3) + token, 4) >> low, np.uint64(1)) << low
     three[starts] = 0
     return [h, two, three]
 
@@ -130,35 +129,41 @@ def _distinct(grams: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.nd
     return h[first], np.add.reduceat(x & np.uint64(1), first).astype(np.int64) if len(first) else first
 
 
-def _sent(stream: Iterator[pa.RecordBatch], ranges: int, low: np.uint64) -> Iterator[pa.RecordBatch]:
-    """Packed rows of batches of (id, held_out, text).
-
-    A row per order and hash range: the batch's distinct n-grams with their counts in training
-    documents. One more row has the documents: ids, lengths, distinct words, word numbers.
-    """
-    cache, part = WordHashes(), TaskContext.get().partitionId()
+def _numbered(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(number, batch, token hashes, tokens of each document) of the batches of (id, held_out, text, partition)."""
+    cache = WordHashes()
     for seq, batch in enumerate(_batches(stream)):
-        key, out = part << 32 | seq, []
-        train = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        part = batch.column(3)[0].as_py()
         parts = [cache.array(tokens(t)) for t in batch.column(2).to_pylist()]
-        n = np.array([len(p) for p in parts], np.int64)
-        h = np.concatenate(parts)
-        counted = np.repeat(train, n)
+        yield part << 32 | seq, batch, np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+
+
+def _sent(stream: Iterator[pa.RecordBatch], ranges: int, low: np.uint64) -> Iterator[pa.RecordBatch]:
+    """Packed rows of batches of (id, held_out, text): one per order and hash range, with the
+    batch's distinct n-grams and their counts in training documents."""
+    for key, batch, h, n in _numbered(stream):
+        out, counted = [], np.repeat(~batch.column(1).to_numpy(zero_copy_only=False).astype(bool), n)
         for order, grams in zip(ORDERS, ngrams(h, np.cumsum(n) - n, low), strict=True):
             if order == 0:
-                found, numbers, often = np.unique(grams, return_inverse=True, return_counts=True)
-                times = np.bincount(numbers, counted, len(found)).astype(np.int64)
-                words, by_rank = found, np.argsort(-often, kind="stable")
-                numbers = np.argsort(by_rank)[numbers]  # frequent words have small numbers, which pack well
+                found = np.unique(grams)
+                times = np.bincount(np.searchsorted(found, grams[counted]), minlength=len(found)).astype(np.int64)
             else:
                 found, times = _distinct(grams[grams > 0], counted[grams > 0])
             shift = low if order else np.uint64(0)
             out += [(r, order, key, pack(found[a:b] >> shift, times[a:b]), None, None) for r, a, b in _cuts(found, ranges)]
+        yield _packed(out)
+
+
+def _texts(stream: Iterator[pa.RecordBatch], low: np.uint64) -> Iterator[pa.RecordBatch]:
+    """One packed row per batch with its documents: ids, lengths, distinct words, word numbers."""
+    for key, batch, h, n in _numbered(stream):
+        words, numbers = np.unique(h, return_inverse=True)
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, batch.select([0, 1]).schema) as writer:
             writer.write_batch(batch.select([0, 1]))
-        about = _framed(zstandard.compress(sink.getvalue().to_pybytes(), 1), n.astype("<i8").tobytes(), pack(words, by_rank), pack(np.zeros(len(numbers)), numbers))
-        yield _packed([*out, (key % ranges, TEXT, key, about, None, None)])
+        end = np.searchsorted(words, WordHashes()[END])
+        about = _framed(zstandard.compress(sink.getvalue().to_pybytes(), 1), np.append(n, end).astype("<i8").tobytes(), pack(words >> low), pack(np.zeros(len(numbers)), numbers))
+        yield _packed([(None, TEXT, key, about, None, None)])
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -233,10 +238,6 @@ def _counted(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch], low: n
     """
     at, order = key[0].as_py(), key[1].as_py()
     rows = ((b, d) for part in parts for b, d in zip(part.column("batch").to_pylist(), part.column("data").to_pylist(), strict=True))
-    if order == TEXT:
-        for b, d in rows:
-            yield _packed([(at, TEXT, b, d, None, None)])
-        return
     rows, shift = list(rows), low if order else np.uint64(0)
     counts, more, waiting = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0
     for _, data in rows:
@@ -291,20 +292,21 @@ def _scored(parts: Iterator[pa.RecordBatch], n_all: int, v_all: int, low: np.uin
             else:
                 answers[order].append((r, data))
     ids, n, words, numbers = _unframed(about)
-    words, by_rank = unpack(words)
-    n, numbers = np.frombuffer(n, "<i8"), by_rank.astype(np.int64)[unpack(numbers)[1].astype(np.int64)]
-    starts, c, exact = np.cumsum(n) - n, [], None
-    for order, grams in zip(ORDERS, ngrams(words[numbers], starts, low), strict=True):
+    *n, end = np.frombuffer(n, "<i8")
+    n, words, numbers = np.array(n, np.int64), unpack(words)[0], unpack(numbers)[1].astype(np.int64)
+    starts, c = np.cumsum(n) - n, []
+    for order, grams in zip(ORDERS, ngrams(words[numbers] << low, starts, low), strict=True):
         found, back = (words, numbers) if order == 0 else np.unique(grams, return_inverse=True)
-        level = np.zeros(len(found), np.int64)
+        none = int(order == 2 and found[0] == 0)  # of texts' first places
         got = [_unframed(d) for _, d in sorted(answers[order])]
-        known = np.frombuffer(b"".join(zstandard.decompress(g[0]) for g in got), np.uint8)
-        level[len(found) - len(known) :] = known  # but for the 0 of texts' first places
-        c.append(expected(level)[back])
+        level = np.frombuffer(b"\0" * none + b"".join(zstandard.decompress(g[0]) for g in got), np.uint8)
+        if len(level) != len(found):
+            raise RuntimeError("the documents came in other batches than before: materialize them first")
+        value = expected(np.arange(256))[level]
+        c.append(value[back])
         if order == 0:
-            exact = np.concatenate([unpack(g[1])[1] for g in got]).astype(np.int64)[numbers]
-            end = float(expected(level)[np.searchsorted(words, WordHashes()[END])])
-    score = np.add.reduceat(np.log10(probabilities(*c, end, starts, n_all, v_all)), starts)
+            exact, at_end = np.concatenate([unpack(g[1])[1] for g in got]).astype(np.int64)[numbers], float(value[end])
+    score = np.add.reduceat(np.log10(probabilities(*c, at_end, starts, n_all, v_all)), starts)
     base = np.add.reduceat(np.log10(exact + 1.0), starts) - n * np.log10(n_all + v_all + 1.0)
     seen = np.add.reduceat((exact > 0).astype(np.int64), starts)
     with pa.ipc.open_stream(zstandard.decompress(ids)) as reader:
@@ -323,7 +325,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     runs again, for batches are numbered by task; ``materialize`` others first.
     """
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    d = docs.select("doc_id", out.alias("held_out"), text_bytes().alias("text"))
+    d = docs.select("doc_id", out.alias("held_out"), text_bytes().alias("text"), F.spark_partition_id().alias("part"))
     size = d.agg(F.sum(F.length("text"))).first()[0] or 0
     ranges = max(LEAST_RANGES, -(-size // RANGE_CHARS))
     low = low_bits(size)
@@ -334,7 +336,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     parts = d.mapInArrow(lambda b: _sent(b, ranges, low), PACKED)
     counted = materialize(parts.groupBy("range", "order").applyInArrow(counted_of, PACKED), "ngram-counts")
     n_all, v_all = (x or 0 for x in counted.where("order = 0 AND batch IS NULL").agg(F.sum("n"), F.sum("v")).first())
-    answers = counted.where("batch IS NOT NULL").select("range", "order", "batch", "data")
+    answers = counted.where("batch IS NOT NULL").union(d.mapInArrow(lambda b: _texts(b, low), PACKED)).select("range", "order", "batch", "data")
     schema = docs.select("doc_id", F.lit(True).alias("held_out"), *[F.lit(None).cast("long").alias(c) for c in ("n_tokens", "n_known", "train_tokens")], *[F.lit(None).cast("double").alias(c) for c in ("base_score", "score")]).schema
 
     def scored(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
