@@ -1,5 +1,6 @@
 """Tracks and places against plain walks over whole entities, and small cases with known results."""
 
+import math
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -8,12 +9,19 @@ from vectrail.operators import tracks
 from vectrail.sources import tables
 
 
+def _bad(a, b):
+    """Whether the trip from a to b is too fast."""
+    h = math.sin(math.radians(b.lat - a.lat) / 2) ** 2 + math.cos(math.radians(a.lat)) * math.cos(math.radians(b.lat)) * math.sin(math.radians(b.lon - a.lon) / 2) ** 2
+    km = 0 if a.camera_id == b.camera_id else 1.3 * 2 * 6371 * math.asin(min(1, math.sqrt(h)))
+    return km > (90 if a.city == b.city == "home" else 130) * max((b.us - a.us) / 60e6 - a.dwell + 10, 0) / 60
+
+
 def _plain_track(rows):
     """Every sighting in order against a linear scan of those accepted; no cutting into parts."""
     rank, kept, out = {"real": 0, "sim": 1}, [], {}
     for s in sorted(rows, key=lambda r: (rank.get(r.kind, 2), -(r.confidence or 0), r.us, r.sighting_id)):
         i = next((i for i, x in enumerate(kept) if x.us > s.us), len(kept))
-        bad = next((o for o, a, b in ((kept[i - 1], kept[i - 1], s) if i else (None,) * 3, (kept[i], s, kept[i]) if i < len(kept) else (None,) * 3) if o and tracks._clash(a, b)), None)
+        bad = next((o for o, a, b in ((kept[i - 1], kept[i - 1], s) if i else (None,) * 3, (kept[i], s, kept[i]) if i < len(kept) else (None,) * 3) if o and _bad(a, b)), None)
         out[s.sighting_id] = bad.sighting_id if bad else None
         if not bad:
             kept.insert(i, s)

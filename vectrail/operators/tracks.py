@@ -1,60 +1,72 @@
 """Tracks of entities through cameras, and the places where they stay.
 
-Both walks depend on their order, so each runs as a small Arrow function over groups that Spark shuffles. Tracks are cut at
-gaps so long that any trip fits in them: no conflict crosses such a gap, so the parts give the same result as the whole.
+Both walks depend on their order, so rows are shuffled by group, sorted within partitions and walked in Arrow batches, many
+groups to a batch and one state at a time. Tracks are cut at gaps so long that any trip fits in them: no conflict crosses such
+a gap, so the parts give the same result as the whole, and parts of one sighting are accepted without a walk.
 """
 
 from __future__ import annotations
 
 import math
 from bisect import bisect_right
-from collections import namedtuple
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectrail.functions import places
 
 TRACK = "sighting_id long, entity_id long, accepted boolean, conflict_with long, km double, gap_min double, need_kmh double"
-STAY = "sighting_id long, entity_id long, place int"
-Point = namedtuple("Point", "lat lon")
 #: Stays within this distance of a place's centre belong to it; covered dates that make a place regular.
 PLACE_KM, REGULAR = 0.3, 4
 #: Local hours that a stay must contain to count as a night and as a working day.
 NIGHT_HOUR, DAY_HOUR = 3, 13
 
 
-def _km(a, b) -> float:
-    x = math.sin(math.radians(b.lat - a.lat) / 2) ** 2 + math.cos(math.radians(a.lat)) * math.cos(math.radians(b.lat)) * math.sin(math.radians(b.lon - a.lon) / 2) ** 2
+def _km(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
+    x = math.sin(math.radians(lat2 - lat1) / 2) ** 2 + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
     return 2 * places.RADIUS_KM * math.asin(math.sqrt(min(x, 1.0)))
 
 
-def _clash(a, b) -> tuple[float, float, float] | None:
-    """None if b can follow a, else km, minutes, needed speed."""
-    km = 0.0 if a.camera_id == b.camera_id else places.ROAD_FACTOR * _km(a, b)
-    gap = (b.us - a.us) / 60e6 - a.dwell
-    limit = places.HOME_KMH if a.city == b.city == "home" else places.OPEN_KMH
-    if km <= limit * max(gap + places.GRACE_MIN, 0.0) / 60:
-        return None
-    return km, gap, km / max(gap, 0.5) * 60 if km else 0.0
-
-
-def _walk(part: pd.DataFrame) -> pd.DataFrame:
-    times, kept, out = [], [], []
-    for s in part.sort_values(["rank", "trust", "us", "sighting_id"], ascending=[True, False, True, True]).itertuples(index=False):
-        i = bisect_right(times, s.us)
-        before, after = kept[i - 1] if i else None, kept[i] if i < len(kept) else None
-        why, other = before and _clash(before, s), before
-        if not why:
-            why, other = after and _clash(s, after), after
-        if why:
-            out.append((s.sighting_id, s.entity_id, False, other.sighting_id, *why))
-        else:
-            times.insert(i, s.us)
-            kept.insert(i, s)
-            out.append((s.sighting_id, s.entity_id, True, None, None, None, None))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in TRACK.split(", ")]).astype({"conflict_with": "Int64"})
+#: Columns of a sighting in the walk, after its group.
+SIGHT = ("us", "sighting_id", "camera_id", "lat", "lon", "city", "dwell")
+
+
+def _hindrance(first: tuple, second: tuple) -> tuple[float, float, float] | None:
+    """km, minutes and needed speed of a trip that doesn't fit between two sightings; None if it fits."""
+    us1, _, camera1, lat1, lon1, city1, dwell = first
+    us2, _, camera2, lat2, lon2, city2, _ = second
+    if camera1 == camera2:
+        km = 0.0
+    else:
+        km = places.ROAD_FACTOR * _km(lat1, lon1, lat2, lon2)
+    minutes = (us2 - us1) / 60e6 - dwell
+    top = places.HOME_KMH if city1 == city2 == "home" else places.OPEN_KMH
+    if 60 * km > top * max(minutes + places.GRACE_MIN, 0.0):
+        return km, minutes, 60 * km / max(minutes, 0.5)
+    return None
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sightings sorted by group and, within it, by trust; state: the group's accepted ones in time order."""
+    names, group, line = [c.split()[0] for c in TRACK.split(", ")], None, []
+    for batch in batches:
+        out = []
+        for entity, part, *sight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (entity, part) != group:
+                group, line = (entity, part), []
+            sight = tuple(sight)
+            at = bisect_right(line, sight[0], key=lambda s: s[0])
+            found = None
+            for one, two, other in ((at - 1, None, at - 1), (None, at, at)):
+                if found is None and 0 <= other < len(line):
+                    trip = _hindrance(line[one] if one is not None else sight, line[two] if two is not None else sight)
+                    found = trip and (line[other][1], *trip)
+            if found is None:
+                line.insert(at, sight)
+            out.append((sight[1], entity, found is None, *(found or (None,) * 4)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), *[pa.float64()] * 3), strict=True)], names=names)
 
 
 def reach_km(cameras: DataFrame) -> float:
@@ -79,25 +91,34 @@ def greedy_track(located: DataFrame, reach: float) -> DataFrame:
     ended = F.max(F.col("us") + F.col("dwell") * 60e6).over(by_time.rowsBetween(Window.unboundedPreceding, -1))
     enough = reach / min(places.HOME_KMH, places.OPEN_KMH) * 60 * 60e6
     d = d.withColumn("cut", F.coalesce((F.col("us") - ended > enough).cast("int"), F.lit(0))).withColumn("part", F.sum("cut").over(by_time))
-    return d.groupBy("entity_id", "part").applyInPandas(lambda p: _walk(p), TRACK)
-
-
-def _cluster(stays: pd.DataFrame) -> pd.DataFrame:
-    found, out = [], []  # [lat, lon, stays] by place
-    for s in stays.sort_values(["us", "sighting_id"]).itertuples(index=False):
-        k = next((k for k, p in enumerate(found) if _km(Point(p[0], p[1]), s) <= PLACE_KM), len(found))
-        if k == len(found):
-            found.append([s.lat, s.lon, 0])
-        p = found[k]
-        p[0], p[1], p[2] = (p[0] * p[2] + s.lat) / (p[2] + 1), (p[1] * p[2] + s.lon) / (p[2] + 1), p[2] + 1
-        out.append((s.sighting_id, s.entity_id, k + 1))
-    return pd.DataFrame(out, columns=["sighting_id", "entity_id", "place"])
+    d = d.withColumn("n", F.count("*").over(Window.partitionBy("entity_id", "part")))
+    alone = d.where("n = 1").selectExpr("sighting_id", "entity_id", "true AS accepted", *(f"cast(NULL AS {t}) AS {c}" for c, t in (x.split() for x in TRACK.split(", ")[3:])))
+    # more parts per partition than entities: a busy entity's parts are dealt over many tasks
+    walked = d.where("n > 1").repartition("entity_id", "part").sortWithinPartitions("entity_id", "part", "rank", F.desc("trust"), "us", "sighting_id")
+    return alone.union(walked.select("entity_id", "part", *SIGHT).mapInArrow(_walk, TRACK))
+
+
+def _cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stays sorted by entity and time, with their place; state: the entity's places, never its stays."""
+    entity, found = None, []  # (lat, lon, stays) by place
+    for batch in batches:
+        out = []
+        for who, lat, lon in zip(*(batch.column(c).to_pylist() for c in ("entity_id", "lat", "lon")), strict=True):
+            if who != entity:
+                entity, found = who, []
+            k = next((k for k, p in enumerate(found) if _km(p[0], p[1], lat, lon) <= PLACE_KM), len(found))
+            n = found[k][2] if k < len(found) else 0
+            new = ((found[k][0] * n + lat) / (n + 1), (found[k][1] * n + lon) / (n + 1), n + 1) if n else (lat, lon, 1)
+            found[k : k + 1] = [new]
+            out.append(k + 1)
+        yield batch.append_column("place", pa.array(out, pa.int32()))
 
 
 def place_of_stays(accepted: DataFrame) -> DataFrame:
-    """The place of every stay (dwell above 0): the first one within 0.3 km of its running centre, in order of time; else a new one."""
-    d = accepted.where("dwell_min > 0").select("sighting_id", "entity_id", F.unix_micros("ts").alias("us"), "lat", "lon")
-    return d.groupBy("entity_id").applyInPandas(lambda p: _cluster(p), STAY)
+    """The stays (dwell above 0) with their place: the first one within 0.3 km of its running centre, in order of time; else a new one."""
+    d = accepted.where("dwell_min > 0")
+    schema = d.withColumn("place", F.lit(None).cast("int")).schema
+    return d.repartition("entity_id").sortWithinPartitions("entity_id", F.unix_micros("ts"), "sighting_id").mapInArrow(_cluster, schema)
 
 
 def covered_dates(ts: Column, dwell_min: Column, hour: int, weekdays_only: bool = False) -> Column:
@@ -117,7 +138,7 @@ def _clock(minutes: Column) -> Column:
 
 def place_roles(accepted: DataFrame) -> DataFrame:
     """Each place's role: night, day, trip or episodic, with its counts, confidence and mean window of the stays that count."""
-    d = accepted.join(place_of_stays(accepted), ["sighting_id", "entity_id"]).withColumn("nights", covered_dates(F.col("ts"), F.col("dwell_min"), NIGHT_HOUR))
+    d = place_of_stays(accepted).withColumn("nights", covered_dates(F.col("ts"), F.col("dwell_min"), NIGHT_HOUR))
     d = d.withColumn("weekdays", covered_dates(F.col("ts"), F.col("dwell_min"), DAY_HOUR, True))
     minute = lambda t: F.hour(t) * 60 + F.minute(t)
     start = places.local(F.col("ts"))
