@@ -35,3 +35,10 @@ def patch_region(index: Column, grid_w: int, grid_h: int, width: int, height: in
     edge = lambda k, size, n: F.round(k * F.lit(float(size)) / n).cast("int")
     x, y = edge(column, width, grid_w), edge(row, height, grid_h)
     return F.struct(x.alias("x"), y.alias("y"), (edge(column + 1, width, grid_w) - x).alias("w"), (edge(row + 1, height, grid_h) - y).alias("h"))
+
+
+def from_corners(x1: Column, y1: Column, x2: Column, y2: Column, scale: float) -> list[Column]:
+    """x, y, w, h in whole frame pixels of two corners on a screen that shows the frame ``scale`` times smaller."""
+    edge = lambda c: F.round(c * scale).cast("int")
+    left, top = edge(F.least(x1, x2)), edge(F.least(y1, y2))
+    return [left.alias("x"), top.alias("y"), (edge(F.greatest(x1, x2)) - left).alias("w"), (edge(F.greatest(y1, y2)) - top).alias("h")]

@@ -13,9 +13,9 @@ POSITIVE, JUNK = "(qv = gv AND qc <> gc)", "(qv = gv AND qc = gc)"
 
 
 def labelled(ranked: DataFrame, queries: DataFrame, gallery: DataFrame) -> DataFrame:
-    """Adds vehicle and camera of the query and of the gallery row."""
+    """Adds vehicle and camera of the query and of the gallery row; a row without a label keeps vehicle -1, which nothing matches."""
     side = lambda d, n: d.select(F.col("pos").alias(f"{n}pos"), F.col("vehicle_id").alias(f"{n}v"), F.col("camera_id").alias(f"{n}c"))
-    return ranked.join(side(queries, "q"), "qpos").join(side(gallery, "g"), "gpos")
+    return ranked.join(side(queries, "q"), "qpos").join(side(gallery, "g"), "gpos", "left").withColumn("gv", F.coalesce("gv", F.lit(-1)))
 
 
 def positives(queries: DataFrame, gallery: DataFrame) -> DataFrame:
@@ -82,9 +82,40 @@ def pick(curve: DataFrame, objective: str = "q", min_tnr: float = 0.0) -> DataFr
     return curve.where(~F.coalesce(F.col("tnr") < min_tnr, F.lit(False))).orderBy(F.desc(objective), F.desc("threshold")).limit(1)
 
 
-def reject_all_threshold() -> Column:
-    """A threshold just above every score in single precision."""
-    return F.lit(1.0000001192092896)
+def next_float(x: Column) -> Column:
+    """The next single-precision number above a positive score, as a double."""
+    low = x.cast("float").cast("double")
+    return low + F.pow(F.lit(2.0), F.floor(F.log2(low)) - 23)
+
+
+def calibrate(d: DataFrame) -> DataFrame:
+    """The threshold with the best (q, tnr, threshold) among all scores and one just above the largest, which rejects all.
+
+    Decisions of one class only (all with a match or none) fail: a threshold can't be told from them.
+    """
+    one = F.count_if("has_match")
+    both = F.when((one == 0) | (one == F.count("*")), F.raise_error(F.lit("calibration needs queries with and without a match"))).otherwise(0)
+    none = d.agg(next_float(F.max("score")).alias("threshold"), both.cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), one.alias("fn"), F.count_if(~F.col("has_match")).alias("tn"), F.count_if(~F.col("has_match")).alias("n_open"))
+    return sweep(d).unionByName(rates(none)).orderBy(F.desc("q"), F.desc("tnr"), F.desc("threshold")).limit(1)
+
+
+def midpoint(curve: DataFrame) -> DataFrame:
+    """One row (threshold, q): the middle of the widest plateau of best q over cuts half-way between neighbouring thresholds.
+
+    ``curve``: the sweep. A cut's q is that of the threshold above it; the first cut lies 0.001 below the lowest, the last
+    0.001 above the highest threshold, where all is rejected (null q there: given as ``q_none``).
+    """
+    up, down = Window.orderBy("threshold"), Window.orderBy(F.desc("threshold"))
+    c = curve.withColumn("cut", F.coalesce((F.lag("threshold").over(up) + F.col("threshold")) / 2, F.col("threshold") - 1e-3))
+    c = c.withColumn("last", F.row_number().over(down) == 1)
+    end = F.struct((F.col("threshold") + 1e-3).alias("cut"), F.col("q_none").alias("q"))
+    own = F.struct(F.col("cut"), F.col("q"))
+    c = c.select(F.explode(F.when(F.col("last"), F.array(own, end)).otherwise(F.array(own))).alias("x")).select("x.*")
+    by_cut = Window.orderBy("cut")
+    best = F.abs(F.col("q") - F.max("q").over(Window.partitionBy())) <= 1e-8
+    c = c.withColumn("best", best).withColumn("island", F.row_number().over(by_cut) - F.sum(F.col("best").cast("int")).over(by_cut.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = c.where("best").groupBy("island").agg(F.min("cut").alias("lo"), F.max("cut").alias("hi"), F.max("q").alias("q"))
+    return runs.orderBy(F.desc(F.col("hi") - F.col("lo")), "lo").limit(1).select(((F.col("lo") + F.col("hi")) / 2).alias("threshold"), "q")
 
 
 def pr_auc(d: DataFrame) -> DataFrame:
@@ -118,18 +149,19 @@ def parity(a: DataFrame, b: DataFrame) -> DataFrame:
     return d.select("qpos", (F.get("x", F.lit(0)) == F.get("y", F.lit(0))).alias("same_top1"), (F.array_sort("x") == F.array_sort("y")).alias("same_set"), (F.col("x") == F.col("y")).alias("same_order"), F.size(F.array_intersect("x", "y")).cast("long").alias("overlap"), F.abs(F.col("x_top") - F.col("y_top")).alias("top_shift"))
 
 
-def bootstrap(per_query: DataFrame, repetitions: int = 200, level: float = 0.95) -> DataFrame:
+def bootstrap(per_query: DataFrame, repetitions: int = 2000, level: float = 0.95) -> DataFrame:
     """(metric, low, high): percentile interval of the mean ap and of q, resampling vehicles.
 
     ``per_query``: vehicle_id, ap (null if unknown), outcome, has_match. A vehicle's weight
     in a repetition is the number of its draws: each of the n draws picks the vehicle with
-    the matching hash remainder. Only sums by (repetition, vehicle) move.
+    the matching remainder of an MD5. Only sums by (repetition, vehicle) move.
     """
     sums = per_query.groupBy("vehicle_id").agg(F.sum("ap").alias("ap"), F.count("ap").alias("n_ap"), *[F.count_if(F.col("outcome") == k).alias(k) for k in ("tp", "fp", "fn", "tn")], F.count_if(~F.col("has_match")).alias("n_open"))
     numbered = sums.withColumn("i", F.row_number().over(Window.orderBy("vehicle_id")) - 1)
     n = numbered.agg(F.count("*").alias("n"))
     draws = per_query.sparkSession.range(repetitions).withColumnRenamed("id", "rep").join(F.broadcast(n)).select("rep", F.expr("explode(sequence(1, cast(n AS int))) AS draw"), "n")
-    draws = draws.select("rep", F.pmod(F.xxhash64("rep", "draw"), F.col("n")).cast("int").alias("i"))
+    lot = F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "draw")), 1, 8), 16, 10).cast("long")
+    draws = draws.select("rep", (lot % F.col("n")).cast("int").alias("i"))
     c = draws.join(numbered, "i").groupBy("rep").agg((F.sum("ap") / F.sum("n_ap")).alias("map"), *[F.sum(k).alias(k) for k in ("tp", "fp", "fn", "tn", "n_open")])
     tail = (1 - level) / 2
     out = rates(c).select(F.explode(F.create_map(F.lit("map"), F.col("map"), F.lit("q"), F.col("q"))).alias("metric", "value"))

@@ -58,7 +58,7 @@ def threshold_refusals(spark, sf):
 
 def candidates_export(spark, sf):
     d = ranking.top_k(*_sides(spark, sf), 1).where(F.col("score") >= THRESHOLD)
-    return d.select(F.concat(F.lit("img_"), "qpos").alias("query_id"), F.concat(F.lit("img_"), "gpos").alias("gallery_id"), F.format_string("%.4f", "score").alias("confidence"))
+    return d.select(F.concat(F.lit("img_"), "qpos").alias("query_id"), F.concat(F.lit("img_"), "gpos").alias("gallery_id"), F.format_string("%.6f", "score").alias("confidence"))
 
 
 def submission_lines(spark, sf):
@@ -176,10 +176,8 @@ def calibrate_pick(spark, sf):
 
 
 def calibrate_with_reject_all(spark, sf):
-    d = _decided(spark, sf)
-    none = d.agg(metrics.reject_all_threshold().alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), F.count_if("has_match").alias("fn"), F.count_if(~F.col("has_match")).alias("tn"), F.count_if(~F.col("has_match")).alias("n_open"))
-    curve = metrics.sweep(d).unionByName(metrics.rates(none))
-    return curve.orderBy(F.desc("q"), F.desc("tnr"), F.desc("threshold")).limit(1).select(_six("threshold"), "tp", "fp", "fn", "tn", _six("q"))
+    c = metrics.calibrate(_decided(spark, sf))
+    return c.select(_six("threshold"), "tp", "fp", "fn", "tn", _six("q"))
 
 
 def grid_curve(spark, sf):
@@ -241,7 +239,7 @@ ORACLES = {
     "knn_version_filtered": f"WITH {sql.PAIRS} SELECT qpos, row_number() OVER (PARTITION BY qpos ORDER BY score DESC, gpos) AS rank, gpos, round(score, 6) AS score FROM (SELECT * FROM pairs WHERE model_version = '1.2.0') QUALIFY row_number() OVER (PARTITION BY qpos ORDER BY score DESC, gpos) <= 10",
     "search_accept_flag": f"WITH {sql.PAIRS} SELECT qpos, min_by(gpos, rank) AS gpos, count(*) AS n, round(max(score), 6) AS best, max(score) >= 0.35 AS accepted FROM top10 GROUP BY qpos",
     "threshold_refusals": f"WITH {sql.PAIRS} SELECT pos AS qpos, image_id FROM q WHERE pos NOT IN (SELECT qpos FROM ranked WHERE rank = 1 AND score >= 0.35)",
-    "candidates_export": f"WITH {sql.PAIRS} SELECT 'img_' || qpos AS query_id, 'img_' || gpos AS gallery_id, printf('%.4f', score) AS confidence FROM ranked WHERE rank = 1 AND score >= 0.35",
+    "candidates_export": f"WITH {sql.PAIRS} SELECT 'img_' || qpos AS query_id, 'img_' || gpos AS gallery_id, printf('%.6f', score) AS confidence FROM ranked WHERE rank = 1 AND score >= 0.35",
     "submission_lines": f"WITH {sql.PAIRS} SELECT 'img_' || qpos || ',' || string_agg('img_' || gpos, ',' ORDER BY rank) AS line FROM top10 GROUP BY qpos",
     "patch_mutual_nn": f"{_TOK} SELECT qpos, gpos, i, j, round(similarity, 6) AS similarity FROM m",
     "confidence_blend": f"""{_TOK},
@@ -278,7 +276,7 @@ SELECT round(sum(CASE WHEN y = 1 THEN hits / r END) / sum(y), 6) AS pr_auc FROM
     "threshold_sweep": f"{_WITH}, {sql.DECIDED}, {sql.SWEEP}, {sql.RATES} SELECT round(threshold, 6) AS threshold, tp, fp, fn, tn, round(f1, 6) AS f1, round(tnr, 6) AS tnr, round(q, 6) AS q FROM rq",
     "calibrate_pick": f"{_WITH}, {sql.DECIDED}, {sql.SWEEP}, {sql.RATES} SELECT round(threshold, 6) AS threshold, tp, fp, fn, tn, round(q, 6) AS q FROM rq WHERE tnr IS NULL OR tnr >= 0.5 ORDER BY rq.q DESC, rq.threshold DESC LIMIT 1",
     "calibrate_with_reject_all": f"""{_WITH}, {sql.DECIDED}, {sql.SWEEP.replace("c AS (", "c0 AS (")},
-c AS (SELECT * FROM c0 UNION ALL SELECT 1.0000001192092896, 0, 0, all_m, n_open, n_open FROM tot), {sql.RATES}
+c AS (SELECT * FROM c0 UNION ALL SELECT (SELECT CAST(max(score) AS FLOAT)::DOUBLE + pow(2, floor(log2(max(score)))) * pow(2, -23) FROM o), 0, 0, all_m, n_open, n_open FROM tot), {sql.RATES}
 SELECT round(threshold, 6) AS threshold, tp, fp, fn, tn, round(q, 6) AS q FROM rq ORDER BY rq.q DESC, rq.tnr DESC, rq.threshold DESC LIMIT 1""",
     "grid_curve": f"""{_WITH}, {sql.DECIDED},
 grid AS (SELECT i, 0.30::DOUBLE + i * 0.005::DOUBLE AS t FROM range(130) AS r(i)),

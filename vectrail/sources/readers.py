@@ -17,6 +17,68 @@ def read_boxes(spark: SparkSession, path: str) -> DataFrame:
     return d.withColumns({c: F.greatest(F.col(c), F.lit(0)) for c in "xywh"})
 
 
+def read_boxes_by_name(spark: SparkSession, path: str, optional: tuple[str, ...] = (), strict: bool = True) -> DataFrame:
+    """Box rows of CSV files whose columns come in any order, with other columns left out.
+
+    ``optional`` string columns (such as vehicle_id) are null where a file hasn't got them. A header that misses or repeats
+    a column fails, and with ``strict`` so does a null, unsafe or repeated id, a number that is no 32-bit integer, an empty
+    size or a table without rows. Ids stay strings.
+    """
+    raw = spark.read.csv(path, header=True, inferSchema=False)
+    header = [c.strip().lstrip("\ufeff") for c in spark.read.text(path).first()[0].split(",")] if raw.columns else []
+    twice = sorted({c for c in header if header.count(c) > 1})
+    missing = sorted({"image_id", *"xywh"} - set(header))
+    if twice or missing:
+        raise ValueError(f"columns repeated: {twice}, missing: {missing}")
+    number = {c: F.col(c).try_cast("int") for c in "xywh"}
+    d = raw.select("image_id", *[number[c].alias(c) for c in "xywh"], *[(F.col(c) if c in raw.columns else F.lit(None).cast("string")).alias(c) for c in optional])
+    if strict:
+        bad = box_problems(d).limit(3).collect()
+        if bad or d.isEmpty():
+            raise ValueError(f"bad rows: {[tuple(r) for r in bad]}" if bad else "no rows")
+    return d
+
+
+def read_truth(spark: SparkSession, path: str, required: tuple[str, ...] = ("image_id", "vehicle_id", "camera_id")) -> DataFrame:
+    """Ground-truth rows as strings; a missing column fails."""
+    d = spark.read.csv(path, header=True, inferSchema=False)
+    missing = [c for c in required if c not in d.columns]
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+    return d.select(*required)
+
+
+def parse_train_list(lines: DataFrame) -> DataFrame:
+    """(path, identity, camera, label) of list lines ``path identity camera label`` parted by blanks, commas or semicolons.
+
+    A header (whose label is no number) and blank lines are left out; paths lose "./" and back slashes. Fails if a path
+    comes twice, if labels aren't 0 .. n - 1 or if labels and identities don't match one to one.
+    """
+    f = F.split(F.trim(F.regexp_replace("line", "\ufeff", "")), r"[\s,;]+")
+    d = lines.select(f.alias("f")).where(F.size("f") >= 4).select(F.regexp_replace(F.regexp_replace(F.col("f")[0], r"\\", "/"), r"^(\./)+", "").alias("path"), F.col("f")[1].alias("identity"), F.col("f")[2].alias("camera"), F.col("f")[3].try_cast("long").alias("label"))
+    d = d.where("label IS NOT NULL")
+    n = d.agg(F.count("*").alias("n"), F.countDistinct("path").alias("paths"), F.countDistinct("label").alias("labels"), F.countDistinct("identity").alias("ids"), F.countDistinct("label", "identity").alias("pairs"), F.min("label").alias("low"), F.max("label").alias("high")).first()
+    if n["n"] and (n["paths"] < n["n"] or n["low"] != 0 or n["high"] != n["labels"] - 1 or not n["labels"] == n["ids"] == n["pairs"]):
+        raise ValueError(f"inconsistent list: {n.asDict()}")
+    return d
+
+
+def union_lists(parts: dict[str, DataFrame]) -> DataFrame:
+    """Lists under one numbering: identities get their list's name in front, a path in two lists fails, labels go by identity.
+
+    Identities are numbered over their distinct values only.
+    """
+    d = None
+    for name, part in parts.items():
+        one = part.select("path", F.concat(F.lit(f"{name}:"), "identity").alias("identity"), "camera")
+        d = one if d is None else d.unionByName(one)
+    clash = d.groupBy("path").count().where("count > 1").limit(3).collect()
+    if clash:
+        raise ValueError(f"paths in two lists: {[r['path'] for r in clash]}")
+    number = d.select("identity").distinct().withColumn("label", (F.row_number().over(Window.orderBy("identity")) - 1).cast("long"))
+    return d.join(number, "identity").select("path", "identity", "camera", "label")
+
+
 def box_problems(boxes: DataFrame) -> DataFrame:
     """Ids with what is wrong: null or unsafe id, missing number, empty size, id seen more than once."""
     bad = (
