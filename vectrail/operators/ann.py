@@ -1,0 +1,84 @@
+"""Approximate nearest neighbours by cells around fitted centres.
+
+Centres are fitted on at most ``SAMPLE`` vectors (the first by hash) and are few, so they are broadcast; every gallery row is
+indexed: it goes to its nearest centre's cell. A query looks into the ``probes`` nearest cells. Cells and the queries that
+look into them are cut into blocks, so a crowded cell is many tasks, and each task returns its best k only.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from vectrail.functions.vectors import doubles
+
+#: Vectors that centres are fitted on, rows of a block.
+SAMPLE, BLOCK = 20_000, 4096
+
+
+def fit_centres(gallery: DataFrame, cells: int, rounds: int = 12, sample: int = SAMPLE) -> np.ndarray:
+    """Unit centres of the sample by spherical k-means; at most ``sample`` vectors reach the driver."""
+    rows = gallery.orderBy(F.xxhash64("pos"), "pos").limit(sample).select(doubles("embedding").alias("v")).toArrow()
+    x = np.array(rows.column(0).to_pylist(), float).reshape(len(rows), -1)
+    if not len(x):
+        return np.zeros((1, 1))
+    centres = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)].copy()
+    for _ in range(rounds):
+        own = np.argmax(x @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norm > 0, sums / np.maximum(norm, 1e-12), centres)
+    return centres
+
+
+def _cells_of(rows: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
+    """(pos, v, cell): each row once per nearest cell."""
+    sent = rows.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack(batch.column(1).to_numpy(zero_copy_only=False))
+                near = np.argsort(-(x @ sent.value.T), axis=1, kind="stable")[:, :probes]
+                at = np.repeat(np.arange(len(x)), near.shape[1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(near.ravel().astype(np.int32))], names=["pos", "v", "cell"])
+
+    return rows.select("pos", doubles("embedding").alias("v")).mapInArrow(run, "pos long, v array<double>, cell int")
+
+
+def search(queries: DataFrame, gallery: DataFrame, centres: np.ndarray, probes: int, k: int = 10, block: int = BLOCK) -> DataFrame:
+    """(qpos, gpos, score, rank): the best k of the probed cells, ties by position. Both sides have (pos, embedding)."""
+    q, g = _cells_of(queries, centres, probes), _cells_of(gallery, centres, 1)
+    count = lambda d, name: d.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    blocks = F.broadcast(count(q, "nq").join(count(g, "ng"), "cell"))  # one row per centre at most
+    deal = lambda n: F.pmod(F.xxhash64("pos"), F.col(n)).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = q.join(blocks, "cell").select("cell", deal("nq").alias("qb"), copies("ng").alias("gb"), F.lit(True).alias("query"), "pos", "v")
+    right = g.join(blocks, "cell").select("cell", copies("nq").alias("qb"), deal("ng").alias("gb"), F.lit(False).alias("query"), "pos", "v")
+
+    def best(table: pa.Table) -> pa.Table:
+        side = table.column("query").to_numpy()
+        pos, v = table.column("pos").to_numpy(), np.stack(table.column("v").to_numpy())
+        qpos, order = pos[side], np.argsort(pos[~side], kind="stable")
+        gpos, rows = pos[~side][order], v[~side][order]
+        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if len(qpos) and len(gpos):
+            s = v[side] @ rows.T
+            pick = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            out = [np.repeat(qpos, pick.shape[1]), gpos[pick].ravel(), np.take_along_axis(s, pick, 1).ravel()]
+        return pa.table({n: pa.array(c) for n, c in zip(("qpos", "gpos", "score"), out, strict=True)})
+
+    found = left.union(right).groupBy("cell", "qb", "gb").applyInArrow(best, "qpos long, gpos long, score double")
+    rank = F.row_number().over(Window.partitionBy("qpos").orderBy(F.desc("score"), "gpos"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: queries and the mean share of their exact (qpos, gpos) rows that were found."""
+    hit = exact.select("qpos", "gpos").join(found.select("qpos", "gpos", F.lit(1).alias("hit")), ["qpos", "gpos"], "left")
+    return hit.groupBy("qpos").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("r")).agg(F.count("*").alias("n"), F.avg("r").alias("recall"))

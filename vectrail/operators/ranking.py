@@ -1,13 +1,15 @@
 """Exact nearest neighbours, gallery refinement and patch correspondence.
 
-Queries are a stated set that is held against all gallery rows in blocks: a block of at
-most ``BLOCK`` vectors is broadcast, every gallery partition multiplies it with its rows
-and keeps the best k of each query, and only those meet in a window.
+Queries are a stated set that is held against all gallery rows in blocks. A query side of at
+most ``BLOCK`` vectors is broadcast, every gallery partition multiplies it with its rows and
+keeps the best k of each query per Arrow batch. A larger side is cut into blocks like the
+gallery, each pair of blocks is one task's product, and nothing passes through the driver.
+Only the best k per query and piece meet in a window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,18 +22,6 @@ from vectrail.functions.vectors import doubles, dot, l2_normalize
 BLOCK = 4096
 
 
-def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids, rows = [], []
-    for r in queries.select("pos", doubles("embedding").alias("v")).toLocalIterator():
-        ids.append(r["pos"])
-        rows.append(r["v"])
-        if len(ids) == block:
-            yield np.array(ids, np.int64), np.array(rows, float)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids, np.int64), np.array(rows, float)
-
-
 def _best(scores: np.ndarray, pos: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k best of each row, ties by position; the order among them is free."""
     if scores.shape[1] <= k:
@@ -40,32 +30,64 @@ def _best(scores: np.ndarray, pos: np.ndarray, k: int) -> np.ndarray:
     return by_pos[np.argsort(-scores[:, by_pos], axis=1, kind="stable")[:, :k]]
 
 
+def _products(own: np.ndarray, q: np.ndarray, pos: np.ndarray, rows: np.ndarray, k: int | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(qpos, gpos, score) of the best k rows of each query, in steps of queries."""
+    for i in range(0, len(own), 1024):
+        s = q[i : i + 1024] @ rows.T
+        pick = _best(s, pos, k or s.shape[1])
+        yield np.repeat(own[i : i + 1024], pick.shape[1]), pos[pick].ravel(), np.take_along_axis(s, pick, 1).ravel()
+
+
+def block_pairs(left: DataFrame, right: DataFrame, solve: Callable[..., list[np.ndarray]], schema: str, block: int = BLOCK) -> DataFrame:
+    """``solve(left columns, right columns)`` of every pair of a left and a right block, one task each.
+
+    Both sides have the same columns: pos, v and others. Rows go to blocks by hash of pos.
+    """
+    many = lambda d: max(1, -(-d.count() // block))
+    n_left, n_right = many(left), many(right)
+    deal = lambda n: F.pmod(F.xxhash64("pos"), F.lit(n)).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    names, out = left.columns, [c.split()[0] for c in schema.split(", ")]
+    a = left.select("*", deal(n_left).alias("_i"), copies(n_right).alias("_j"), F.lit(True).alias("_left"))
+    b = right.select("*", copies(n_left).alias("_i"), deal(n_right).alias("_j"), F.lit(False).alias("_left"))
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("_left").to_numpy()
+        got = [np.stack(table.column(c).to_numpy()) if c == "v" else table.column(c).to_numpy() for c in names]
+        return pa.table(dict(zip(out, map(pa.array, solve([x[side] for x in got], [x[~side] for x in got])), strict=True)))
+
+    return a.unionByName(b).groupBy("_i", "_j").applyInArrow(run, schema)
+
+
+PAIR = "qpos long, gpos long, score double"
+
+
 def scored(queries: DataFrame, gallery: DataFrame, k: int | None = None, block: int = BLOCK) -> DataFrame:
-    """(qpos, gpos, score): the best k gallery rows of each query per partition, or all.
+    """(qpos, gpos, score): the best k gallery rows of each query per piece of the gallery, or all.
 
     Both sides have (pos, embedding); the score is the dot product in double precision.
     """
-    spark, out = gallery.sparkSession, None
-    for ids, vectors in _blocks(queries, block):
-        sent = spark.sparkContext.broadcast((ids, vectors))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own, q = sent.value
-            kept: list[np.ndarray] = []
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                pos = batch.column(0).to_numpy()
+    vectors = lambda d: d.select("pos", doubles("embedding").alias("v"))
+    few = vectors(queries).limit(block + 1).toArrow()  # at most one block reaches the driver
+    if len(few) > block:
+
+        def solve(left: list[np.ndarray], right: list[np.ndarray]) -> list[np.ndarray]:
+            if not len(left[0]) or not len(right[0]):
+                return [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+            return [np.concatenate(c) for c in zip(*_products(*left, *right, k), strict=True)]
+
+        return block_pairs(vectors(queries), vectors(gallery), solve, PAIR, block)
+    own = few.column("pos").to_numpy()
+    sent = gallery.sparkSession.sparkContext.broadcast((own, np.array(few.column("v").to_pylist(), float).reshape(len(own), -1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows and len(sent.value[0]):
                 rows = np.stack(batch.column(1).to_numpy(zero_copy_only=False))
-                for i in range(0, len(own), 1024):
-                    s = q[i : i + 1024] @ rows.T
-                    pick = _best(s, pos, k or s.shape[1])
-                    found = [np.repeat(own[i : i + 1024], pick.shape[1]), pos[pick].ravel(), np.take_along_axis(s, pick, 1).ravel()]
+                for found in _products(*sent.value, batch.column(0).to_numpy(), rows, k):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["qpos", "gpos", "score"])
 
-        part = gallery.select("pos", doubles("embedding").alias("v")).mapInArrow(run, "qpos long, gpos long, score double")
-        out = part if out is None else out.union(part)
-    return out if out is not None else spark.createDataFrame([], "qpos long, gpos long, score double")
+    return vectors(gallery).mapInArrow(run, PAIR)
 
 
 def top_k(queries: DataFrame, gallery: DataFrame, k: int | None = 10) -> DataFrame:
@@ -121,9 +143,20 @@ def local_scores(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFra
     return d.select("qpos", "gpos", F.least(share, F.lit(1.0)).alias("local_score"))
 
 
-def hardest(rows: DataFrame) -> DataFrame:
-    """(pos, hardest_positive, hardest_negative) scores of each row against all others, by vehicle."""
-    label = rows.select("pos", "vehicle_id")
-    pairs = scored(rows, rows).where("qpos <> gpos")
-    pairs = pairs.join(label.selectExpr("pos AS qpos", "vehicle_id AS qv"), "qpos").join(label.selectExpr("pos AS gpos", "vehicle_id AS gv"), "gpos")
-    return pairs.groupBy(F.col("qpos").alias("pos")).agg(F.min(F.when(F.expr("qv = gv"), F.col("score"))).alias("hardest_positive"), F.max(F.when(F.expr("qv <> gv"), F.col("score"))).alias("hardest_negative"))
+def hardest(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(pos, hardest_positive, hardest_negative) scores of each row against all others, by vehicle.
+
+    Every pair of blocks returns one row per left row, so pairs of rows are never shuffled.
+    """
+    d = rows.select("pos", doubles("embedding").alias("v"), "vehicle_id")
+
+    def solve(left: list[np.ndarray], right: list[np.ndarray]) -> list[np.ndarray]:
+        if not len(left[0]) or not len(right[0]):
+            return [np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
+        s = left[1] @ right[1].T
+        same, self = left[2][:, None] == right[2][None, :], left[0][:, None] == right[0][None, :]
+        return [left[0], np.where(same & ~self, s, np.inf).min(axis=1), np.where(same, -np.inf, s).max(axis=1)]
+
+    found = block_pairs(d, d, solve, "pos long, lo double, hi double", block)
+    best = found.groupBy("pos").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return best.select("pos", F.when(F.col("lo") < float("inf"), F.col("lo")).alias("hardest_positive"), F.when(F.col("hi") > float("-inf"), F.col("hi")).alias("hardest_negative"))

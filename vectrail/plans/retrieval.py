@@ -198,13 +198,14 @@ def latency_percentiles(spark, sf):
 
 
 def triplet_hardest(spark, sf):
-    return ranking.hardest(tables.queries(spark, sf)).select("pos", _six("hardest_positive"), _six("hardest_negative"))
+    return ranking.hardest(tables.gallery_base(spark, sf)).select("pos", _six("hardest_positive"), _six("hardest_negative"))
 
 
 def bootstrap_ci(spark, sf):
     q = tables.queries(spark, sf).select(F.col("pos").alias("qpos"), "vehicle_id")
     ap = metrics.average_precision(_ranked(spark, sf), _counts(spark, sf)).select("qpos", "ap")
-    return metrics.bootstrap(_decided(spark, sf).join(q, "qpos").join(ap, "qpos", "left"))
+    d = metrics.bootstrap(_decided(spark, sf).join(q, "qpos").join(ap, "qpos", "left"))
+    return d.select("metric", _six("low"), _six("high"))
 
 
 def recall_at_k(spark, sf):
@@ -290,8 +291,16 @@ xs AS (SELECT qpos, list(gpos ORDER BY score DESC, gpos) AS x, max(score) AS xt
 ys AS (SELECT qpos, list(gpos ORDER BY score DESC, gpos) AS y, max(score) AS yt FROM b GROUP BY qpos)
 SELECT qpos, x[1] = y[1] AS same_top1, list_sort(x) = list_sort(y) AS same_set, x = y AS same_order, CAST(len(list_intersect(x, y)) AS BIGINT) AS overlap, round(abs(xt - yt), 6) AS top_shift FROM xs JOIN ys USING (qpos)""",
     "latency_percentiles": "SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type",
-    "triplet_hardest": f"""WITH {sql.SIDES}, p AS (SELECT a.pos, a.vehicle_id = b.vehicle_id AS same, list_dot_product(a.v, b.v) AS s FROM q a, q b WHERE a.pos <> b.pos)
+    "triplet_hardest": f"""WITH {sql.SIDES}, p AS (SELECT a.pos, a.vehicle_id = b.vehicle_id AS same, list_dot_product(a.v, b.v) AS s FROM base a, base b WHERE a.pos <> b.pos)
 SELECT pos, round(min(CASE WHEN same THEN s END), 6) AS hardest_positive, round(max(CASE WHEN NOT same THEN s END), 6) AS hardest_negative FROM p GROUP BY pos""",
+    "bootstrap_ci": f"""{_WITH}, {sql.DECIDED}, {sql.average_precision('top10', 10)},
+bs AS (SELECT vehicle_id, sum(ap.ap) AS ap, count(ap.ap) AS n_ap, count(*) FILTER (outcome = 'tp') AS tp, count(*) FILTER (outcome = 'fp') AS fp, count(*) FILTER (outcome = 'fn') AS fn,
+  count(*) FILTER (outcome = 'tn') AS tn, count(*) FILTER (NOT has_match) AS n_open FROM o JOIN q ON q.pos = o.qpos LEFT JOIN ap ON ap.qpos = o.qpos GROUP BY vehicle_id),
+bi AS (SELECT *, row_number() OVER (ORDER BY vehicle_id) - 1 AS i, count(*) OVER () AS n FROM bs),
+bd AS (SELECT rep, CAST('0x' || substr(md5(rep || ':' || draw), 1, 8) AS BIGINT) % (SELECT max(n) FROM bi) AS i FROM range(2000) t(rep), range(1, (SELECT max(n) + 1 FROM bi)) u(draw)),
+c AS (SELECT rep, sum(ap) / sum(n_ap) AS map, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tn) AS tn, sum(n_open) AS n_open FROM bd JOIN bi USING (i) GROUP BY rep), {sql.RATES},
+m AS (SELECT 'map' AS metric, map AS value FROM rq UNION ALL SELECT 'q', rq.q FROM rq)
+SELECT metric, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM m GROUP BY metric""",
     "recall_at_k": f"""WITH {sql.PAIRS},
 hp AS (SELECT q.pos AS qpos, g.pos AS gpos FROM q, g QUALIFY row_number() OVER (PARTITION BY q.pos ORDER BY list_dot_product(q.v[1:32], g.v[1:32]) DESC, g.pos) <= 10),
 ov AS (SELECT t.qpos, count(hp.gpos) AS overlap FROM top10 t LEFT JOIN hp ON t.qpos = hp.qpos AND t.gpos = hp.gpos GROUP BY t.qpos)

@@ -1 +1 @@
-"""Structured Streaming imports."""
+"""Structured Streaming jobs."""
