@@ -80,12 +80,6 @@ def test_cutoffs_bound_false_rejection():
     """The bound is exact: no certified cutoff rejects more held-out good ones than the tail allows."""
     assert quality._tail(0, 10, 0.1) == pytest.approx(0.9**10)
     assert quality._tail(2, 5, 0.3) == pytest.approx(sum(math.comb(5, k) * 0.3**k * 0.7 ** (5 - k) for k in range(3)))
-    import pandas as pd
-
-    few = pd.DataFrame({"bin": [1, 40, 1, 40], "fold": [0, 0, 1, 1], "good": [1, 0, 1, 0], "n": [20, 20, 20, 20]})
-    assert quality.pick_cutoff(few, 0.01, 0.01) == math.inf
-    many = few.assign(n=2000)
-    assert quality.pick_cutoff(many, 0.01, 0.01) < 0.8
 
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Home</a></nav><header>Site</header>
