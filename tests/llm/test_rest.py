@@ -181,8 +181,7 @@ def test_op9(spark, tmp_path):
     big = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
     train, test = labels.where("doc_id % 5 <> 0"), labels.where("doc_id % 5 = 0")
-    vocabulary, models, _ = toxicity.train_chain(*toxicity.sample(docs, train))
-    s = toxicity.score(docs, vocabulary, models).join(test.selectExpr("doc_id", "toxic AS truth"), "doc_id")
+    s = toxicity.score(docs, *toxicity.fit(toxicity.sample(docs, train))).join(test.selectExpr("doc_id", "toxic AS truth"), "doc_id")
     tp, fp, fn = s.selectExpr("count_if(toxic AND truth = 1)", "count_if(toxic AND truth = 0)", "count_if(NOT toxic AND truth = 1)").first()
     print("held-out", tp, fp, fn)
     assert 2 * tp / max(1, 2 * tp + fp + fn) > 0.7

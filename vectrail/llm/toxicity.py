@@ -1,12 +1,13 @@
 """Toxicity by a classifier chain of linear models over words.
 
-Categories are predicted one after the other; the log odds of the earlier ones are
+Categories are predicted one after the other; the probabilities of the earlier ones are
 features of the later ones. While training, those come from models that did not see the
 document (out of fold), so a later model learns how far an earlier one can be trusted.
 
 The models are fitted on at most ``SAMPLE`` labelled documents, the first by hash of their
-id, and ``FEATURES`` words. They are fixed in size, so they are broadcast; every document
-is scored in one pass without a shuffle.
+id, and of these on as many as have ``ENTRIES`` features together, in one task on an executor;
+all their words are features. The models' non-zero weights, at most ``SPACE`` numbers a
+category, are broadcast; every document is scored whole, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ from pyspark.sql import functions as F
 
 from vectrail.llm.common import materialize, table
 
-SAMPLE, FEATURES, LEAST_DOCS, FOLDS = 12_000, 20_000, 4, 5
-#: The chain: category and its label (0 or 1) as SQL over the label columns.
-CHAIN = {"low_quality": "1 - quality", "toxic": "toxic"}
+SAMPLE, ENTRIES, LEAST_DOCS, FOLDS = 12_000, 24_000_000, 4, 5
+#: The chain: category and its label (0 or 1) as SQL over the label columns. The labels know
+#: toxic texts, and of these the ones that are junk besides.
+CHAIN = {"toxic": "toxic", "toxic_junk": "toxic * (1 - quality)"}
 #: Features are words and word beginnings, hashed to SPACE even numbers; the odd number
 #: after a beginning says that two distinct words or more have it.
 SPACE, BEGINNINGS = 1 << 21, (4, 5, 6, 7, 8)
@@ -69,7 +71,7 @@ def features_of(text: str, cache: Features) -> np.ndarray:
 
 @dataclass
 class Model:
-    """log odds = bias + sum of word weights + sum of earlier log odds times their weights."""
+    """log odds = bias + sum of word weights + sum of earlier probabilities times their weights."""
 
     bias: float
     weights: np.ndarray
@@ -83,7 +85,7 @@ def _odds(starts: np.ndarray, cols: np.ndarray, extra: np.ndarray, m: Model) ->
 
 
 def associated(starts: np.ndarray, cols: np.ndarray, y: np.ndarray, n_features: int) -> np.ndarray:
-    """Which features go with the label, by chi-square of presence; the strongest FEATURES."""
+    """Which features go with the label, by chi-square of presence."""
     n, n1 = len(y), y.sum()
     have = np.bincount(cols, minlength=n_features).astype(float)
     hit = np.bincount(cols, np.repeat(y, np.diff(starts)), n_features)
@@ -91,15 +93,12 @@ def associated(starts: np.ndarray, cols: np.ndarray, y: np.ndarray, n_features:
     below = have * n1 * (n - have) * (n - n1)
     chi = np.where((delta > 0) & (below > 0), n * delta**2 / np.maximum(below, 1), 0.0)
     chi[have < LEAST_DOCS] = 0
-    chosen = chi >= CHI_SQUARE
-    if chosen.sum() > FEATURES:
-        chosen &= chi >= np.sort(chi)[-FEATURES]
-    return chosen
+    return chi >= CHI_SQUARE
 
 
 def _fit(starts: np.ndarray, cols: np.ndarray, extra: np.ndarray, y: np.ndarray, n_features: int) -> Model:
     """Logistic regression on associated features by Adagrad steps, with a ridge penalty."""
-    rate = min(max(y.mean() if len(y) else 0.5, 1e-3), 1 - 1e-3)
+    rate = min(max(y.mean() if len(y) else 0.0, 1e-3), 1 - 1e-3)
     m = Model(math.log(rate / (1 - rate)), np.zeros(n_features), np.zeros(extra.shape[1]))
     if not len(y):
         return m
@@ -157,15 +156,18 @@ def train_chain(docs: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray,
         model = _fit(starts, cols, extra, y, len(vocabulary))
         model.cutoff = _best_cutoff(out[:, k], y)
         models.append(model)
-        extra = np.column_stack([extra, odds])
+        extra = np.column_stack([extra, out[:, k]])
     return vocabulary, models, out
 
 
-def sample(docs: DataFrame, labels: DataFrame, chain: dict[str, str] = CHAIN, size: int = SAMPLE) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of at most ``size`` labelled documents, the first by hash of the id.
+MODEL = "feature long, weights array<double>"
 
-    Label rows of an id that disagree or are null, and null ids, are left out; repeated
-    documents count once.
+
+def sample(docs: DataFrame, labels: DataFrame, chain: dict[str, str] = CHAIN, size: int = SAMPLE) -> DataFrame:
+    """(id, features, labels...) of at most ``size`` labelled documents, the first by hash of the id.
+
+    Label rows of an id that disagree or are null, and null ids, are left out. Of documents
+    that share an id one counts, that with the smallest features, so reruns agree.
     """
     known = labels.where("doc_id IS NOT NULL").groupBy("doc_id")
     known = known.agg(*[f(F.expr(e)).alias(f"{k}_{n}") for k, e in chain.items() for n, f in (("lo", F.min), ("hi", F.max))])
@@ -180,16 +182,40 @@ def sample(docs: DataFrame, labels: DataFrame, chain: dict[str, str] = CHAIN, si
             found = pa.array([features_of(t, cache).tobytes() for t in batch.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), found, *batch.columns[2:]], names=["id", "features", *chain])
 
-    rows = d.select("doc_id", F.coalesce("text", F.lit("")), *chain).mapInArrow(featurise, "id long, features binary, " + ", ".join(f"{k} int" for k in chain))
-    found = rows.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").collect()
-    return [np.frombuffer(bytes(r["features"]), np.int32) for r in found], np.array([[r[k] for k in chain] for r in found], np.int64).reshape(-1, len(chain))
+    rows = d.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("features"), *chain)
+    rows = rows.mapInArrow(featurise, rows.withColumn("features", F.lit(None).cast("binary")).schema)
+    return rows.groupBy("id").agg(F.min(F.struct("features", *chain)).alias("x")).select("id", "x.*")
 
 
-def score(docs: DataFrame, vocabulary: np.ndarray, models: list[Model], chain: dict[str, str] = CHAIN, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def fit(rows: DataFrame, chain: dict[str, str] = CHAIN, entries: int = ENTRIES) -> tuple[dict[int, np.ndarray], list[tuple[float, np.ndarray, float]]]:
+    """Weights by feature and (bias, weights of earlier categories, cutoff) by category, fitted in one task on ``sample``.
+
+    The task takes rows by hash of the id until they have ``entries`` features.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, labels, room = [], [], entries
+        for batch in batches:
+            for data, *y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                room -= len(data) // 4
+                if room >= 0:
+                    docs.append(np.frombuffer(data, np.int32))
+                    labels.append(y)
+        vocabulary, models, _ = train_chain(docs, np.array(labels, np.int64).reshape(-1, len(chain)))
+        used = np.flatnonzero(np.any([m.weights != 0 for m in models], axis=0))
+        out = [(int(vocabulary[i]), [float(m.weights[i]) for m in models]) for i in used]
+        out += [(-1 - k, [m.bias, m.cutoff, *map(float, m.earlier)]) for k, m in enumerate(models)]
+        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in out], pa.int64()), pa.array([w for _, w in out], pa.list_(pa.float64()))], names=["feature", "weights"])
+
+    one = rows.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").select("features", *chain)
+    found = {r["feature"]: np.array(r["weights"]) for r in one.mapInArrow(run, MODEL).collect()}
+    heads = [found.pop(-1 - k, np.zeros(2 + k)) for k in range(len(chain))]
+    return found, [(float(h[0]), h[2:], float(h[1]) or 0.5) for h in heads]
+
+
+def score(docs: DataFrame, weights_of: dict[int, np.ndarray], heads_of: list[tuple[float, np.ndarray, float]], chain: dict[str, str] = CHAIN, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and per category p_<category> and <category> (boolean) of each document."""
-    used = np.flatnonzero(np.any([m.weights != 0 for m in models], axis=0)) if models else []
-    table_of = {int(vocabulary[i]): np.array([m.weights[i] for m in models]) for i in used}
-    sent = docs.sparkSession.sparkContext.broadcast((table_of, [(m.bias, m.earlier, m.cutoff) for m in models]))
+    sent = docs.sparkSession.sparkContext.broadcast((weights_of, heads_of))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, heads = sent.value
@@ -217,9 +243,9 @@ def score(docs: DataFrame, vocabulary: np.ndarray, models: list[Model], chain: d
                 own = [weights[x] for x in often if x in weights] + [weights[x + 1] for x, n in often.items() if n > 1 and x + 1 in weights]
                 if own:
                     odds[i] = np.sum(own, axis=0)
+            p = np.zeros_like(odds)
             for k, (bias, earlier, _) in enumerate(heads):
-                odds[:, k] += bias + odds[:, :k] @ earlier
-            p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+                p[:, k] = 1 / (1 + np.exp(-np.clip(odds[:, k] + bias + p[:, :k] @ earlier, -30, 30)))
             out = [a for k, h in enumerate(heads) for a in (pa.array(p[:, k]), pa.array(p[:, k] >= h[2]))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *out], names=[*keep, *[n for k in chain for n in (f"p_{k}", k)]])
 
@@ -231,11 +257,13 @@ def score(docs: DataFrame, vocabulary: np.ndarray, models: list[Model], chain: d
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability and verdict per category of every document.
 
-    Null and empty texts get the models' biases. Repeated rows are scored each.
+    Null and empty texts get the models' biases. Repeated rows are scored each, equal texts
+    alike. A probability at the cutoff counts as the category. Only doc_id and text are read,
+    so other columns don't matter. An empty table gives no rows; without labels nothing is
+    toxic (probability 0.001).
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    vocabulary, models, _ = train_chain(*sample(docs, table(spark, sf_dir, "labels")))
-    return score(docs, vocabulary, models)
+    return score(docs, *fit(sample(docs, table(spark, sf_dir, "labels"))))
 
 
 QUERIES = {"op9_toxicity": op9_toxicity}
