@@ -10,7 +10,7 @@ from vectrail.llm import mixing
 PACKET = 16
 
 
-def plain_mix(docs, targets, budget):
+def plain_mix(docs, targets, budget, packet=PACKET):
     """(doc_id, size, taken) by serving packets in order of virtual finish time."""
     queues = {}
     for d in sorted(docs, key=lambda d: (hashlib.md5(str("" if d[0] is None else d[0]).encode()).hexdigest(), d[0] is not None, d[0] or 0, d[2])):
@@ -20,8 +20,8 @@ def plain_mix(docs, targets, budget):
         place = 0
         for _ in range(2):
             for i, d in enumerate(own):
-                for k in range(0, d[2], PACKET):
-                    words = min(PACKET, d[2] - k)
+                for k in range(0, d[2], packet):
+                    words = min(packet, d[2] - k)
                     place += words
                     heapq.heappush(heap, (place / targets[source][0], targets[source][1], place, words, source, i))
     while heap and budget > 0:
