@@ -54,22 +54,42 @@ CUES = {
 AGAINST = r"(?i)(?:version|isbn|issn|doi|order|invoice|build|release|https?://\S*)\W*$"
 
 
+#: Matches that are put together at once, characters before a span that are looked at.
+CHUNK, BEFORE = 64, 24
+FOUND = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, match>> of all matches, in code points.
+    """array<struct<start, end, match, before, after>> of all matches, in code points.
 
-    The pieces between matches and the matches themselves alternate, so offsets are
-    running sums of their lengths.
+    The pieces between matches and the matches themselves alternate, so offsets are running
+    sums of their lengths, and what stands before and after a match comes from its
+    neighbours: the text is read once, however many matches it has. Sums run by chunks of
+    matches, whose arrays are joined at the end, so that no array is copied per match.
     """
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-    empty = F.expr("struct(0 AS pos, cast(array() AS array<struct<start:int,end:int,match:string>>) AS out)")
+    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    after = lambda c: F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0)))
+    once = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  (a value that is worked out once)
+    zipped = lambda w: F.arrays_zip(w["p"].alias("p"), w["m"].alias("m"), after(w["p"]).alias("np"), after(w["m"]).alias("nm"))
+    cut = lambda z: F.transform(F.sequence(F.lit(1), F.size(z), F.lit(CHUNK)), lambda i: F.slice(z, i, CHUNK))
+    chunks = once(once(F.struct(pieces.alias("p"), found.alias("m")), zipped), cut)
+    text_of = lambda c: F.coalesce(c, F.lit(""))
+    last = lambda c: F.substr(c, F.lit(-BEFORE))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["pos"] + F.length(x["p"])
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("match")))
-        return F.struct(end.alias("pos"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+        before = last(F.concat(acc["tail"], last(x["p"])))
+        end = start + F.length(text_of(x["m"]))
+        follows = F.substring(F.concat(text_of(x["np"]), text_of(x["nm"])), 1, 1)
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("match"), before.alias("before"), follows.alias("after")))
+        return F.struct(end.alias("pos"), last(F.concat(before, text_of(x["m"]))).alias("tail"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+
+    def chunk(acc: Column, part: Column) -> Column:
+        empty = F.struct(acc["pos"].alias("pos"), acc["tail"].alias("tail"), F.array().cast(FOUND).alias("out"))
+        return once(F.aggregate(part, empty, step), lambda r: F.struct(r["pos"].alias("pos"), r["tail"].alias("tail"), F.concat(acc["outs"], F.array(r["out"])).alias("outs")))
 
-    return F.aggregate(zipped, empty, step, lambda acc: acc["out"])
+    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("tail"), F.array().cast(f"array<{FOUND}>").alias("outs"))
+    return F.aggregate(chunks, start, chunk, lambda acc: F.flatten(acc["outs"]))
 
 
 def _digits(m: Column) -> Column:
@@ -87,9 +107,8 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add) % 10 == 0
 
 
-def _votes(text: Column, kind: str, form: Column, gazetteer: Column, s: Column) -> Column:
-    before = F.substring(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24)))
-    after = F.substring(text, s["end"] + 1, F.lit(1))
+def _votes(kind: str, form: Column, gazetteer: Column, s: Column) -> Column:
+    before, after = s["before"], s["after"]
     context = F.when(before.rlike(CUES[kind]), 1).when(before.rlike(AGAINST), -1).otherwise(0)
     boundary = F.when(before.rlike("[A-Za-z0-9]$") | after.rlike("^[A-Za-z0-9]"), -1).otherwise(1)
     return F.struct(
@@ -105,13 +124,13 @@ def _yes(c: Column) -> Column:
 def candidates(text: Column) -> Column:
     """array<struct<kind, start, end, base, votes...>> of a text, by kind, then start."""
     t = F.coalesce(text, F.lit(""))
-    none = F.expr("cast(array() AS array<struct<start:int,end:int,match:string>>)")
+    none = F.array().cast(FOUND)
     some = lambda cheap, pattern: F.when(cheap, matches(t, pattern)).otherwise(none)
     digit = t.rlike("[0-9]")
     card_ok = lambda s: F.length(_digits(s["match"])).between(13, 19)
     runs = F.filter(some(digit, CARD), card_ok)
     valid = lambda s: luhn(_digits(s["match"]))
-    of = lambda kind, found, form, gaz: F.transform(found, lambda s: _votes(t, kind, form(s), gaz(s), s))
+    of = lambda kind, found, form, gaz: F.transform(found, lambda s: _votes(kind, form(s), gaz(s), s))
     one, minus = (lambda s: F.lit(1)), (lambda s: F.lit(-1))
     ips = F.filter(some(digit & t.contains("."), IP), lambda s: F.forall(F.split(s["match"], r"\."), lambda p: p.cast("double") <= 255))
     phones = F.filter(some(t.contains("+"), PHONE), lambda s: F.length(_digits(s["match"])).between(9, 15))
@@ -208,7 +227,12 @@ def redact(docs: DataFrame) -> DataFrame:
 
 
 def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data of every document, in code points."""
+    """Personal data of every document, in code points.
+
+    Null and empty texts have no spans. Repeated rows are judged each, equal texts alike.
+    Spans of different kinds may overlap; of one kind they are leftmost and never do. An
+    empty table gives no rows. Only doc_id and text are read, so other columns don't matter.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", candidates(F.col("text")).alias("spans"))
     docs = materialize(docs, "pii-spans")
     weights = fit(docs)
