@@ -213,8 +213,9 @@ def redact(docs: DataFrame) -> DataFrame:
     texts without spans are unchanged.
     """
     spans = unused("spans", docs)
-    weights = fit(docs.select(candidates(F.col("text")).alias("spans")))
-    d = docs.withColumn(spans, accepted(candidates(F.col("text")), weights))
+    # written once: the fit reads only the spans, and no later expression searches the texts again
+    d = materialize(docs.withColumn(spans, candidates(F.col("text"))), "pii-candidates")
+    d = d.withColumn(spans, accepted(F.col(spans), fit(d, spans)))
     in_order = F.array_sort(F.transform(F.col(spans), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def step(acc: Column, s: Column) -> Column:
