@@ -447,7 +447,7 @@ def drop_near_copies(docs: DataFrame, words_per_shingle: int = 5, similarity: fl
     repeat the smallest id of a group stay once. Blank texts are one group. All columns are
     kept; null ids stay only in groups without other ids.
     """
-    key, place = unused("node", docs), unused("place", docs)
+    key, place, row = unused("node", docs), unused("place", docs), unused("row", docs)
     keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
     prints = with_shingle_set(keyed.select("doc_id", "text", F.col(key).alias("_k")), words_per_shingle, width, ("doc_id", "_k"))
     prints = materialize(prints, "doc-fingerprints")
@@ -461,10 +461,12 @@ def drop_near_copies(docs: DataFrame, words_per_shingle: int = 5, similarity: fl
 
     found = classes(prints.drop("_k"), width, radius, sampled_tables(n, width, similarity, radius=radius), check)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "_k")).alias("x")
-    chosen = prints.join(found.select(F.col("node").alias("n"), "root"), F.col("node") == F.col("n")).groupBy("root").agg(first).select("x.id", "x._k")
-    d = keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["id"]) & (keyed[key] == chosen["_k"]), "left_semi")
-    one = Window.partitionBy("doc_id", key).orderBy(F.lit(0))
-    return d.withColumn(place, F.row_number().over(one)).where(F.col(place) == 1).drop(key, place)
+    chosen = prints.join(found.select(F.col("node").alias("n"), "root"), F.col("node") == F.col("n")).groupBy("root").agg(first)
+    chosen = chosen.select(F.xxhash64("x.id", "x._k").alias(row), F.col("x._k").alias(key))
+    # repeats go first, in the map tasks; the join then finds the texts dealt as it wants them
+    one = Window.partitionBy(row, key).orderBy(F.lit(0))
+    d = keyed.withColumn(row, F.xxhash64("doc_id", key)).withColumn(place, F.row_number().over(one)).where(F.col(place) == 1)
+    return d.join(chosen, [row, key]).drop(row, key, place)
 
 
 QUERIES = {"op1_simhash": op1_simhash}
