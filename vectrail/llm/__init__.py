@@ -22,6 +22,7 @@ MODULES = (
     "pii",
     "toxicity",
     "lm_score",
+    "whitening",
     "token_counts",
 )
 
