@@ -23,6 +23,7 @@ MODULES = (
     "toxicity",
     "lm_score",
     "whitening",
+    "collocations",
     "token_counts",
 )
 
