@@ -8,7 +8,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from vectrail.functions import places
-from vectrail.operators import ann, ranking
+from vectrail.operators import ivfpq, ranking
 from vectrail.plans import sql
 from vectrail.plans.tracks import _track
 from vectrail.sources import tables
@@ -122,26 +122,45 @@ def tagging_queue(spark, sf):
     return d.select("item_id", "error").join(tags, "item_id", "left").select("item_id", F.col("error").alias("error"), "tag")
 
 
-#: Cells of the index and those that a query looks into: on these vectors, which hardly cluster, recall is 0.93.
-CELLS, PROBES = 32, 22
+def _index(spark, sf):
+    """A new index of the gallery on the shared folder, opened from there."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{folder.rstrip('/')}/index-{uuid.uuid4().hex}"
+    ivfpq.build(tables.gallery(spark, sf).select("pos", "embedding"), path)
+    return ivfpq.load(spark, path)
 
 
 def ann_search(spark, sf):
-    q, g = tables.queries(spark, sf), tables.gallery(spark, sf)
-    d = ann.search(q, g, ann.fit_centres(g, CELLS), PROBES)
+    """The best ten by codes of all cells, a tenth of the rows scored exactly."""
+    index = _index(spark, sf)
+    d = ivfpq.search(tables.queries(spark, sf).select("pos", "embedding"), index, len(index.model.centres), index.rows // 10)
     return d.select("qpos", F.col("rank").cast("long").alias("rank"), "gpos", F.round("score", 6).alias("score"))
 
 
+def ann_sweep(spark, sf):
+    """Recall of the first ten, share of rows compared by code and scored exactly, for growing probes and re-ranks.
+
+    These vectors hardly cluster, so that few cells find few of the neighbours; the last setting is that of ``ann_search``.
+    """
+    q, index = tables.queries(spark, sf).select("pos", "embedding"), _index(spark, sf)
+    cells, rows = len(index.model.centres), index.rows
+    settings = [(cells // 8, rows // 50), (cells // 2, rows // 20), (cells * 3 // 4, rows // 20), (cells, rows // 20), (cells, rows // 10)]
+    d = ivfpq.sweep(q, index, ranking.top_k(q, tables.gallery(spark, sf)), settings)
+    return d.select("probes", "rerank", "n", *[F.round(c, 4).alias(c) for c in ("recall", "compared", "scored")])
+
+
 def ann_recall(spark, sf):
-    """Recall of the index at 10 against the exact search, and whether it reaches 0.9."""
-    q, g = tables.queries(spark, sf), tables.gallery(spark, sf)
-    r = ann.recall(ann.search(q, g, ann.fit_centres(g, CELLS), PROBES), ranking.top_k(q, g))
-    return r.select("n", (F.col("recall") >= 0.9).alias("enough"))
+    """Recall at 10 of ``ann_search`` against the exact search, and whether at most a tenth of the rows was scored."""
+    q, index = tables.queries(spark, sf).select("pos", "embedding"), _index(spark, sf)
+    d = ivfpq.sweep(q, index, ranking.top_k(q, tables.gallery(spark, sf)), [(len(index.model.centres), index.rows // 10)])
+    return d.select("n", F.round("recall", 2).alias("recall"), (F.col("scored") <= 0.1).alias("few"))
 
 
 _NAMES = """
 camera_of_image entity_frames latest_sightings timeline time_parts day_layers route_stats registry_cameras detour_ranking plural_forms tagging_queue ann_search
-ann_recall
+ann_sweep ann_recall
 """
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
@@ -169,5 +188,6 @@ SELECT camera_id, row_number() OVER w AS place, road_id, round(km, 6) AS km FROM
     "plural_forms": """SELECT i AS id, CASE WHEN i % 10 = 1 AND i % 100 <> 11 THEN 0 WHEN i % 10 BETWEEN 2 AND 4 AND i % 100 NOT BETWEEN 12 AND 14 THEN 1 ELSE 2 END AS form, i || chr(8239) || '%' AS percent,
 CASE WHEN i * 36 < 1000 THEN (i * 36) || ' ms' ELSE replace(printf('%.2f', i * 36 / 1000), '.', ',') || ' s' END AS duration FROM range(130) t(i)""",
     "tagging_queue": """SELECT vec_id AS item_id, CASE WHEN vec_id % 13 <> 0 AND vec_id % 5 = 4 THEN 'ValueError: no model for it' END AS error, CASE WHEN vec_id % 13 <> 0 AND vec_id % 5 < 3 THEN chr(CAST(97 + vec_id % 5 AS INTEGER)) END AS tag FROM embeddings""",
-    "ann_recall": "SELECT count(*) FILTER (vec_id % 5 = 0) AS n, true AS enough FROM embeddings",
+    "ann_recall": "SELECT count(*) FILTER (vec_id % 5 = 0) AS n, 1.0::DOUBLE AS recall, true AS few FROM embeddings",
+    "ann_search": f"WITH {sql.PAIRS} SELECT qpos, rank, gpos, round(score, 6) AS score FROM top10",
 }
