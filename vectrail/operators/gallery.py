@@ -24,7 +24,7 @@ def region(x: Column, y: Column, w: Column, h: Column) -> Column:
 
 def plate_problem(plate: Column) -> Column:
     """'empty' or 'too_long' of a plate after trimming; null where it is fine. A null plate clears the old one."""
-    trimmed = F.trim(plate)
+    trimmed = F.regexp_replace(plate, r"(?U)^\s+|\s+$", "")
     return F.when(F.length(trimmed) == 0, "empty").when(F.length(trimmed) > PLATE_CHARS, "too_long")
 
 
