@@ -7,9 +7,9 @@ read as four. Suffixes that share at least k words are one interval, whose size
 of that k-gram in the shard; a phrase that is everywhere is one entry of a shard.
 
 Most n-grams are rare, so before counts travel under their text, a lossless sieve finds
-the others: shards send the 32-bit hashes of their n-grams with counts, packed, one row per hash
-range, and the range's task adds them up and tells each shard which of its entries reach
-``LEAST``. An n-gram that reaches it always passes, whatever else has its hash. The shards
+the others: shards send the cells of their n-grams' hashes with counts, packed, one row per
+hash range, and the range's task adds them up and tells each shard which of its cells reach
+``LEAST``. An n-gram that reaches it always passes, whatever else has its cell. The shards
 then send these n-grams as text, and their exact counts are merged globally by (language,
 phrase). Parts of a frequent phrase are as frequent, so the merged table holds all
 counts that scores need. Scores, the suppression by longer phrases and the ranks are joins,
@@ -37,7 +37,9 @@ LONGEST, LEAST, COVERED = 4, 30, 80
 #: Scores are multiples of 1 / SCORE; phrases of a language in the result.
 SCORE, TOP = 2_000_000, 2000
 #: Words of a shard, bytes of text that a hash range stands for, and ranges at least.
-SHARD, RANGE_BYTES, LEAST_RANGES = 1 << 20, 8 << 20, 12
+SHARD, RANGE_BYTES, LEAST_RANGES = 1 << 19, 8 << 20, 12
+#: Cells of a range as a power of two: two for a byte of its text, several for each n-gram that shards send it.
+CELL_BITS = 24
 #: Bytes of text that are split at once.
 SLICE = 4 << 20
 #: Pieces end at these characters (written as line breaks), words at blanks.
@@ -124,6 +126,14 @@ def shards(stream: Iterator[pa.RecordBatch], limit: int = SHARD) -> Iterator[Sha
         yield shard
 
 
+def _order(key: np.ndarray, top: int) -> np.ndarray:
+    """Places by key (0 to ``top``); short keys are sorted together with their places."""
+    bits = len(key).bit_length()
+    if top.bit_length() + bits > 63:
+        return np.argsort(key)
+    return (np.sort(key << bits | np.arange(len(key))) & ((1 << bits) - 1)).astype(np.int64)
+
+
 def suffix_order(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places of words by the next LONGEST words, words in common with the one before), both by prefix doubling.
 
@@ -134,11 +144,12 @@ def suffix_order(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     while step < LONGEST:
         follow = np.zeros(n, np.int64)
         follow[: n - step] = rank[step:] + 1
-        key = rank * (int(follow.max(initial=0)) + 1) + follow
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate(([False], key[order[1:]] != key[order[:-1]])) if n else np.zeros(0, bool)
+        width = int(follow.max(initial=0)) + 1
+        key = rank * width + follow
+        order = _order(key, int(rank.max(initial=0) + 1) * width)
+        sorted_key = key[order]
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
+        rank[order] = np.cumsum(np.concatenate(([False], sorted_key[1:] != sorted_key[:-1])))
         step *= 2
     padded = np.concatenate((ids, np.zeros(LONGEST, ids.dtype)))
     common, alive = np.zeros(n, np.int8), np.ones(n, bool)
@@ -177,29 +188,32 @@ def hashed(shard: Shard, ids: np.ndarray, k: int, at: np.ndarray) -> np.ndarray:
 
 
 def counted(shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, count, k, place) of all n-grams of a shard by hash, and its word numbers."""
+    """(hash, count, k, place) of all n-grams of a shard, and its word numbers."""
     ids, starts = shard.sequence()
-    parts = [(hashed(shard, ids, k, at), n, np.full(len(at), k, np.int8), at) for k, at, n in intervals(ids, starts)]
+    parts = [(hashed(shard, ids, k, at), n.astype(np.int32), np.full(len(at), k, np.int8), at.astype(np.int32)) for k, at, n in intervals(ids, starts)]
     if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.int64), ids
-    h, n, k, at = (np.concatenate(c) for c in zip(*parts, strict=True))
-    by = np.argsort(h, kind="stable")
-    return h[by], n[by], k[by], at[by], ids
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int8), np.zeros(0, np.int32), ids
+    return *(np.concatenate(c) for c in zip(*parts, strict=True)), ids
 
 
-def _within(h: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """(range, 32 bits within it) of hashes, in the hashes' order; at most 2**24 ranges."""
-    x = (h >> np.uint64(24)) * np.uint64(ranges)
-    return x >> np.uint64(40), x >> np.uint64(8) & np.uint64((1 << 32) - 1)
+def cells_of(h: np.ndarray, ranges: int) -> np.ndarray:
+    """Cells of hashes: the number of a range (at most 2**24), then CELL_BITS within it."""
+    return (h >> np.uint64(24)) * np.uint64(ranges) >> np.uint64(40 - CELL_BITS)
 
 
-def _cuts(h: np.ndarray, ranges: int) -> Iterator[tuple[int, int, int]]:
-    """(range, first, end) of the ranges that sorted hashes fall into."""
+def sieved(h: np.ndarray, n: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(range, sorted distinct cells in it, their counts up to LEAST)."""
     if not len(h):
         return
-    of, _ = _within(h, ranges)
-    first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-    yield from zip(of[first].tolist(), first.tolist(), np.append(first[1:], len(h)).tolist(), strict=True)
+    key = np.sort(cells_of(h, ranges) << np.uint64(6) | np.minimum(n, LEAST).astype(np.uint64))
+    cell = key >> np.uint64(6)
+    first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+    times = np.minimum(np.add.reduceat(key & np.uint64(63), first), np.uint64(LEAST))
+    cell = cell[first]
+    of = cell >> np.uint64(CELL_BITS)
+    cuts = np.append(np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))), len(cell))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield int(of[a]), cell[a:b] & np.uint64((1 << CELL_BITS) - 1), times[a:b]
 
 
 SENT = "range int, shard long, data binary"
@@ -225,32 +239,15 @@ def _numbered(stream: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[in
 
 
 def _sums(_: tuple[pa.Scalar, ...], stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one hash range: for each shard, which of its entries reach LEAST over all shards."""
+    """Of one hash range: for each shard, which of its cells reach LEAST over all shards."""
     rows = [r for part in stream for r in zip(*(part.column(c).to_pylist() for c in ("range", "shard", "data")), strict=True)]
-    total = (np.zeros(0, np.uint32), np.zeros(0, np.uint16))
-    waiting, size = [], 0
-
-    def fold() -> tuple[np.ndarray, np.ndarray]:
-        h, n = (np.concatenate(c) for c in zip(total, *waiting, strict=True))
-        by = np.argsort(h, kind="stable")
-        h, n = h[by], n[by]
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))[: len(h)]
-        n = np.add.reduceat(n.astype(np.int64), first) if len(first) else n
-        return h[first], np.minimum(n, LEAST).astype(np.uint16)
-
+    total = np.zeros(1 << CELL_BITS, np.uint8)
     for _, _, data in rows:
-        h, n = unpack(data)
-        waiting.append((h.astype(np.uint32), n.astype(np.uint16)))
-        size += len(h)
-        if size > len(total[0]) // 2 + 1_000_000:
-            total, waiting, size = fold(), [], 0
-    h, n = fold()
-    often = h[n >= LEAST]
+        cell, n = unpack(data)
+        total[cell] = np.minimum(total[cell] + n.astype(np.uint8), LEAST)
     for r, shard, data in rows:
-        own = unpack(data)[0].astype(np.uint32)
-        at = np.minimum(np.searchsorted(often, own), max(0, len(often) - 1))
-        bits = often[at] == own if len(often) else np.zeros(len(own), bool)
-        yield _rows([(r, shard, zstandard.compress(np.packbits(bits).tobytes(), 1))])
+        often = total[unpack(data)[0]] >= LEAST
+        yield _rows([(r, shard, zstandard.compress(np.packbits(often).tobytes(), 1))])
 
 
 def _content(shard: Shard) -> bytes:
@@ -273,11 +270,11 @@ def _restored(data: bytes) -> tuple[Shard, np.ndarray, list[str]]:
     return shard, of, names
 
 
-GRAMS = "lang string, phrase binary, words int, n long"
+GRAMS = "lang string, phrase binary, n long"
 
 
 def _named(parts: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, words, count) of a shard's n-grams that the sieve let through, and its words by language (phrase '', 0 words)."""
+    """(lang, phrase, count) of a shard's n-grams that the sieve let through, and its words by language (phrase '')."""
     answers, content = [], b""
     for part in parts:
         for r, data in zip(part.column("range").to_pylist(), part.column("data").to_pylist(), strict=True):
@@ -289,16 +286,17 @@ def _named(parts: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBa
         raise RuntimeError("the documents came in other shards than before: materialize them first")
     shard, language, names = _restored(content)
     h, n, k, at, ids = counted(shard)
-    found = dict(answers)
-    flagged = np.zeros(len(h), bool)
-    for r, a, b in _cuts(h, ranges):
+    found, often = dict(answers), [np.zeros(0, np.uint64)]
+    for r, cell, _ in sieved(h, n, ranges):
         if r not in found:
             raise RuntimeError("the documents came in other shards than before: materialize them first")
-        bits = np.unpackbits(np.frombuffer(zstandard.decompress(found[r]), np.uint8))
-        keys, back = np.unique(_within(h[a:b], ranges)[1], return_inverse=True)
-        flagged[a:b] = bits[: len(keys)].astype(bool)[back]
+        bits = np.unpackbits(np.frombuffer(zstandard.decompress(found[r]), np.uint8), count=len(cell)).astype(bool)
+        often.append(cell[bits] | np.uint64(r << CELL_BITS))
+    own, often = cells_of(h, ranges), np.concatenate(often)
+    flagged = often[np.minimum(np.searchsorted(often, own), len(often) - 1)] == own if len(often) else np.zeros(len(h), bool)
+    del h, own
     words, size = np.array(shard.words, object), np.bincount(language[ids[at[k == 1]]], n[k == 1], len(names)).astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([b""] * len(names), pa.binary()), pa.array([0] * len(names), pa.int32()), pa.array(size)], names=["lang", "phrase", "words", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([b""] * len(names), pa.binary()), pa.array(size)], names=["lang", "phrase", "n"])
     for m in range(1, LONGEST + 1):
         own = np.flatnonzero(flagged & (k == m))
         for i in range(0, len(own), 100_000):
@@ -306,8 +304,8 @@ def _named(parts: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBa
             phrases = words[ids[at[some]]]
             for j in range(1, m):
                 phrases = phrases + b" " + words[ids[at[some] + j]]
-            columns = [pa.array(np.array(names, object)[language[ids[at[some]]]], pa.string()), pa.array(phrases, pa.binary()), pa.array(np.full(len(some), m, np.int32)), pa.array(n[some])]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "words", "n"])
+            columns = [pa.array(np.array(names, object)[language[ids[at[some]]]], pa.string()), pa.array(phrases, pa.binary()), pa.array(n[some].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n"])
 
 
 def frequent_phrases(docs: DataFrame, limit: int = SHARD, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -322,10 +320,8 @@ def frequent_phrases(docs: DataFrame, limit: int = SHARD, range_bytes: int = RAN
     def sieve(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, shard in _numbered(stream, limit):
             h, n, *_ = counted(shard)
-            for r, a, b in _cuts(h, ranges):
-                keys, back = np.unique(_within(h[a:b], ranges)[1], return_inverse=True)
-                times = np.minimum(np.bincount(back, np.minimum(n[a:b], LEAST), len(keys)), LEAST).astype(np.int64)
-                yield _rows([(r, number, pack(keys, times))])
+            for r, cell, times in sieved(h, n, ranges):
+                yield _rows([(r, number, pack(cell, times))])
 
     def contents(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, shard in _numbered(stream, limit):
@@ -336,8 +332,10 @@ def frequent_phrases(docs: DataFrame, limit: int = SHARD, range_bytes: int = RAN
 
     answers = d.mapInArrow(sieve, SENT).groupBy("range").applyInArrow(_sums, SENT)
     grams = answers.unionByName(d.mapInArrow(contents, SENT)).groupBy("shard").applyInArrow(named, GRAMS)
-    merged = grams.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-    return merged.where((F.col("n") >= LEAST) | (F.col("words") == 0)).withColumn("phrase", F.col("phrase").cast("string"))
+    merged = grams.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).withColumn("phrase", F.col("phrase").cast("string"))
+    merged = merged.where((F.col("n") >= LEAST) | (F.col("phrase") == ""))
+    words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ", -1)))
+    return merged.select("lang", "phrase", words.alias("words"), "n")
 
 
 def _part(first: Column, words: Column | int) -> Column:
