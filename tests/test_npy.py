@@ -93,3 +93,24 @@ def test_neighbours(spark, ranges):
     got = ordered.with_neighbour(spark.createDataFrame(rows, "k int, v int").repartition(4), [F.col("k")], F.col("v"), "before", ranges).collect()
     by = dict(rows)
     assert {x["k"]: x["before"] for x in got} == {k: by.get(k - 1) for k in by}
+
+
+def test_raw_files_and_folders(spark, tmp_path):
+    from vectrail.sources import arrays
+
+    x = np.random.default_rng(3).normal(size=(40, 6)).astype(np.float32)
+    for suffix, data in arrays.f32_bytes(x[:9], [f"i{i}" for i in range(9)]).items():
+        (tmp_path / f"raw{suffix}").write_bytes(data)
+    path = f"file://{tmp_path}/raw.f32"
+    assert [r["embedding"] for r in npy.read_npy(spark, path, 30).orderBy("row").collect()] == x[:9].tolist()
+    assert sorted(map(tuple, npy.sidecar_ids(spark, path).collect())) == [(i, f"i{i}") for i in range(9)]
+    (tmp_path / "raw.json").write_text('{"shape": [9, 6], "dtype": "float32", "byte_order": "big"}')
+    with pytest.raises(ValueError):
+        npy.read_npy(spark, path)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "pos long, embedding array<float>").repartitionByRange(5, "pos").sortWithinPartitions("pos")
+    for kind in ("npy", "f32"):
+        assert arrays.write_matrix(d, f"file://{tmp_path}/{kind}", kind) == 40
+        assert npy.shape(f"file://{tmp_path}/{kind}") == (40, 6)
+        assert [r["embedding"] for r in npy.read_npy(spark, f"file://{tmp_path}/{kind}", 60).orderBy("row").collect()] == x.tolist()
+        assert not [p for p in (tmp_path / kind).iterdir() if p.name.startswith("_")]
+    assert np.load(sorted((tmp_path / "npy").glob("*.npy"))[0]).shape[1] == 6

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and ORACLES.
-MODULES: tuple[str, ...] = ("plans.retrieval", "plans.upkeep", "plans.route", "plans.tracks", "plans.splits", "plans.service", "plans.artifacts", "plans.journeys")
+MODULES: tuple[str, ...] = ("plans.retrieval", "plans.upkeep", "plans.route", "plans.tracks", "plans.splits", "plans.service", "plans.artifacts", "plans.journeys", "plans.records")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

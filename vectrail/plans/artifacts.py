@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -11,17 +11,15 @@ from pyspark.sql import functions as F
 
 from vectrail.functions import boxes
 from vectrail.functions.vectors import doubles, dot
-from vectrail.operators import metrics, ranking, sampling
+from vectrail.operators import metrics, ordered, ranking, sampling, verification
 from vectrail.plans import sql
 from vectrail.plans.retrieval import _DBA, _WITH, THRESHOLD, _decided, _six
-from vectrail.sources import arrays, readers, tables
+from vectrail.sources import arrays, npy, readers, tables
+from vectrail.sources.shared import place as _place
 
 
-def _place(spark, name):
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: Threshold of the verified run, whose scores are higher as its gallery is refined.
+RUN_THRESHOLD = 0.45
 
 
 def _round_trip(spark, sf, kind):
@@ -47,24 +45,64 @@ def matrix_shape(spark, sf):
 
 
 def run_summary(spark, sf):
-    """A run's summary, written as JSON and read back."""
+    """A run's summary, written as JSON and read back without its seconds."""
+    began = time.monotonic()
     q, g = tables.queries(spark, sf), tables.gallery(spark, sf)
-    accepted = ranking.top_k(q, g, 1).where(F.col("score") >= THRESHOLD).count()
+    refined, threshold = verification.retrieval_policy({"threshold": THRESHOLD})
+    summary = {"model": "tables", "version": tables.CURRENT_VERSION, "provider": "spark", "threshold": threshold, "retrieval": "gallery_dba_k4_alpha2" if refined else "cosine"}
     path = _place(spark, "run") + ".json"
-    arrays.write_summary(spark, path, {"queries": q.count(), "gallery": g.count(), "accepted": accepted, "method": "cosine", "threshold": THRESHOLD})
-    return spark.read.schema("method string, queries long, gallery long, accepted long, threshold double").json(path)
+    arrays.write_summary(spark, path, summary | {"n_query": q.count(), "n_gallery": g.count(), "batch_size": 1, "seconds": round(time.monotonic() - began, 2)})
+    d = spark.read.schema("model string, version string, provider string, threshold double, retrieval string, n_query long, n_gallery long, batch_size long, seconds double").json(path)
+    return d.where("seconds >= 0").drop("seconds")
+
+
+def _numbered_sides(spark, sf):
+    """Queries and gallery numbered in order of pos, as a run's CSV files list them."""
+    return [ordered.numbered(d.select("pos", "image_id", "embedding"), [F.col("pos")], "at") for d in (tables.queries(spark, sf), tables.gallery(spark, sf))]
+
+
+def _input_files(sides, folder):
+    """Writes both lists of ids; returns their paths and the vectors as rows of one array."""
+    n_q = sides[0].count()
+    for d, name in zip(sides, ("query.csv", "gallery.csv"), strict=True):
+        d.repartitionByRange(3, "at").sortWithinPartitions("at").select(F.lit(1).alias("x"), "image_id").write.csv(f"{folder}/{name}", header=True)
+    rows = sides[0].select(F.col("at").alias("row"), "embedding").unionByName(sides[1].select((F.col("at") + n_q).alias("row"), "embedding"))
+    return f"{folder}/query.csv", f"{folder}/gallery.csv", rows
+
+
+def evaluation_vectors(spark, sf):
+    """An array written in order of two CSV files, read by ranges and given back its ids; normalised."""
+    folder, sides = _place(spark, "evaluation"), _numbered_sides(spark, sf)
+    q, g, rows = _input_files(sides, folder)
+    arrays.write_matrix(rows.select(F.col("row").alias("pos"), F.transform("embedding", lambda x: x * 4).alias("embedding")).repartitionByRange(4, "pos").sortWithinPartitions("pos"), f"{folder}/embeddings")
+    d = npy.evaluation_vectors(spark, f"{folder}/embeddings", q, g, part_bytes=8192)
+    return d.select("side", "at", "image_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
 def artifact_verification(spark, sf):
-    """Rows of a stored ranking that differ from a new one in candidate, decision or, by over 1e-6, in confidence.
+    """What is wrong in a run's files, which are written with planted faults and read again.
 
-    What is stored here has planted errors.
+    Every seventh line swaps its first two candidates, from every seventh plus 1 an accepted query is not listed, plus 2 has a
+    wrong confidence, plus 3 is listed where it was refused.
     """
-    top = ranking.top_k(tables.queries(spark, sf), tables.gallery(spark, sf))
-    stored = top.where("qpos % 35 <> 0 OR rank <> 3").selectExpr("qpos", "rank", "if(qpos % 25 = 0 AND rank = 2, gpos + 1, gpos) AS s_gpos", "if(qpos % 40 = 0 AND rank = 1, score + 0.01D, score + 1e-8D) AS s_score")
-    d = top.join(stored, ["qpos", "rank"], "full_outer")
-    why = F.when(F.col("s_gpos").isNull(), "missing").when(F.col("gpos").isNull(), "surplus").when(F.col("gpos") != F.col("s_gpos"), "candidate").when(F.abs(F.col("score") - F.col("s_score")) > 1e-6, "confidence")
-    return d.select("qpos", F.col("rank").cast("long").alias("rank"), why.alias("problem")).where("problem IS NOT NULL")
+    folder, sides = _place(spark, "artifacts"), _numbered_sides(spark, sf)
+    query_csv, gallery_csv, rows = _input_files(sides, folder)
+    manifest = verification.manifest_of(RUN_THRESHOLD, 64)
+    lines = verification.ranked_lines(*(d.select("at", "image_id", "embedding") for d in sides), *verification.retrieval_policy(manifest))
+    ids, fault = F.split("line", ","), F.col("at") % 7
+    swapped = F.concat_ws(",", ids[0], ids[2], ids[1], F.slice(ids, 4, 8))
+    confidence = F.when(fault == 2, F.col("score") + 0.01).otherwise(F.col("score"))
+    verification.write_run(lines, rows, folder, {"threshold": RUN_THRESHOLD}, F.when(fault == 0, swapped).otherwise(F.col("line")), F.when(fault == 1, False).when(fault == 3, True).otherwise(F.col("accepted")), confidence)
+    d = verification.verify(spark, folder, query_csv, gallery_csv, manifest)
+    return d.select("query_id", "problem")
+
+
+def retrieval_policies(spark, sf):
+    """The policies of manifests in many forms."""
+    method = F.expr("CASE pos % 4 WHEN 0 THEN 'gallery_dba' WHEN 1 THEN 'cosine' WHEN 2 THEN NULL ELSE if(pos % 3 = 0, 'other', 'gallery_dba') END")
+    own = F.struct(method.alias("method"), F.expr("cast(4 - pos % 5 DIV 4 AS int)").alias("k"), F.lit(2).alias("alpha"), F.expr("if(pos % 7 = 0, NULL, pos / 1000)").alias("threshold"))
+    d = tables.gallery_base(spark, sf).select("pos", F.to_json(F.struct(F.expr("if(pos % 6 = 5, NULL, pos / 500)").alias("threshold"), own.alias("retrieval"))).alias("manifest"))
+    return d.select("pos", *verification.policy_columns(F.col("manifest")))
 
 
 def run_decisions(spark, sf):
@@ -247,7 +285,7 @@ def clustered_vectors(spark, sf):
 
 
 _NAMES = """
-npy_round_trip f32_round_trip matrix_shape run_summary artifact_verification run_decisions vector_drift float_dot inventory_digest calibrate_midpoint
+npy_round_trip f32_round_trip matrix_shape evaluation_vectors run_summary artifact_verification retrieval_policies run_decisions vector_drift float_dot inventory_digest calibrate_midpoint
 holdout_classes metric_counts unlabelled_candidates latency_scores bbox_clip_strict bbox_scale masked_area exact_exclusion dataset_counts train_list
 train_list_union identity_batches batch_rules balanced_batches sampler_coverage row_remap cyclic_batches warmup_factor clustered_vectors
 """
@@ -258,8 +296,19 @@ ORACLES = {
     "npy_round_trip": _SUMS,
     "f32_round_trip": _SUMS,
     "matrix_shape": "SELECT count(*) AS n, CAST(min(len(embedding)) AS BIGINT) AS dim, min(len(embedding)) = max(len(embedding)) AS consistent FROM embeddings",
-    "run_summary": f"WITH {sql.PAIRS} SELECT 'cosine' AS method, (SELECT count(*) FROM q) AS queries, (SELECT count(*) FROM g) AS gallery, (SELECT count(*) FROM ranked WHERE rank = 1 AND score >= 0.35) AS accepted, 0.35::DOUBLE AS threshold",
-    "artifact_verification": f"WITH {sql.PAIRS} SELECT qpos, rank, CASE WHEN qpos % 35 = 0 AND rank = 3 THEN 'missing' WHEN qpos % 25 = 0 AND rank = 2 THEN 'candidate' ELSE 'confidence' END AS problem FROM top10 WHERE (qpos % 35 = 0 AND rank = 3) OR (qpos % 25 = 0 AND rank = 2) OR (qpos % 40 = 0 AND rank = 1)",
+    "run_summary": f"WITH {sql.SIDES} SELECT 'tables' AS model, '1.2.0' AS version, 'spark' AS provider, 0.35::DOUBLE AS threshold, 'cosine' AS retrieval, (SELECT count(*) FROM q) AS n_query, (SELECT count(*) FROM g) AS n_gallery, 1::BIGINT AS batch_size",
+    "evaluation_vectors": f"""WITH {sql.SIDES}, s AS (SELECT 'query' AS side, * FROM q UNION ALL SELECT 'gallery', * FROM g)
+SELECT side, row_number() OVER (PARTITION BY side ORDER BY pos) - 1 AS at, image_id, round(list_sum(v) / sqrt(list_dot_product(v, v)), 5) AS total FROM s""",
+    "artifact_verification": f"""{_DBA},
+rv AS (SELECT pos, list(x ORDER BY i) AS v FROM ref GROUP BY pos),
+b AS (SELECT q.pos AS qpos, max(list_dot_product(q.v, rv.v)) >= 0.45 AS accepted FROM q, rv GROUP BY q.pos),
+n AS (SELECT 'img_' || qpos AS query_id, accepted, (row_number() OVER (ORDER BY qpos) - 1) % 7 AS fault FROM b)
+SELECT query_id, CASE fault WHEN 0 THEN 'ranking' WHEN 2 THEN 'confidence' ELSE 'decision' END AS problem FROM n WHERE fault = 0 OR (fault IN (1, 2) AND accepted) OR (fault = 3 AND NOT accepted)""",
+    "retrieval_policies": """WITH d AS (SELECT vec_id AS pos, CASE vec_id % 4 WHEN 0 THEN 'gallery_dba' WHEN 1 THEN 'cosine' WHEN 2 THEN 'cosine' ELSE CASE WHEN vec_id % 3 = 0 THEN 'other' ELSE 'gallery_dba' END END AS method,
+4 - vec_id % 5 // 4 AS k, CASE WHEN vec_id % 7 <> 0 THEN vec_id / 1000 END AS t, CASE WHEN vec_id % 6 <> 5 THEN vec_id / 500 END AS u FROM embeddings),
+e AS (SELECT pos, method = 'gallery_dba' AS refined, CASE WHEN method = 'gallery_dba' THEN t ELSE u END AS threshold, CASE WHEN method = 'other' THEN 'method' WHEN method = 'gallery_dba' AND k <> 4 THEN 'parameters' END AS p FROM d),
+f AS (SELECT *, coalesce(p, CASE WHEN threshold IS NULL THEN 'no threshold' END) AS problem FROM e)
+SELECT pos, CASE WHEN problem IS NULL THEN refined END AS refined, CASE WHEN problem IS NULL THEN threshold END AS threshold, problem FROM f""",
     "run_decisions": f"""{_DBA},
 rv AS (SELECT pos, list(x ORDER BY i) AS v FROM ref GROUP BY pos),
 b AS (SELECT q.pos AS qpos, rv.pos AS gpos, list_dot_product(q.v, rv.v) AS score FROM q, rv QUALIFY row_number() OVER (PARTITION BY q.pos ORDER BY list_dot_product(q.v, rv.v) DESC, rv.pos) = 1),
