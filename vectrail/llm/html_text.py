@@ -4,7 +4,7 @@ Markup is stripped to lines, one per block element. Each line has a weight: its
 or nothing if most of it is link text or it stands in an element that never holds main text
 (menus, forms, page headers and footers, sidebars, notices, adverts, reader comments). On
 every page weights are summed over windows of ``SPAN`` lines: where the sum first rises over
-``SURGE`` the main text begins (surge point), where it falls back to nothing after the last
+``SURGE`` the main text begins (surge point; its heading above belongs to it), where it falls back to nothing after the last
 rise it ends (dive point), and all lines between are kept, short ones too, but for runs of
 ``SPAN`` or more lines without weight (link lists). A page's own marks move edges only: an
 ``article`` or ``main`` of which lines are kept is kept to its ends, since headlines and
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +35,8 @@ from vectrail.llm.common import table, text_bytes
 SPAN, SURGE, SHORT = 3, 80, 40
 
 # Elements and their roles.
-RAW = ("script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "title")
+RAW = {"script", "style", "noscript", "textarea", "iframe", "title"}
+FOREIGN = {"svg", "math", "object", "template"}
 DROPPED = {"head", "button", "select", "menu", "dialog", "canvas", "audio", "video"}
 CHROME = {"nav", "footer", "aside"}
 LOOSE = {"form", "header"}
@@ -49,15 +51,21 @@ STRONG = re.compile(
     r"|notices?|notifications?|overlay|pager|pagination|paywall|popup|promos?|promotion|related|recommend\w*|replies|sidebar|sponsor\w*|subscribe|toolbar"
 )
 WEAK = {"share", "sharing", "side", "social", "widget"}
-LAYOUT = {"with", "has", "no", "without", "is", "not", "layout", "wrapper", "wrap", "container", "page", "grid", "open", "closed"}
+LAYOUT = {"with", "has", "no", "without", "is", "not", "layout", "wrapper", "wrap", "container", "page", "grid", "open", "closed", "free"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "menubar"}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 SPACE = re.compile(r"\s+")
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
+def attributes_of(text: str) -> list[tuple[str, str]]:
+    """Names and values of a tag's attributes in lower case, one after the other: what stands in a value is no name."""
+    return [(key.lower(), value.strip("\"'").lower()) for key, value in ATTRIBUTE.findall(text)]
+
+
 def _kind(name: str, attributes: str, in_article: bool) -> str:
     """What an element is: "dropped", "chrome", "loose" (chrome unless it wraps the page), "weak" or "" (content)."""
     if name in DROPPED:
@@ -67,8 +75,7 @@ def _kind(name: str, attributes: str, in_article: bool) -> str:
     found = "loose" if name == "form" or (name == "header" and not in_article) else ""
     if name in ("html", "body", "main") or not attributes:
         return found
-    for key, value in ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), value.strip("\"'").lower()
+    for key, value in attributes_of(attributes):
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
             return "dropped"
         if key == "role" and value in ROLES:
@@ -86,47 +93,79 @@ def _kind(name: str, attributes: str, in_article: bool) -> str:
 
 @dataclass
 class Line:
-    """A block's text, its characters in links, the elements of interest and the article it stands in."""
+    """A block's text, its characters in links, the elements of interest and the article it stands in, the level of its heading (0: none)."""
 
     text: str
     linked: int
     inside: tuple[int, ...]
     article: int
+    heading: int = 0
+
+
+def after_raw(page: str, name: str, start: int) -> int:
+    """Where an element whose content is no text ends: behind its end tag, or where it begins if nothing ends it.
+
+    Scripts and the like end at their first end tag, else with the page; foreign elements may nest or close themselves.
+    """
+    if name in RAW:
+        found = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, start)
+        return found.end() if found else len(page)
+    depth = 1
+    for m in TOKEN.finditer(page, start):
+        if (m[2] or "").lower() == name:
+            depth += -1 if m[1] else 0 if m[3].endswith("/") else 1
+            if not depth:
+                return m.end()
+    return start
 
 
 def lines_of(page: str) -> tuple[list[Line], dict[int, str], set[int]]:
     """Lines of a page, kinds of its elements of interest, and those that hold its main part or heading."""
-    page = re.sub(rf"<({'|'.join(RAW)})\b[^>]*>.*?(?:</\1\s*>|$)", " ", page, flags=re.S | re.I)
     lower = page.lower()
+    anchors = [(m.start(), bool(m[1])) for m in ANCHOR.finditer(page)]
     out: list[Line] = []
     text: list[str] = []
     kinds, holds, ends = {}, set(), {}
     opened: list[list] = []  # [element name, depth of that name, number], numbers of articles negative
-    linked, link, at, number = 0, 0, 0, 0
+    linked, link, at, number, heading = 0, 0, 0, 0, 0
 
     def close() -> None:
         nonlocal linked
         line = SPACE.sub(" ", html.unescape("".join(text))).strip()
         if line:
             articles = [-e[2] for e in opened if e[2] < 0]
-            out.append(Line(line, linked, tuple(e[2] for e in opened if e[2] > 0), articles[0] if articles else 0))
+            out.append(Line(line, linked, tuple(e[2] for e in opened if e[2] > 0), articles[0] if articles else 0, heading))
         text.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page):
-        piece = page[at : m.start()]
+    m = TOKEN.search(page)
+    while m:
+        here, m = m, None
+        piece = page[at : here.start()]
         text.append(piece)
         linked += len(piece.strip()) if link else 0
-        at = m.end()
-        slash, name, attributes = m[1], (m[2] or "").lower(), m[3] or ""
-        if not name:
+        at = here.end()
+        slash, name, attributes = here[1], (here[2] or "").lower(), here[3] or ""
+        self_closed = attributes.endswith("/")
+        if not slash and (name in RAW or (name in FOREIGN and not self_closed)):
+            at = after_raw(page, name, at)
+            text.append(" ")
+        m = TOKEN.search(page, at)
+        if not name or name in RAW or name in FOREIGN:
             continue
         if name in BLOCKS or name in DROPPED:
             close()
+            heading = int(name[1]) if name in HEADINGS and not slash else 0
+            if link == 2:
+                link = 0
         elif name == "br":
             text.append(" ")
         if name == "a":
-            link = 0 if slash else 1
+            link = 0
+            if not slash and any(key == "href" for key, _ in attributes_of(attributes)):
+                # a link that nothing closes before the next one ends with its block
+                k = bisect_right(anchors, (here.start(), True))
+                link = 1 if k < len(anchors) and anchors[k][1] else 2
         if name in VOID:
             continue
         if slash:
@@ -137,18 +176,17 @@ def lines_of(page: str) -> tuple[list[Line], dict[int, str], set[int]]:
                         close()
                         del opened[k]
             continue
-        empty = attributes.endswith("/")
         for e in opened:
-            if e[0] == name and not empty:
+            if e[0] == name and not self_closed:
                 e[1] += 1
         if name in ("main", "h1", "article"):
             holds |= {(e[2], name) for e in opened if e[2] > 0}
         kind = _kind(name, attributes, any(e[2] < 0 for e in opened))
-        if (not kind and name not in ("article", "main")) or empty:
+        if (not kind and name not in ("article", "main")) or self_closed:
             continue
         if name not in ends:
             ends[name] = lower.rfind(f"</{name}")
-        if ends[name] > m.start() or name in ("article", "main"):  # chrome that nothing closes drops only its tag
+        if ends[name] > here.start() or name in ("article", "main"):  # chrome that nothing closes drops only its tag
             close()
             number += 1
             opened.append([name, 1, number if kind else -number])
@@ -194,6 +232,23 @@ def between(weight: list[int]) -> list[int]:
     return [k for k in range(surges[0], dive) if k not in empty]
 
 
+def headed(first: int, lines: list[Line], weight: list[int]) -> int:
+    """Where the main text begins whose first surge is at ``first``: at the nearest main heading above, else the nearest heading.
+
+    Bylines, dates and the like may lie between; a run of SPAN or more lines without weight may not.
+    """
+    nearest, bare = first, 0
+    for k in range(first, -1, -1):
+        bare = 0 if weight[k] or lines[k].heading else bare + 1
+        if bare >= SPAN:
+            break
+        if lines[k].heading == 1:
+            return k
+        if lines[k].heading and nearest == first:
+            nearest = k
+    return nearest
+
+
 def main_text(page: str) -> str:
     """The main text of a page; empty if there is none."""
     lines, kinds, holds = lines_of(page)
@@ -202,7 +257,9 @@ def main_text(page: str) -> str:
     barred = [any(e in chrome for e in x.inside) for x in lines]
     weight = [0 if no or 2 * x.linked > len(x.text) else len(x.text) for x, no in zip(lines, barred, strict=True)]
     keep = between(weight)
-    if not keep:  # a page of few short lines
+    if keep:
+        keep = [*range(headed(keep[0], lines, weight), keep[0]), *keep]
+    else:  # a page of few short lines
         keep = [k for k, w in enumerate(weight) if w]
     articles = {lines[k].article for k in keep if weight[k]} - {0}
     if 2 * sum(weight[k] for k in keep if lines[k].article) >= sum(weight[k] for k in keep):
@@ -214,7 +271,9 @@ def main_text(page: str) -> str:
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     """``pages`` with text and n_chars (code points), ``column`` left out; one pass, no shuffle.
 
-    Null or empty html gives an empty text. Repeated rows are extracted each.
+    Null or empty html gives an empty text, an empty table no rows. Repeated rows are extracted each. Markup may be
+    broken: what no tag ends is text, a comment or script without an end takes the rest of the page. Other columns stay,
+    except that text and n_chars of ``pages`` give way to the new ones.
     """
     keep = [c for c in pages.columns if c not in (column, "text", "n_chars")]
 
