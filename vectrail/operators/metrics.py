@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vectrail.operators import ordered
+
 POSITIVE, JUNK = "(qv = gv AND qc <> gc)", "(qv = gv AND qc = gc)"
 
 
@@ -44,6 +46,14 @@ def average_precision(ranked: DataFrame, counts: DataFrame, k: int | None = 10)
     return counts.where("n_pos > 0").join(per, "qpos", "left").select("qpos", "n_pos", F.coalesce(F.col("s") / top, F.lit(0.0)).alias("ap"), F.coalesce(F.col("n_pos") / F.col("last"), F.lit(0.0)).alias("inp"), "first_hit")
 
 
+def precision_of_ranks(ranks: DataFrame, counts: DataFrame) -> DataFrame:
+    """``average_precision`` over whole rankings from the ranks of the positives (qpos, gpos, rank) alone."""
+    w = Window.partitionBy("qpos").orderBy("rank")
+    d = ranks.withColumn("hits", F.row_number().over(w))
+    per = d.groupBy("qpos").agg(F.sum(F.col("hits") / F.col("rank")).alias("s"), F.max("rank").alias("last"), F.min("rank").alias("first_hit"))
+    return counts.where("n_pos > 0").join(per, "qpos", "left").select("qpos", "n_pos", F.coalesce(F.col("s") / F.col("n_pos"), F.lit(0.0)).alias("ap"), F.coalesce(F.col("n_pos") / F.col("last"), F.lit(0.0)).alias("inp"), "first_hit")
+
+
 def decisions(top1: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
     """(qpos, score, correct, has_match, accepted, outcome) of every query by its raw top candidate."""
     d = counts.join(top1.select("qpos", "score", F.expr("qv = gv").alias("correct")), "qpos", "left")
@@ -66,20 +76,23 @@ def rates(c: DataFrame) -> DataFrame:
 
 
 def sweep(d: DataFrame) -> DataFrame:
-    """Confusion and rates at every distinct top score as threshold, in one cumulative pass.
-
-    Runs over distinct scores; equal scores move together.
-    """
+    """Confusion and rates at every distinct top score as threshold, by running sums over ranges of distinct scores; equal scores move together."""
     by = d.where("score IS NOT NULL").groupBy(F.col("score").alias("threshold")).agg(F.count("*").alias("n"), F.count_if(F.expr("correct AND has_match")).alias("t"), F.count_if("has_match").alias("m"))
     total = d.agg(F.count_if("has_match").alias("all_m"), F.count_if(~F.col("has_match")).alias("n_open"))
-    up = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    c = by.select("threshold", F.sum("n").over(up).alias("accepted"), F.sum("t").over(up).alias("tp"), F.sum("m").over(up).alias("known")).join(F.broadcast(total))
+    c = ordered.running(by, [F.desc("threshold")], {"accepted": F.col("n"), "tp": F.col("t"), "known": F.col("m")}).join(F.broadcast(total))
     return rates(c.selectExpr("threshold", "tp", "accepted - tp AS fp", "all_m - known AS fn", "n_open - (accepted - known) AS tn", "n_open"))
 
 
 def pick(curve: DataFrame, objective: str = "q", min_tnr: float = 0.0) -> DataFrame:
-    """The curve's row with the best (objective, threshold) among those with enough tnr; a null tnr passes."""
-    return curve.where(~F.coalesce(F.col("tnr") < min_tnr, F.lit(False))).orderBy(F.desc(objective), F.desc("threshold")).limit(1)
+    """The curve's row with the best (objective, threshold) among those with enough tnr; a null tnr passes.
+
+    Fails where no row has enough.
+    """
+    enough = ~F.coalesce(F.col("tnr") < min_tnr, F.lit(False))
+    # rows without enough sort last, so that one comes first only where there is no other
+    best = curve.orderBy(F.desc(enough), F.desc(objective), F.desc("threshold")).limit(1)
+    checked = F.when(enough, F.col("threshold")).otherwise(F.raise_error(F.lit(f"no threshold reaches a tnr of {min_tnr}")).cast("double"))
+    return best.withColumn("threshold", checked)
 
 
 def next_float(x: Column) -> Column:
@@ -105,24 +118,23 @@ def midpoint(curve: DataFrame) -> DataFrame:
     ``curve``: the sweep. A cut's q is that of the threshold above it; the first cut lies 0.001 below the lowest, the last
     0.001 above the highest threshold, where all is rejected (null q there: given as ``q_none``).
     """
-    up, down = Window.orderBy("threshold"), Window.orderBy(F.desc("threshold"))
-    c = curve.withColumn("cut", F.coalesce((F.lag("threshold").over(up) + F.col("threshold")) / 2, F.col("threshold") - 1e-3))
-    c = c.withColumn("last", F.row_number().over(down) == 1)
-    end = F.struct((F.col("threshold") + 1e-3).alias("cut"), F.col("q_none").alias("q"))
-    own = F.struct(F.col("cut"), F.col("q"))
-    c = c.select(F.explode(F.when(F.col("last"), F.array(own, end)).otherwise(F.array(own))).alias("x")).select("x.*")
-    by_cut = Window.orderBy("cut")
-    best = F.abs(F.col("q") - F.max("q").over(Window.partitionBy())) <= 1e-8
-    c = c.withColumn("best", best).withColumn("island", F.row_number().over(by_cut) - F.sum(F.col("best").cast("int")).over(by_cut.rowsBetween(Window.unboundedPreceding, 0)))
+    c = ordered.with_neighbour(curve, [F.col("threshold")], F.col("threshold"), "below")
+    c = c.withColumn("cut", F.coalesce((F.col("below") + F.col("threshold")) / 2, F.col("threshold") - 1e-3)).select("threshold", "cut", "q", "q_none")
+    top = c.agg(F.max("threshold").alias("top"), F.max("q_none").alias("q_none"))
+    c = c.select("cut", "q").unionByName(top.where("top IS NOT NULL").select((F.col("top") + 1e-3).alias("cut"), F.col("q_none").alias("q")))
+    best = F.abs(F.col("q") - F.col("q_best")) <= 1e-8
+    c = c.join(F.broadcast(c.agg(F.max("q").alias("q_best")))).withColumn("best", F.coalesce(best, F.lit(False)))
+    # rows of one run of best ones have the same number of others before them
+    c = ordered.running(c, [F.col("cut")], {"island": (~F.col("best")).cast("int")})
     runs = c.where("best").groupBy("island").agg(F.min("cut").alias("lo"), F.max("cut").alias("hi"), F.max("q").alias("q"))
     return runs.orderBy(F.desc(F.col("hi") - F.col("lo")), "lo").limit(1).select(((F.col("lo") + F.col("hi")) / 2).alias("threshold"), "q")
 
 
 def pr_auc(d: DataFrame) -> DataFrame:
     """One row: area under precision-recall of has_match by confidence; refusals come last, in query order."""
-    w = Window.orderBy(F.desc("accepted"), F.desc(F.expr("if(accepted, score, 0)")), "qpos").rowsBetween(Window.unboundedPreceding, 0)
-    one = F.col("has_match").cast("int")
-    r = d.select(one.alias("y"), F.sum(one).over(w).alias("hits"), F.count(F.lit(1)).over(w).alias("r"))
+    y = F.col("has_match").cast("int")
+    order = [F.desc("accepted"), F.desc(F.expr("if(accepted, score, 0)")), F.col("qpos")]
+    r = ordered.running(d.select("accepted", "score", "qpos", y.alias("y")), order, {"hits": F.col("y"), "r": F.lit(1)})
     return r.agg((F.sum(F.when(F.col("y") == 1, F.col("hits") / F.col("r"))) / F.sum("y")).alias("pr_auc"))
 
 
@@ -157,7 +169,7 @@ def bootstrap(per_query: DataFrame, repetitions: int = 2000, level: float = 0.95
     the matching remainder of an MD5. Only sums by (repetition, vehicle) move.
     """
     sums = per_query.groupBy("vehicle_id").agg(F.sum("ap").alias("ap"), F.count("ap").alias("n_ap"), *[F.count_if(F.col("outcome") == k).alias(k) for k in ("tp", "fp", "fn", "tn")], F.count_if(~F.col("has_match")).alias("n_open"))
-    numbered = sums.withColumn("i", F.row_number().over(Window.orderBy("vehicle_id")) - 1)
+    numbered = ordered.numbered(sums, [F.col("vehicle_id")], "i")
     n = numbered.agg(F.count("*").alias("n"))
     draws = per_query.sparkSession.range(repetitions).withColumnRenamed("id", "rep").join(F.broadcast(n)).select("rep", F.expr("explode(sequence(1, cast(n AS int))) AS draw"), "n")
     lot = F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "draw")), 1, 8), 16, 10).cast("long")

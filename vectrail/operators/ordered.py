@@ -24,12 +24,12 @@ def in_ranges(df: DataFrame, order: list[Column], ranges: int | None = None) ->
 def running(df: DataFrame, order: list[Column], sums: dict[str, Column], ranges: int | None = None) -> DataFrame:
     """``df`` with a column per entry of ``sums``: its total over all rows up to this one in ``order``. Null counts as 0."""
     value = {c: F.coalesce(x, F.lit(0)) for c, x in sums.items()}
-    d = in_ranges(df.withColumns({f"_{c}": x for c, x in value.items()}), order, ranges)
+    d = in_ranges(df.withColumns({f"_own_{c}": x for c, x in value.items()}), order, ranges)
     before = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)  # over as many rows as there are ranges
-    starts = d.groupBy(PART).agg(*[F.sum(f"_{c}").alias(c) for c in sums]).select(F.col(PART).alias("_r"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_s_{c}") for c in sums])
+    starts = d.groupBy(PART).agg(*[F.sum(f"_own_{c}").alias(c) for c in sums]).select(F.col(PART).alias("_range_of"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_before_{c}") for c in sums])
     within = Window.partitionBy(PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.join(F.broadcast(starts), F.col(PART) == F.col("_r"))
-    return d.withColumns({c: F.col(f"_s_{c}") + F.sum(f"_{c}").over(within) for c in sums}).drop(PART, "_r", *[f"_{c}" for c in sums], *[f"_s_{c}" for c in sums])
+    d = d.join(F.broadcast(starts), F.col(PART) == F.col("_range_of"))
+    return d.withColumns({c: F.col(f"_before_{c}") + F.sum(f"_own_{c}").over(within) for c in sums}).drop(PART, "_range_of", *[f"_own_{c}" for c in sums], *[f"_before_{c}" for c in sums])
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "n", first: int = 0, ranges: int | None = None) -> DataFrame:
@@ -39,10 +39,10 @@ def numbered(df: DataFrame, order: list[Column], name: str = "n", first: int = 0
 
 def with_neighbour(df: DataFrame, order: list[Column], value: Column, name: str, ranges: int | None = None) -> DataFrame:
     """``df`` with ``name``: the ``value`` of the row before in ``order``, null for the first."""
-    d = in_ranges(df.withColumn("_v", value), order, ranges)
+    d = in_ranges(df.withColumn("_neighbour", value), order, ranges)
     # the last value of the nearest range before that has rows
-    ends = d.groupBy(PART).agg(F.max_by(F.struct("_v"), F.struct(*order)).alias("end"))
-    ends = ends.select(F.col(PART).alias("_r"), F.lag("end").over(Window.orderBy(PART)).alias("_end"))
+    ends = d.groupBy(PART).agg(F.max_by(F.struct("_neighbour"), F.struct(*order)).alias("end"))
+    ends = ends.select(F.col(PART).alias("_range_of"), F.lag("end").over(Window.orderBy(PART)).alias("_range_end"))
     within = Window.partitionBy(PART).orderBy(*order)
-    own = F.lag(F.struct("_v")).over(within)
-    return d.join(F.broadcast(ends), F.col(PART) == F.col("_r")).withColumn(name, F.coalesce(own, F.col("_end"))["_v"]).drop(PART, "_r", "_v", "_end")
+    own = F.lag(F.struct("_neighbour")).over(within)
+    return d.join(F.broadcast(ends), F.col(PART) == F.col("_range_of")).withColumn(name, F.coalesce(own, F.col("_range_end"))["_neighbour"]).drop(PART, "_range_of", "_neighbour", "_range_end")

@@ -160,3 +160,48 @@ def hardest(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     found = block_pairs(d, d, solve, "pos long, lo double, hi double", block)
     best = found.groupBy("pos").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     return best.select("pos", F.when(F.col("lo") < float("inf"), F.col("lo")).alias("hardest_positive"), F.when(F.col("hi") > float("-inf"), F.col("hi")).alias("hardest_negative"))
+
+
+def positive_ranks(queries: DataFrame, gallery: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(qpos, gpos, score, rank) of each query's positives in its whole ranking without junk, ties by position.
+
+    Positives are gallery rows of the query's vehicle and another camera, junk those of both. A pair of blocks first returns
+    its positives' scores; these go with the queries to all blocks, and a block returns how many of its rows stand before each.
+    What is shuffled grows with the positives, not with the pairs. Both sides have (pos, embedding, vehicle_id, camera_id).
+    """
+    side = lambda d: d.select("pos", doubles("embedding").alias("v"), "vehicle_id", "camera_id")
+    q, g = side(queries), side(gallery)
+    none = lambda: [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    same = lambda left, right, c: left[c][:, None] == right[c][None, :]
+
+    def positives(left: list[np.ndarray], right: list[np.ndarray]) -> list[np.ndarray]:
+        if not len(left[0]) or not len(right[0]):
+            return none()
+        a, b = np.nonzero(same(left, right, 2) & ~same(left, right, 3))
+        return [left[0][a], right[0][b], np.sum(left[1][a] * right[1][b], axis=1)]
+
+    def before(left: list[np.ndarray], right: list[np.ndarray]) -> list[np.ndarray]:
+        if not len(left[0]) or not len(right[0]):
+            return none()
+        out = []
+        for i, (at, of) in enumerate(zip(left[4], left[5], strict=True)):
+            if at is None:
+                continue
+            keep = ~((right[2] == left[2][i]) & (right[3] == left[3][i]))
+            scores, pos = np.sum(right[1][keep] * left[1][i], axis=1), right[0][keep]
+            order = np.lexsort((pos, -scores))
+            scores, pos = -scores[order], pos[order]
+            at, of = -np.asarray(at), np.asarray(of)
+            n = np.searchsorted(scores, at, "left")
+            equal = np.searchsorted(scores, at, "right") > n
+            n[equal] += np.array([np.count_nonzero(pos[scores == s] < p) for s, p in zip(at[equal], of[equal], strict=True)], np.int64)
+            out.append((np.full(len(n), left[0][i]), of, n.astype(float)))
+        return [np.concatenate(c) for c in zip(*out, strict=True)] if out else none()
+
+    found = block_pairs(q, g, positives, PAIR, block)
+    lists = found.groupBy("qpos").agg(F.collect_list("score").alias("at"), F.collect_list("gpos").alias("of"))
+    asked = q.join(lists, F.col("pos") == F.col("qpos")).drop("qpos")
+    rows = g.select("*", F.lit(None).cast("array<double>").alias("at"), F.lit(None).cast("array<long>").alias("of"))
+    counts = block_pairs(asked, rows, before, PAIR, block)
+    ranks = counts.groupBy("qpos", "gpos").agg((F.sum("score") + 1).cast("long").alias("rank"))
+    return found.join(ranks, ["qpos", "gpos"])

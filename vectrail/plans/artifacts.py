@@ -264,7 +264,7 @@ def row_remap(spark, sf):
     """Old moments carried to a new numbering by identity, zeros for new ones."""
     old = tables.gallery_base(spark, sf).where("pos % 2 = 0").groupBy(F.concat(F.lit("v"), "vehicle_id").alias("identity")).agg(F.sum(F.col("embedding")[0].cast("double")).alias("moment"))
     ids = tables.gallery_base(spark, sf).select(F.explode(F.array(F.concat(F.lit("v"), "vehicle_id"), F.concat(F.lit("w"), "vehicle_id"))).alias("identity")).distinct()
-    new = ids.withColumn("row", (F.row_number().over(Window.orderBy("identity")) - 1).cast("long"))
+    new = ordered.numbered(ids, [F.col("identity")], "row")
     return new.join(old, "identity", "left").select("row", "identity", F.round(F.coalesce("moment", F.lit(0.0)), 5).alias("moment"))
 
 

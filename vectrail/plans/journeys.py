@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from vectrail.operators import ivfpq, ranking
 from vectrail.plans import sql
 from vectrail.plans.tracks import _track
 from vectrail.sources import tables
+from vectrail.sources.shared import place
 from vectrail.streaming import tagging
 
 
@@ -104,10 +103,7 @@ def plural_forms(spark, sf):
 
 def tagging_queue(spark, sf):
     """Items through the tagging stream with a back end that tags by the crop's first byte and fails on some."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = f"{folder.rstrip('/')}/tagging-{uuid.uuid4().hex}"
+    root = place(spark, "tagging")
     crop = F.when(F.col("pos") % 13 != 0, F.encode(F.concat(F.chr(97 + F.col("pos") % 5), "image_id"), "utf-8"))
     tables.gallery_base(spark, sf).select(F.col("pos").alias("item_id"), crop.alias("crop")).repartition(4).write.parquet(f"{root}/in")
 
@@ -124,10 +120,7 @@ def tagging_queue(spark, sf):
 
 def _index(spark, sf):
     """A new index of the gallery on the shared folder, opened from there."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"{folder.rstrip('/')}/index-{uuid.uuid4().hex}"
+    path = place(spark, "index")
     ivfpq.build(tables.gallery(spark, sf).select("pos", "embedding"), path)
     return ivfpq.load(spark, path)
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from vectrail.operators import ordered
 from vectrail.plans import sql
 from vectrail.sources import tables
 
@@ -42,7 +42,7 @@ def sha256_admission(spark, sf):
 def dense_relabel(spark, sf):
     """Vehicles as dense numbers in order; ranked over distinct vehicles only."""
     base = tables.gallery_base(spark, sf).select("pos", F.concat(F.lit("v"), "vehicle_id").alias("identity"))
-    number = base.select("identity").distinct().withColumn("label", (F.row_number().over(Window.orderBy("identity")) - 1).cast("long"))
+    number = ordered.numbered(base.select("identity").distinct(), [F.col("identity")], "label")
     return base.join(number, "identity").select("pos", "label")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from vectrail.operators import ordered
+
 BOXES = "image_id string, x int, y int, w int, h int"
 #: Ids are one plain file name.
 UNSAFE_ID = r"^$|^\.\.?$|[/\\\x00]"
@@ -75,7 +77,7 @@ def union_lists(parts: dict[str, DataFrame]) -> DataFrame:
     clash = d.groupBy("path").count().where("count > 1").limit(3).collect()
     if clash:
         raise ValueError(f"paths in two lists: {[r['path'] for r in clash]}")
-    number = d.select("identity").distinct().withColumn("label", (F.row_number().over(Window.orderBy("identity")) - 1).cast("long"))
+    number = ordered.numbered(d.select("identity").distinct(), [F.col("identity")], "label")
     return d.join(number, "identity").select("path", "identity", "camera", "label")
 
 
