@@ -6,7 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from vectrail.functions import places
-from vectrail.operators import ivfpq, ranking
+from vectrail.operators import ivfpq, ranking, tracks
 from vectrail.plans import sql
 from vectrail.plans.tracks import _track
 from vectrail.sources import tables
@@ -67,10 +67,12 @@ def day_layers(spark, sf):
 
 
 def route_stats(spark, sf):
-    """Per entity: sightings that the track accepts, real ones, cities, and rejected ones."""
-    d = tables.located(spark, sf).select("sighting_id", "entity_id", "kind", "city").join(_track(spark, sf).select("sighting_id", "accepted"), "sighting_id")
-    ok = F.col("accepted")
-    return d.groupBy("entity_id").agg(F.count_if(ok).alias("sightings"), F.count_if(ok & (F.col("kind") == "real")).alias("real"), F.countDistinct(F.when(ok, F.col("city"))).alias("cities"), F.count_if(~ok).alias("rejected"))
+    """Per entity: sightings that the track accepts, real ones, places of nights or working days, cities, and rejected ones."""
+    located, track = tables.located(spark, sf), _track(spark, sf).select("sighting_id", "accepted")
+    d, ok = located.join(track, "sighting_id"), F.col("accepted")
+    roles = tracks.place_roles(d.where("accepted").drop("accepted")).groupBy("entity_id").agg(F.count_if(F.col("role").isin("night", "day")).alias("regular"))
+    d = d.groupBy("entity_id").agg(F.count_if(ok).alias("sightings"), F.count_if(ok & (F.col("kind") == "real")).alias("real"), F.countDistinct(F.when(ok, F.col("city"))).alias("cities"), F.count_if(~ok).alias("rejected"))
+    return d.join(roles, "entity_id", "left").withColumn("regular", F.coalesce("regular", F.lit(0)).cast("long"))
 
 
 def registry_cameras(spark, sf):
@@ -172,6 +174,9 @@ SELECT sighting_id, strftime(t, '%Y-%m-%d') AS day, CAST(isodow(t) - 1 AS INTEGE
     "day_layers": f"""WITH {sql.SIGHTINGS}, d AS (SELECT entity_id, strftime(ts + INTERVAL 3 HOUR, '%Y-%m-%d') AS day, count(*) AS n, string_agg(camera_id::VARCHAR, '>' ORDER BY ts, sighting_id) AS line,
 min(lat) AS a, max(lat) AS b, min(lon) AS c, max(lon) AS e FROM lo GROUP BY ALL), p AS (SELECT *, CASE WHEN n > 1 THEN 0.0 ELSE 0.01 END::DOUBLE AS pad FROM d)
 SELECT entity_id, day, n, CASE WHEN n > 1 THEN line END AS line, round(a - pad, 6) AS lo_lat, round(b + pad, 6) AS hi_lat, round(c - pad, 6) AS lo_lon, round(e + pad, 6) AS hi_lon FROM p""",
+    "route_stats": f"""WITH RECURSIVE {sql.TRACK}, {sql.PLACES}, r AS (SELECT entity_id, count(*) FILTER (role IN ('night', 'day')) AS regular FROM roles GROUP BY entity_id),
+j AS (SELECT lo.entity_id, count(*) FILTER (accepted) AS sightings, count(*) FILTER (accepted AND kind = 'real') AS real, count(DISTINCT city) FILTER (accepted) AS cities, count(*) FILTER (NOT accepted) AS rejected FROM lo JOIN track USING (sighting_id) GROUP BY ALL)
+SELECT j.*, coalesce(regular, 0) AS regular FROM j LEFT JOIN r USING (entity_id)""",
     "registry_cameras": """WITH d AS (SELECT i AS id, i % 25 AS s, i // 25 AS k FROM range(96) t(i)),
 e AS (SELECT id, s, k, 55.5::DOUBLE + s * 0.01::DOUBLE AS a, 55.6::DOUBLE + s * 0.012::DOUBLE AS b, 37.3::DOUBLE + s * 0.02::DOUBLE AS c, 37.4::DOUBLE + s * 0.015::DOUBLE AS d FROM d)
 SELECT id, s AS street, CAST(k AS BIGINT) AS part, round(a + (b - a) * ((k + 0.5) / 4)::DOUBLE + 1e-9, 5) AS lat, round(c + (d - c) * ((k + 0.5) / 4)::DOUBLE + 1e-9, 5) AS lon FROM e""",

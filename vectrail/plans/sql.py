@@ -80,3 +80,49 @@ si AS (
 lo AS (SELECT si.*, lat, lon, city, cam.kind AS camera_kind FROM si JOIN cam USING (camera_id))"""
 
 HAVERSINE = "2 * 6371.0::DOUBLE * asin(sqrt(least(pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2), 1.0)))"
+
+
+def _trip(a: str, b: str) -> str:
+    """A struct km, gap, top of the trip between two sightings; null if one is missing."""
+    km = f"CASE WHEN {a}.cam = {b}.cam THEN 0.0 ELSE 1.3 * {HAVERSINE.format(a=a, b=b)} END"
+    return f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN {{'km': ({km})::DOUBLE, 'gap': (({b}.us - {a}.us) / 60e6 - {a}.dwell)::DOUBLE, 'top': CASE WHEN {a}.city = 'home' AND {b}.city = 'home' THEN 90 ELSE 130 END}} END"
+
+
+_BAD = "60 * {t}.km > {t}.top * greatest({t}.gap + 10, 0)"
+#: Needs WITH RECURSIVE. Each step checks every entity's next sighting against the list of those kept so far.
+TRACK = f"""{SIGHTINGS},
+ordered AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY CASE kind WHEN 'real' THEN 0 WHEN 'sim' THEN 1 ELSE 2 END, coalesce(confidence, 0) DESC, ts, sighting_id) AS n FROM lo),
+sight AS (SELECT entity_id, n, {{'us': epoch_us(ts), 'k': n, 'id': sighting_id, 'cam': camera_id, 'lat': lat, 'lon': lon, 'city': city, 'dwell': coalesce(dwell_min, 0)::DOUBLE}} AS s FROM ordered),
+walk AS (SELECT entity_id, n, s, [s] AS kept, NULL::BIGINT AS conflict_with, NULL::DOUBLE AS km, NULL::DOUBLE AS gap FROM sight WHERE n = 1
+UNION ALL SELECT entity_id, n, s, CASE WHEN c IS NULL THEN list_append(kept, s) ELSE kept END, c.id, c.km, c.gap FROM (
+SELECT *, CASE WHEN {_BAD.format(t="t")} THEN {{'id': a.id, 'km': t.km, 'gap': t.gap}} WHEN {_BAD.format(t="u")} THEN {{'id': b.id, 'km': u.km, 'gap': u.gap}} END AS c FROM (
+SELECT *, {_trip("a", "s")} AS t, {_trip("s", "b")} AS u FROM (
+SELECT x.entity_id, x.n, x.s, w.kept, list_max(list_filter(w.kept, lambda y: y.us <= x.s.us)) AS a, list_min(list_filter(w.kept, lambda y: y.us > x.s.us)) AS b
+FROM walk w JOIN sight x ON x.entity_id = w.entity_id AND x.n = w.n + 1)))),
+track AS (SELECT s.id AS sighting_id, entity_id, conflict_with IS NULL AS accepted, conflict_with, km, gap AS gap_min, 60 * km / greatest(gap, 0.5) AS need_kmh FROM walk)"""
+
+#: Needs TRACK. Stays join the first place within 0.3 km of its running centre, in order of time.
+PLACES = f"""
+stay AS (SELECT lo.*, row_number() OVER (PARTITION BY lo.entity_id ORDER BY ts, sighting_id) AS n FROM lo JOIN track USING (sighting_id) WHERE accepted AND dwell_min > 0),
+grown AS (SELECT entity_id, n, sighting_id, [{{'lat': lat, 'lon': lon, 'n': 1}}] AS centres, CAST(1 AS BIGINT) AS place FROM stay WHERE n = 1
+UNION ALL SELECT entity_id, n, sighting_id, CASE WHEN near IS NULL THEN list_append(centres, {{'lat': lat, 'lon': lon, 'n': 1}})
+ELSE list_transform(centres, lambda c, i: CASE WHEN i = near THEN {{'lat': (c.lat * c.n + lat) / (c.n + 1), 'lon': (c.lon * c.n + lon) / (c.n + 1), 'n': c.n + 1}} ELSE c END) END, coalesce(near, len(centres) + 1) FROM (
+SELECT x.entity_id, x.n, x.sighting_id, x.lat, x.lon, g.centres, list_min(list_filter(list_transform(g.centres, lambda c, i: CASE WHEN {HAVERSINE.format(a="c", b="x")} <= 0.3 THEN i END), lambda i: i IS NOT NULL)) AS near
+FROM grown g JOIN stay x ON x.entity_id = g.entity_id AND x.n = g.n + 1)),
+placed AS (SELECT stay.*, place, stay.ts + INTERVAL 3 HOUR AS a, stay.ts + INTERVAL 3 HOUR + to_minutes(dwell_min) AS b FROM stay JOIN grown USING (sighting_id)),
+days AS (SELECT *, unnest(generate_series(date_trunc('day', a)::TIMESTAMP, b::TIMESTAMP, INTERVAL 1 DAY)) AS day FROM placed),
+covered AS (SELECT *, day + INTERVAL 3 HOUR BETWEEN a AND b AS night, isodow(day) <= 5 AND day + INTERVAL 13 HOUR BETWEEN a AND b AS work FROM days),
+marked AS (SELECT *, EXISTS (SELECT 1 FROM covered c WHERE c.sighting_id = p.sighting_id AND night) AS nights, EXISTS (SELECT 1 FROM covered c WHERE c.sighting_id = p.sighting_id AND work) AS works FROM placed p),
+of_place AS (SELECT entity_id, place, min_by(city, {{'t': ts, 'i': sighting_id}}) AS city, count(*) AS n_stays, sum(dwell_min) / 60 AS hours, count(DISTINCT a::DATE) AS days,
+{{clock_night_a}} AS na, {{clock_night_b}} AS nb, {{clock_work_a}} AS wa, {{clock_work_b}} AS wb FROM marked GROUP BY ALL),
+seen AS (SELECT entity_id, place, count(DISTINCT day) FILTER (night) AS n_night, count(DISTINCT day) FILTER (work) AS n_day FROM covered GROUP BY ALL),
+seen_all AS (SELECT entity_id, count(DISTINCT day) FILTER (night) AS all_night, count(DISTINCT day) FILTER (work) AS all_day FROM covered GROUP BY ALL),
+roles AS (SELECT *, CASE WHEN n_night >= 4 THEN 'night' WHEN n_day >= 4 THEN 'day' WHEN city <> 'home' THEN 'trip' ELSE 'episodic' END AS role FROM of_place JOIN seen USING (entity_id, place) JOIN seen_all USING (entity_id))"""
+
+
+def _clock(t: str, where: str) -> str:
+    angle = f"(hour({t}) * 60 + minute({t})) * 2 * pi() / 1440"
+    return f"atan2(sum(sin({angle})) FILTER ({where}), sum(cos({angle})) FILTER ({where})) * 1440 / (2 * pi())"
+
+
+PLACES = PLACES.replace("{clock_night_a}", _clock("a", "nights")).replace("{clock_night_b}", _clock("b", "nights")).replace("{clock_work_a}", _clock("a", "works")).replace("{clock_work_b}", _clock("b", "works"))

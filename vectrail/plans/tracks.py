@@ -58,7 +58,16 @@ def nearest_camera(spark, sf):
 QUERIES = {f.__name__: f for f in (greedy_track, track_summary, place_roles, covered_nights, mean_stay_clock, nearest_camera)}
 
 _ANGLE = "(hour(t) * 60 + minute(t)) * 2 * pi() / 1440"
+_MINUTE = "CAST(floor(({0} % 1440 + 1440) % 1440 + 0.5) AS BIGINT)"
+_HHMM = f"printf('%02d:%02d', {_MINUTE} // 60 % 24, {_MINUTE} % 60)"
+_REGULAR = "least(0.95, {0} / {1} * (1 - exp(-{0} / 5.0::DOUBLE)))"
 ORACLES = {
+    "greedy_track": f"WITH RECURSIVE {sql.TRACK} SELECT sighting_id, entity_id, accepted, conflict_with, round(km, 4) AS km, round(gap_min, 4) AS gap_min, round(need_kmh, 4) AS need_kmh FROM track",
+    "track_summary": f"WITH RECURSIVE {sql.TRACK} SELECT entity_id, count(*) AS n, count(*) FILTER (accepted) AS n_accepted, count(*) FILTER (NOT accepted) AS n_rejected FROM track GROUP BY entity_id",
+    "place_roles": f"""WITH RECURSIVE {sql.TRACK}, {sql.PLACES}
+SELECT entity_id, place, row_number() OVER (PARTITION BY entity_id ORDER BY list_position(['night', 'day', 'trip', 'episodic'], role), hours DESC, place) AS position, role, city, n_stays, round(hours, 6) AS hours, days, n_night, n_day,
+round(CASE role WHEN 'night' THEN {_REGULAR.format("n_night", "all_night")} WHEN 'day' THEN {_REGULAR.format("n_day", "all_day")} END, 6) AS confidence,
+CASE role WHEN 'night' THEN {_HHMM.format("na")} || '-' || {_HHMM.format("nb")} WHEN 'day' THEN {_HHMM.format("wa")} || '-' || {_HHMM.format("wb")} END AS "window" FROM roles""",
     "covered_nights": f"""WITH {sql.SIGHTINGS},
 s AS (SELECT sighting_id, ts + INTERVAL 3 HOUR AS a, ts + INTERVAL 3 HOUR + to_minutes(dwell_min * 3) AS b FROM si WHERE dwell_min > 0),
 d AS (SELECT sighting_id, a, b, unnest(generate_series(date_trunc('day', a)::TIMESTAMP, b::TIMESTAMP, INTERVAL 1 DAY)) + INTERVAL 3 HOUR AS t FROM s)
