@@ -1,6 +1,7 @@
 """Tracks and places against plain walks over whole entities, and small cases with known results."""
 
 import math
+import random
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -53,6 +54,32 @@ def test_real_beats_simulated_and_edges(spark):
     assert tracks.greedy_track(_frame(spark, []), 100.0).count() == 0
 
 
+def _plain_places(points):
+    """Every stay against all centres in order."""
+    found, out = [], []
+    for lat, lon in points:
+        k = next((k for k, p in enumerate(found) if tracks._km(p[0], p[1], lat, lon) <= 0.3), len(found))
+        n = found[k][2] if k < len(found) else 0
+        found[k : k + 1] = [((found[k][0] * n + lat) / (n + 1), (found[k][1] * n + lon) / (n + 1), n + 1) if n else (lat, lon, 1)]
+        out.append(k)
+    return out
+
+
+def test_places_by_cells_equal_a_scan():
+    r = random.Random(4)
+    for lat, lon, spread in ((55.7, 37.6, 0.02), (0.0, 180.0, 0.01), (89.99, 0.0, 0.05), (-33.0, -0.001, 0.005)):
+        points = [(min(90.0, lat + r.uniform(-spread, spread)), lon + r.uniform(-spread, spread) * (300 if lat > 80 else 1)) for _ in range(1500)]
+        points += [points[0]] * 3
+        cells = tracks.Centres()
+        assert [cells.join(*p) for p in points] == _plain_places(points)
+
+
+def test_many_places_of_one_entity():
+    cells, n = tracks.Centres(), 100_000
+    assert [cells.join(40 + i // 400 * 0.01, 20 + i % 400 * 0.02) for i in range(n)] == list(range(n))
+    assert cells.join(40.0001, 20.0) == 0
+
+
 def test_roles(spark):
     rows = []
     for day in range(1, 6):  # Monday to Friday

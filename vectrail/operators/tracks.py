@@ -98,19 +98,53 @@ def greedy_track(located: DataFrame, reach: float) -> DataFrame:
     return alone.union(walked.select("entity_id", "part", *SIGHT).mapInArrow(_walk, TRACK))
 
 
+class Centres:
+    """An entity's places by running centre, in a grid of cells of PLACE_KM around the earth.
+
+    A straight line is shorter than the way around, so all centres within PLACE_KM of a point lie in the 27 cells
+    about it; a centre that moves changes its cell. A stay thus looks at few places, however many the entity has.
+    """
+
+    SIDE = PLACE_KM * (1 + 1e-9)
+
+    def __init__(self) -> None:
+        self.centres: list[tuple[float, float, int]] = []
+        self.cells: dict[tuple[int, int, int], list[int]] = {}
+
+    def _cell(self, lat: float, lon: float) -> tuple[int, int, int]:
+        up, around = math.radians(lat), math.radians(lon)
+        r = places.RADIUS_KM / self.SIDE
+        return math.floor(r * math.cos(up) * math.cos(around)), math.floor(r * math.cos(up) * math.sin(around)), math.floor(r * math.sin(up))
+
+    def join(self, lat: float, lon: float) -> int:
+        """The number, from 0, of the first place within reach, which moves, or of a new one."""
+        x, y, z = self._cell(lat, lon)
+        near = (k for i in (x - 1, x, x + 1) for j in (y - 1, y, y + 1) for m in (z - 1, z, z + 1) for k in self.cells.get((i, j, m), ()))
+        k = min((k for k in near if _km(self.centres[k][0], self.centres[k][1], lat, lon) <= PLACE_KM), default=None)
+        if k is None:
+            k = len(self.centres)
+            self.centres.append((lat, lon, 1))
+            self.cells.setdefault((x, y, z), []).append(k)
+            return k
+        a, b, n = self.centres[k]
+        new = ((a * n + lat) / (n + 1), (b * n + lon) / (n + 1), n + 1)
+        old, now = self._cell(a, b), self._cell(new[0], new[1])
+        if old != now:
+            self.cells[old].remove(k)
+            self.cells.setdefault(now, []).append(k)
+        self.centres[k] = new
+        return k
+
+
 def _cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stays sorted by entity and time, with their place; state: the entity's places, never its stays."""
-    entity, found = None, []  # (lat, lon, stays) by place
+    entity, found = None, Centres()
     for batch in batches:
         out = []
         for who, lat, lon in zip(*(batch.column(c).to_pylist() for c in ("entity_id", "lat", "lon")), strict=True):
             if who != entity:
-                entity, found = who, []
-            k = next((k for k, p in enumerate(found) if _km(p[0], p[1], lat, lon) <= PLACE_KM), len(found))
-            n = found[k][2] if k < len(found) else 0
-            new = ((found[k][0] * n + lat) / (n + 1), (found[k][1] * n + lon) / (n + 1), n + 1) if n else (lat, lon, 1)
-            found[k : k + 1] = [new]
-            out.append(k + 1)
+                entity, found = who, Centres()
+            out.append(found.join(lat, lon) + 1)
         yield batch.append_column("place", pa.array(out, pa.int32()))
 
 
