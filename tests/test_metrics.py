@@ -60,3 +60,12 @@ def test_plateaus(spark):
         d = spark.createDataFrame(points, "threshold double, q double").withColumn("q_none", F.lit(last))
         got = metrics.midpoint(d).first()
         assert (got["threshold"], got["q"]) == pytest.approx(plain(points, last))
+
+
+def test_best_columns_with_ties():
+    r = np.random.default_rng(3)
+    for k in (1, 4, 9):
+        s, pos = r.integers(0, 6, (50, 12)).astype(float), r.permutation(12)
+        got = ranking._best(s, pos, k)
+        for row, own in zip(s, got, strict=True):
+            assert set(own) == set(sorted(range(12), key=lambda c: (-row[c], pos[c]))[:k])

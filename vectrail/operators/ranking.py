@@ -26,8 +26,13 @@ def _best(scores: np.ndarray, pos: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k best of each row, ties by position; the order among them is free."""
     if scores.shape[1] <= k:
         return np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
-    by_pos = np.argsort(pos, kind="stable")
-    return by_pos[np.argsort(-scores[:, by_pos], axis=1, kind="stable")[:, :k]]
+    down = -scores
+    reach = down <= np.partition(down, k - 1, axis=1)[:, k - 1 : k]
+    out, whole = np.empty((len(scores), k), np.int64), reach.sum(axis=1) == k
+    out[whole] = np.nonzero(reach[whole])[1].reshape(-1, k)
+    for i in np.flatnonzero(~whole):  # equal scores at the edge
+        out[i] = np.lexsort((pos, down[i]))[:k]
+    return out
 
 
 def _products(own: np.ndarray, q: np.ndarray, pos: np.ndarray, rows: np.ndarray, k: int | None) -> Iterator[tuple[np.ndarray, ...]]:
@@ -105,10 +110,22 @@ def dba_refine(gallery: DataFrame, k: int = 4, alpha: float = 2.0) -> DataFrame:
     """
     near = top_k(gallery, gallery, k + 1)
     near = near.select(F.col("qpos").alias("pos"), "gpos", F.pow(F.greatest("score", F.lit(0.0)), F.lit(alpha)).alias("weight"), "rank")
-    vectors = gallery.select(F.col("pos").alias("gpos"), F.posexplode(doubles("embedding")).alias("i", "x"))
-    sums = near.join(vectors, "gpos").groupBy("pos", "i").agg(F.sum(F.col("weight") * F.col("x")).alias("x"))
-    whole = sums.groupBy("pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("sum"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    refined = whole.select("pos", F.transform("sum", lambda x: x / F.col("norm")).alias("embedding"))
+    vectors = gallery.select(F.col("pos").alias("gpos"), doubles("embedding").alias("v"))
+    # k + 1 neighbours a row meet, with their vectors
+    lists = near.join(vectors, "gpos").groupBy("pos").agg(F.collect_list("weight").alias("w"), F.collect_list("v").alias("v"))
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                weights, rows = batch.column(1), batch.column(2).flatten()
+                w = weights.flatten().to_numpy(zero_copy_only=False)
+                x = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(w), -1) * w[:, None]
+                n = np.diff(weights.offsets.to_numpy())
+                x = np.add.reduceat(x, np.cumsum(n) - n)
+                x /= np.sqrt(np.sum(x * x, axis=1, keepdims=True))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["pos", "embedding"])
+
+    refined = lists.mapInArrow(pool, "pos long, embedding array<double>")
     return gallery.drop("embedding").join(refined, "pos")
 
 

@@ -48,6 +48,26 @@ def _hindrance(first: tuple, second: tuple) -> tuple[float, float, float] | None
     return None
 
 
+def decision(line: list[tuple], sight: tuple) -> tuple:
+    """(accepted, conflict_with, km, gap_min, need_kmh) of the next sighting; ``line``, the accepted ones in time order, takes it if it fits."""
+    at = bisect_right(line, sight[0], key=lambda s: s[0])
+    found = None
+    for one, two, other in ((at - 1, None, at - 1), (None, at, at)):
+        if found is None and 0 <= other < len(line):
+            trip = _hindrance(line[one] if one is not None else sight, line[two] if two is not None else sight)
+            found = trip and (line[other][1], *trip)
+    if found is None:
+        line.insert(at, sight)
+    return found is None, *(found or (None,) * 4)
+
+
+def decided(part: list[tuple]) -> Iterator[tuple[int, tuple]]:
+    """(sighting_id, decision) of a part's sightings (rank, trust, and SIGHT), which come in order of trust."""
+    line: list[tuple] = []
+    for s in part:
+        yield s[3], decision(line, s[2:])
+
+
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sightings sorted by group and, within it, by trust; state: the group's accepted ones in time order."""
     names, group, line = [c.split()[0] for c in TRACK.split(", ")], None, []
@@ -56,16 +76,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for entity, part, *sight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (entity, part) != group:
                 group, line = (entity, part), []
-            sight = tuple(sight)
-            at = bisect_right(line, sight[0], key=lambda s: s[0])
-            found = None
-            for one, two, other in ((at - 1, None, at - 1), (None, at, at)):
-                if found is None and 0 <= other < len(line):
-                    trip = _hindrance(line[one] if one is not None else sight, line[two] if two is not None else sight)
-                    found = trip and (line[other][1], *trip)
-            if found is None:
-                line.insert(at, sight)
-            out.append((sight[1], entity, found is None, *(found or (None,) * 4)))
+            out.append((sight[1], entity, *decision(line, tuple(sight))))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), *[pa.float64()] * 3), strict=True)], names=names)
 
 
@@ -77,16 +88,21 @@ def reach_km(cameras: DataFrame) -> float:
     return places.ROAD_FACTOR * places.RADIUS_KM * (math.radians(r[0]) + math.radians(r[1]) * math.cos(math.radians(r[2])))
 
 
+def walk_rows(located: DataFrame) -> DataFrame:
+    """What the walk needs of sightings; those without id, entity, time or position drop out."""
+    return located.dropna(subset=["sighting_id", "entity_id", "ts", "lat", "lon"]).select(
+        "sighting_id", "entity_id", "camera_id", "lat", "lon", "city", F.unix_micros("ts").alias("us"), F.coalesce("dwell_min", F.lit(0)).cast("double").alias("dwell"),
+        F.when(F.col("kind") == "real", 0).when(F.col("kind") == "sim", 1).otherwise(2).alias("rank"), F.coalesce("confidence", F.lit(0.0)).cast("double").alias("trust"),
+    )
+
+
 def greedy_track(located: DataFrame, reach: float) -> DataFrame:
     """Accept sightings from the most reliable on, if the trips from and to their neighbours in time are feasible.
 
     Order: real, simulated, look-alike; then confidence (null: 0) downwards, time, id. A rejected one names the neighbour that
     it conflicts with, the earlier first. Null times or positions drop out.
     """
-    d = located.dropna(subset=["sighting_id", "entity_id", "ts", "lat", "lon"]).select(
-        "sighting_id", "entity_id", "camera_id", "lat", "lon", "city", F.unix_micros("ts").alias("us"), F.coalesce("dwell_min", F.lit(0)).cast("double").alias("dwell"),
-        F.when(F.col("kind") == "real", 0).when(F.col("kind") == "sim", 1).otherwise(2).alias("rank"), F.coalesce("confidence", F.lit(0.0)).cast("double").alias("trust"),
-    )
+    d = walk_rows(located)
     by_time = Window.partitionBy("entity_id").orderBy("us", "sighting_id")
     ended = F.max(F.col("us") + F.col("dwell") * 60e6).over(by_time.rowsBetween(Window.unboundedPreceding, -1))
     enough = reach / min(places.HOME_KMH, places.OPEN_KMH) * 60 * 60e6

@@ -9,6 +9,7 @@ from vectrail.plans import sql
 from vectrail.plans.retrieval import THRESHOLD
 from vectrail.sources import tables
 from vectrail.sources.shared import place
+from vectrail.streaming import embedding
 
 
 def _edited(spark, sf):
@@ -56,6 +57,23 @@ def kept_searches(spark, sf):
     return store.read("searches").select("id", "qpos", "accepted", F.size(best).cast("long").alias("n"), best[0]["gpos"].alias("gpos"), F.round(best[0]["score"], 6).alias("score"))
 
 
+def _toy_model():
+    """Stands in for an encoder: a crop's length and last byte."""
+    return lambda crops: [[float(len(c)), float(c[-1])] for c in crops]
+
+
+def reindex_run(spark, sf):
+    """Stale items embedded anew as a stream of commits; crops that can't be read keep their item stale."""
+    base = tables.gallery_base(spark, sf)
+    store = catalogue.opened(spark, place(spark, "reindexed"), base.select("pos", "image_id", "model_version", F.expr("array(0F, 0F)").alias("embedding")), tables.tags(spark, sf).select("item_id", "tag"))
+    crops = base.select("pos", F.when(F.col("pos") % 55 != 0, F.encode("image_id", "utf-8")).alias("crop"))
+    folder = place(spark, "queue")
+    embedding.queue_stale(store, crops, tables.CURRENT_VERSION, folder, files=4)
+    embedding.reindex(store, folder, f"{folder}-progress", tables.CURRENT_VERSION, _toy_model, files_at_once=2).awaitTermination()
+    d = store.read("items").join(embedding.failures(spark, folder), "pos", "left")
+    return d.select("pos", "model_version", F.col("embedding")[0].cast("double").alias("chars"), F.col("embedding")[1].cast("double").alias("last"), "error")
+
+
 def frame_batches(spark, sf):
     """Documents as frames of a thousand bytes a character: import batches of at most 64 frames and 3 MiB, larger frames refused."""
     d = tables.table(spark, sf, "documents").select("doc_id", F.length("text").alias("n"))
@@ -63,7 +81,7 @@ def frame_batches(spark, sf):
     return d.select("doc_id", "batch", "place", "refused")
 
 
-QUERIES = {f.__name__: f for f in (store_edits, store_versions, kept_searches, frame_batches)}
+QUERIES = {f.__name__: f for f in (store_edits, store_versions, kept_searches, reindex_run, frame_batches)}
 
 _TAGGED = f"""WITH {sql.BASE},
 t AS (SELECT pos AS item_id, 'kind_' || (pos % 4) AS tag FROM base UNION ALL SELECT pos, 'colour_' || (pos % 6) FROM base WHERE pos % 3 = 0)"""
@@ -77,6 +95,8 @@ o AS (SELECT count(*) FILTER (early) AS i1, count(plate) FILTER (early) AS p1, s
 count(*) FILTER (stays) AS i5, count(plate2) FILTER (stays) AS p5, sum(n) FILTER (early AND stays) AS t5, sum(CASE WHEN pos % 10 = 0 THEN 1 WHEN early THEN n ELSE 0 END) FILTER (stays) AS t6 FROM p)
 SELECT CAST(unnest([1, 2, 3, 4, 5, 6]) AS BIGINT) AS version, unnest([i1, i2, i2, i2, i5, i5]) AS items, unnest([p1, p2, p3, p3, p5, p5]) AS plates, CAST(unnest([t1, t1, t1, t1, t5, t6]) AS BIGINT) AS tags FROM o""",
     "kept_searches": f"""WITH {sql.PAIRS} SELECT row_number() OVER (ORDER BY qpos % 2 DESC, qpos) AS id, qpos, max(score) >= 0.35 AS accepted, count(*) AS n, min_by(gpos, rank) AS gpos, round(max(score), 6) AS score FROM top10 GROUP BY qpos""",
+    "reindex_run": """SELECT vec_id AS pos, CASE WHEN vec_id % 55 = 0 THEN '1.1.0' ELSE '1.2.0' END AS model_version, CASE WHEN vec_id % 11 = 0 AND vec_id % 55 <> 0 THEN 4.0::DOUBLE + length(vec_id::VARCHAR) ELSE 0 END AS chars,
+CASE WHEN vec_id % 11 = 0 AND vec_id % 55 <> 0 THEN 48.0::DOUBLE + vec_id % 10 ELSE 0 END AS last, CASE WHEN vec_id % 55 = 0 THEN 'no crop' END AS error FROM embeddings""",
     "frame_batches": """WITH RECURSIVE f AS (SELECT doc_id, length(text) * 1000 AS size FROM documents),
 n AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM f WHERE size <= 3145728),
 w AS (SELECT i, doc_id, size AS total, CAST(0 AS BIGINT) AS batch, CAST(0 AS BIGINT) AS place FROM n WHERE i = 1
