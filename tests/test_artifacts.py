@@ -48,6 +48,8 @@ def test_boxes_by_name(spark, tmp_path):
             readers.read_boxes_by_name(spark, _csv(tmp_path, "b.csv", text))
     with pytest.raises(ValueError):
         readers.read_truth(spark, good)
+    truth = _csv(tmp_path, "truth.csv", "split,camera_id,image_id,vehicle_id\nquery,07,a,1\ngallery,7,b,01\n")
+    assert [tuple(r) for r in readers.read_truth(spark, truth).collect()] == [("a", "1", "07"), ("b", "01", "7")]
 
 
 def test_train_list_rules(spark):

@@ -355,3 +355,7 @@ d AS (SELECT batch, vehicle_id, pos, slot FROM r, range(4) t(slot) WHERE k - 1 =
 ORACLES["identity_batches"] = f"{_DRAWN} SELECT batch, vehicle_id, slot, pos FROM d"
 ORACLES["sampler_coverage"] = f"""{_DRAWN}, f AS (SELECT pos, vehicle_id, min(batch // 5) AS e FROM d GROUP BY ALL), v AS (SELECT vehicle_id, min(e) AS e FROM f GROUP BY 1)
 SELECT CAST(x AS BIGINT) AS epoch, (SELECT count(*) FROM f WHERE e <= x) AS rows, (SELECT count(*) FROM v WHERE e <= x) AS identities FROM range(4) t(x)"""
+_TWO = _DRAWN.replace("vec_id % 7 AS camera_id", "vec_id % 4 // 3 AS camera_id")
+ORACLES["balanced_batches"] = f"""{_TWO}, c AS (SELECT vehicle_id FROM (SELECT vehicle_id, camera_id, count(*) AS n FROM base GROUP BY ALL) GROUP BY vehicle_id HAVING count(*) = 2 AND min(n) >= 2),
+k AS (SELECT batch, vehicle_id, count(*) AS n, count(*) FILTER (camera_id = 0) AS first, count(*) FILTER (camera_id = 1) AS second FROM d JOIN base USING (pos, vehicle_id) GROUP BY ALL)
+SELECT k.batch, k.vehicle_id, n, CASE WHEN abs(first - second) = 2 AND c.vehicle_id IS NOT NULL THEN 2 ELSE first END AS first, CASE WHEN abs(first - second) = 2 AND c.vehicle_id IS NOT NULL THEN 2 ELSE second END AS second FROM k LEFT JOIN c USING (vehicle_id)"""

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vectrail.operators import catalogue, packing, ranking
+from vectrail.functions import vectors
+from vectrail.operators import catalogue, packing, profile, ranking
 from vectrail.plans import sql
 from vectrail.plans.retrieval import THRESHOLD
 from vectrail.sources import tables
@@ -81,7 +82,31 @@ def frame_batches(spark, sf):
     return d.select("doc_id", "batch", "place", "refused")
 
 
-QUERIES = {f.__name__: f for f in (store_edits, store_versions, kept_searches, reindex_run, frame_batches)}
+def profile_verdicts(spark, sf):
+    """Stream events as profile events, many of them at fault, held against a list of three nodes."""
+    rules = spark.createDataFrame([("n0", "Gather", [("int64", 40, 320)]), ("n1", "Shape", [("float16", 40, 60)]), ("n2", "Cast", [("int32", 40, 160)])], profile.RULE)
+    e = F.col("event_id")
+    part = lambda text, *c: F.format_string(text, *c)
+    name = F.when(e % 17 == 0, "session_run").otherwise(part("n%d_kernel_time", e % 4))
+    provider = F.when((e % 17 == 0) & (e % 2 == 0), F.lit(None)).when(e % 5 == 0, profile.CARD).when(e % 23 == 0, "Other").otherwise(profile.PROCESSOR)
+    op = F.when(e % 13 == 0, "Other").when(e % 4 == 0, "Gather").when(e % 4 == 1, "Shape").otherwise("Cast")
+    kind = F.when(e % 11 == 0, "bool").when(e % 4 == 0, "int64").when(e % 4 == 1, "float16").otherwise("int32")
+    shape = F.array(e % 7, F.lit(8).cast("long"))
+    size = (e % 7) * 8 * F.when(e % 4 == 0, 8).when(e % 4 == 1, 2).otherwise(4) + F.when(e % 19 == 0, 1).otherwise(0)
+    args = F.struct(provider.alias("provider"), op.alias("op_name"), F.array(F.create_map(kind, shape)).alias("output_type_shape"), size.alias("output_size"))
+    d = tables.table(spark, sf, "events").select("event_id", F.to_json(F.struct(name.alias("name"), args.alias("args"))).alias("event"))
+    return profile.verdicts(d, rules).select("event_id", "verdict")
+
+
+def l2_policies(spark, sf):
+    """First entries of normalised vectors, some of them null vectors, under each policy that lets them pass."""
+    d = tables.gallery_base(spark, sf).select("pos", F.transform("embedding", lambda x: x.cast("double") * F.when(F.col("pos") % 9 == 0, 0.0).otherwise(F.col("pos") % 4 + 1)).alias("v"))
+    first = lambda v, c: F.round(v[0], 6).alias(c)
+    whole = F.when(F.col("pos") % 9 != 0, F.col("v"))
+    return d.select("pos", first(vectors.l2_normalize("v", "passthrough"), "passed"), first(vectors.l2_normalize("v", "floor"), "floored"), first(vectors.l2_normalize(whole, "error"), "strict"))
+
+
+QUERIES = {f.__name__: f for f in (store_edits, store_versions, kept_searches, reindex_run, frame_batches, profile_verdicts, l2_policies)}
 
 _TAGGED = f"""WITH {sql.BASE},
 t AS (SELECT pos AS item_id, 'kind_' || (pos % 4) AS tag FROM base UNION ALL SELECT pos, 'colour_' || (pos % 6) FROM base WHERE pos % 3 = 0)"""
@@ -95,6 +120,11 @@ o AS (SELECT count(*) FILTER (early) AS i1, count(plate) FILTER (early) AS p1, s
 count(*) FILTER (stays) AS i5, count(plate2) FILTER (stays) AS p5, sum(n) FILTER (early AND stays) AS t5, sum(CASE WHEN pos % 10 = 0 THEN 1 WHEN early THEN n ELSE 0 END) FILTER (stays) AS t6 FROM p)
 SELECT CAST(unnest([1, 2, 3, 4, 5, 6]) AS BIGINT) AS version, unnest([i1, i2, i2, i2, i5, i5]) AS items, unnest([p1, p2, p3, p3, p5, p5]) AS plates, CAST(unnest([t1, t1, t1, t1, t5, t6]) AS BIGINT) AS tags FROM o""",
     "kept_searches": f"""WITH {sql.PAIRS} SELECT row_number() OVER (ORDER BY qpos % 2 DESC, qpos) AS id, qpos, max(score) >= 0.35 AS accepted, count(*) AS n, min_by(gpos, rank) AS gpos, round(max(score), 6) AS score FROM top10 GROUP BY qpos""",
+    "profile_verdicts": """WITH d AS (SELECT event_id AS e, (event_id % 7) * 8 AS n FROM events)
+SELECT e AS event_id, CASE WHEN e % 17 = 0 THEN CASE WHEN e % 2 = 0 THEN 'other' ELSE 'no kernel' END WHEN e % 5 = 0 THEN 'card' WHEN e % 23 = 0 THEN 'provider' WHEN e % 4 = 3 THEN 'not reviewed' WHEN e % 13 = 0 THEN 'operator'
+WHEN e % 11 = 0 THEN 'type' WHEN n = 0 OR n > 40 OR (e % 4 = 1 AND n * 2 > 60) THEN 'bounds' WHEN e % 19 = 0 THEN 'output bytes' ELSE 'processor' END AS verdict FROM d""",
+    "l2_policies": f"""WITH {sql.BASE} SELECT pos, CASE WHEN pos % 9 = 0 THEN 0.0 ELSE round(v[1] / sqrt(list_dot_product(v, v)), 6) END AS passed, CASE WHEN pos % 9 = 0 THEN 0.0 ELSE round(v[1] / sqrt(list_dot_product(v, v)), 6) END AS floored,
+CASE WHEN pos % 9 <> 0 THEN round(v[1] / sqrt(list_dot_product(v, v)), 6) END AS strict FROM base""",
     "reindex_run": """SELECT vec_id AS pos, CASE WHEN vec_id % 55 = 0 THEN '1.1.0' ELSE '1.2.0' END AS model_version, CASE WHEN vec_id % 11 = 0 AND vec_id % 55 <> 0 THEN 4.0::DOUBLE + length(vec_id::VARCHAR) ELSE 0 END AS chars,
 CASE WHEN vec_id % 11 = 0 AND vec_id % 55 <> 0 THEN 48.0::DOUBLE + vec_id % 10 ELSE 0 END AS last, CASE WHEN vec_id % 55 = 0 THEN 'no crop' END AS error FROM embeddings""",
     "frame_batches": """WITH RECURSIVE f AS (SELECT doc_id, length(text) * 1000 AS size FROM documents),
