@@ -320,15 +320,27 @@ def sampled_tables(n: int, width: int = WIDE, similarity: float = 0.8, recall: f
 def similar(sets: list[np.ndarray], sides: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Stars (member, its group's first) of the distinct sets that links of at least ``similarity`` join.
 
-    All pairs are held against each other (sides: those across), but for pairs that are in
-    one group already; so a group of near-copies takes about one comparison a member.
+    Similar sets share one of their rarest shingles: of each set's, ordered by rarity here, the
+    first size - similarity * size + 1. Only sets that do (sides: across) are held against
+    each other, but for those that are in one group already; so a group of near-copies takes
+    about one comparison a member, and sets that share frequent shingles alone take none.
     """
     n, size = len(sets), np.array([len(x) for x in sets])
-    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    codes, labels, mark = np.split(codes, np.cumsum(size)[:-1]), np.arange(n), np.zeros(len(values), bool)
-    left = None if sides is None else np.flatnonzero(sides == 0)
-    for x in range(1, n) if left is None else np.flatnonzero(sides == 1):
-        others = np.arange(x) if left is None else left
+    values, codes, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(values), np.int64)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(values))
+    codes = [np.sort(x) for x in np.split(rank[codes], np.cumsum(size)[:-1])]
+    labels, mark = np.arange(n), np.zeros(len(values), bool)
+    rarest = [x[: len(x) - math.ceil(similarity * len(x) - 1e-6) + 1] for x in codes]
+    owner = np.repeat(np.arange(n), [len(x) for x in rarest])
+    tokens = np.concatenate(rarest)
+    by = np.argsort(tokens, kind="stable")
+    owner, first = owner[by], np.searchsorted(tokens[by], np.arange(len(values) + 1))
+    for x in range(1, n) if sides is None else np.flatnonzero(sides == 1):
+        near = np.zeros(n, bool)
+        for t in rarest[x]:
+            near[owner[first[t] : first[t + 1]]] = True
+        others = np.flatnonzero(near[:x] if sides is None else near & (sides == 0))
         low, high = np.minimum(size[others], size[x]), np.maximum(size[others], size[x])
         others = others[(low > 0) & (low >= similarity * high - 1e-6)]
         mark[codes[x]], step = True, 1

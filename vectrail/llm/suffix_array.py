@@ -3,8 +3,9 @@
 The steps are those of the linear-time construction, each over whole arrays: suffixes are
 classified as smaller (S) or larger (L) than their right neighbour; the leftmost-smaller
 (LMS) positions cut the text into substrings, which are named in sorted order; the string
-of names is sorted recursively, each round ordering runs of twice as many names; and from
-the order of the LMS suffixes the order of all L and then all S suffixes is induced, bucket
+of names is sorted by prefix doubling, each round ordering runs of twice as many names among
+those still tied (not by a second induction: its buckets are as many as the names, each a
+step of its own); and from the order of the LMS suffixes the order of all L and then all S suffixes is induced, bucket
 by bucket from one end of the alphabet to the other.
 """
 
