@@ -29,8 +29,9 @@ def _km(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
     return 2 * places.RADIUS_KM * math.asin(math.sqrt(min(x, 1.0)))
 
 
-#: Columns of a sighting in the walk, after its group.
+#: Columns of a sighting in the walk, after its group, and those that the walk passes on.
 SIGHT = ("us", "sighting_id", "camera_id", "lat", "lon", "city", "dwell")
+PASSED = "us long, camera_id long, lat double, lon double, city string, dwell double, rank int"
 
 
 def _hindrance(first: tuple, second: tuple) -> tuple[float, float, float] | None:
@@ -70,14 +71,17 @@ def decided(part: list[tuple]) -> Iterator[tuple[int, tuple]]:
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sightings sorted by group and, within it, by trust; state: the group's accepted ones in time order."""
-    names, group, line = [c.split()[0] for c in TRACK.split(", ")], None, []
+    names, passed = ([c.split()[0] for c in x.split(", ")] for x in (TRACK, PASSED))
+    group, line = None, []
     for batch in batches:
         out = []
-        for entity, part, *sight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for entity, part, *sight in zip(*(batch.column(c).to_pylist() for c in ("entity_id", "part", *SIGHT)), strict=True):
             if (entity, part) != group:
                 group, line = (entity, part), []
             out.append((sight[1], entity, *decision(line, tuple(sight))))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), *[pa.float64()] * 3), strict=True)], names=names)
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), *[pa.float64()] * 3)
+        found = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([*found, *(batch.column(c) for c in passed)], names=[*names, *passed])
 
 
 def reach_km(cameras: DataFrame) -> float:
@@ -97,10 +101,15 @@ def walk_rows(located: DataFrame) -> DataFrame:
 
 
 def greedy_track(located: DataFrame, reach: float) -> DataFrame:
+    """The decisions of ``walked``, as TRACK."""
+    return walked(located, reach).select(*[c.split()[0] for c in TRACK.split(", ")])
+
+
+def walked(located: DataFrame, reach: float) -> DataFrame:
     """Accept sightings from the most reliable on, if the trips from and to their neighbours in time are feasible.
 
     Order: real, simulated, look-alike; then confidence (null: 0) downwards, time, id. A rejected one names the neighbour that
-    it conflicts with, the earlier first. Null times or positions drop out.
+    it conflicts with, the earlier first. Null times or positions drop out. Rows are TRACK and what the walk has of the sighting.
     """
     d = walk_rows(located)
     by_time = Window.partitionBy("entity_id").orderBy("us", "sighting_id")
@@ -108,10 +117,16 @@ def greedy_track(located: DataFrame, reach: float) -> DataFrame:
     enough = reach / min(places.HOME_KMH, places.OPEN_KMH) * 60 * 60e6
     d = d.withColumn("cut", F.coalesce((F.col("us") - ended > enough).cast("int"), F.lit(0))).withColumn("part", F.sum("cut").over(by_time))
     d = d.withColumn("n", F.count("*").over(Window.partitionBy("entity_id", "part")))
-    alone = d.where("n = 1").selectExpr("sighting_id", "entity_id", "true AS accepted", *(f"cast(NULL AS {t}) AS {c}" for c, t in (x.split() for x in TRACK.split(", ")[3:])))
+    passed = [c.split()[0] for c in PASSED.split(", ")]
+    alone = d.where("n = 1").selectExpr("sighting_id", "entity_id", "true AS accepted", *(f"cast(NULL AS {t}) AS {c}" for c, t in (x.split() for x in TRACK.split(", ")[3:])), *passed)
     # more parts per partition than entities: a busy entity's parts are dealt over many tasks
-    walked = d.where("n > 1").repartition("entity_id", "part").sortWithinPartitions("entity_id", "part", "rank", F.desc("trust"), "us", "sighting_id")
-    return alone.union(walked.select("entity_id", "part", *SIGHT).mapInArrow(_walk, TRACK))
+    rest = d.where("n > 1").repartition("entity_id", "part").sortWithinPartitions("entity_id", "part", "rank", F.desc("trust"), "us", "sighting_id")
+    return alone.union(rest.select("entity_id", "part", "sighting_id", *passed).mapInArrow(_walk, f"{TRACK}, {PASSED}"))
+
+
+def accepted_sightings(track: DataFrame) -> DataFrame:
+    """The accepted sightings of ``walked`` as ``place_roles`` takes them, with ``real``."""
+    return track.where("accepted").select("sighting_id", "entity_id", "lat", "lon", "city", F.timestamp_micros("us").alias("ts"), F.col("dwell").alias("dwell_min"), (F.col("rank") == 0).alias("real"))
 
 
 class Centres:

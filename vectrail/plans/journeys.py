@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vectrail.functions import places
 from vectrail.operators import ivfpq, ranking, tracks
 from vectrail.plans import sql
-from vectrail.plans.tracks import _track
+from vectrail.plans.tracks import _walked
 from vectrail.sources import tables
 from vectrail.sources.shared import place
 from vectrail.streaming import tagging
@@ -68,10 +68,10 @@ def day_layers(spark, sf):
 
 def route_stats(spark, sf):
     """Per entity: sightings that the track accepts, real ones, places of nights or working days, cities, and rejected ones."""
-    located, track = tables.located(spark, sf), _track(spark, sf).select("sighting_id", "accepted")
-    d, ok = located.join(track, "sighting_id"), F.col("accepted")
-    roles = tracks.place_roles(d.where("accepted").drop("accepted")).groupBy("entity_id").agg(F.count_if(F.col("role").isin("night", "day")).alias("regular"))
-    d = d.groupBy("entity_id").agg(F.count_if(ok).alias("sightings"), F.count_if(ok & (F.col("kind") == "real")).alias("real"), F.countDistinct(F.when(ok, F.col("city"))).alias("cities"), F.count_if(~ok).alias("rejected"))
+    d = _walked(spark, sf)
+    ok, real = F.col("accepted"), F.col("rank") == 0
+    roles = tracks.place_roles(tracks.accepted_sightings(d)).groupBy("entity_id").agg(F.count_if(F.col("role").isin("night", "day")).alias("regular"))
+    d = d.groupBy("entity_id").agg(F.count_if(ok).alias("sightings"), F.count_if(ok & real).alias("real"), F.countDistinct(F.when(ok, F.col("city"))).alias("cities"), F.count_if(~ok).alias("rejected"))
     return d.join(roles, "entity_id", "left").withColumn("regular", F.coalesce("regular", F.lit(0)).cast("long"))
 
 

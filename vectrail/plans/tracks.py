@@ -14,8 +14,8 @@ def _track(spark, sf):
     return tracks.greedy_track(tables.located(spark, sf), tracks.reach_km(tables.cameras(spark)))
 
 
-def _accepted(spark, sf):
-    return tables.located(spark, sf).join(_track(spark, sf).where("accepted").select("sighting_id"), "sighting_id")
+def _walked(spark, sf):
+    return tracks.walked(tables.located(spark, sf), tracks.reach_km(tables.cameras(spark)))
 
 
 def greedy_track(spark, sf):
@@ -29,7 +29,7 @@ def track_summary(spark, sf):
 
 
 def place_roles(spark, sf):
-    d = tracks.place_roles(_accepted(spark, sf))
+    d = tracks.place_roles(tracks.accepted_sightings(_walked(spark, sf)))
     return d.withColumn("hours", F.round("hours", 6)).withColumn("confidence", F.round("confidence", 6))
 
 
