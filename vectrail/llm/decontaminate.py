@@ -152,7 +152,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents in which no item window occurs; all columns kept.
 
     Null texts have no words and stay, repeated rows are judged each, and without items
-    all documents stay.
+    all documents stay. An empty table stays empty.
     """
     column = unused("contamination", docs)
     return with_hits(docs, items, column).where(F.size(f"{column}.hits") == 0).drop(column)
@@ -162,6 +162,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit words and items of every document.
 
     Item ids are compared as text; a null id is the empty one, and repeated ids count once.
+    Null and empty texts have no words, and such items no windows; texts of any length are
+    read whole. Repeated documents are judged each. Without items nothing is hit, an
+    empty table of documents gives no rows. Only doc_id and text are read, so other columns
+    don't matter.
     """
     d = with_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), "c").select("doc_id", "c.*")
     pairs = F.sequence(F.lit(0), F.size("hits") - 2, F.lit(2))

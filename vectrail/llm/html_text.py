@@ -287,7 +287,7 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Main text of every page."""
+    """Main text of every page; nulls, repeats, broken markup and empty tables as in ``extract``."""
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 

@@ -146,6 +146,8 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
     Adds ``taken`` (words taken, at most ``epochs`` times the document's), named apart from
     the columns that are there. Rows that repeat id, text and source count as one place each.
+    Null texts have no words and are never taken; a null source is a source, the last one. An
+    empty table stays empty.
     """
     key, taken = unused("row_key", documents), unused("taken", documents)
     sizes = documents.select("doc_id", "source", words().alias("size"), row_key().alias("_k"))
@@ -157,7 +159,12 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size, source size, target and words taken of every document."""
+    """Size, source size, target and words taken of every document.
+
+    Null and blank texts have size 0 and are never taken, a null source is the last one,
+    repeated rows are rows each. An empty table gives no rows. Only doc_id, source and text
+    are read, so other columns don't matter.
+    """
     d = table(spark, sf_dir, "documents").select("doc_id", "source", words().alias("size"))
     return schedule(materialize(d, "mix-sizes")).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -210,7 +210,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each accepted span of ``text`` replaced by its kind in brackets.
 
     Overlapping spans become one. Null stays null; other columns, repeated rows and
-    texts without spans are unchanged.
+    texts without spans are unchanged. An empty table stays empty.
     """
     spans = unused("spans", docs)
     # written once: the fit reads only the spans, and no later expression searches the texts again

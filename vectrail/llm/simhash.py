@@ -442,7 +442,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document.
 
     Null, empty and blank texts have fingerprint zero. Repeated rows are rows each, in one
-    component. Null ids don't name a component unless there is no other.
+    component. Null ids don't name a component unless there is no other. An empty table
+    gives no rows. Only doc_id and text are read, so other columns don't matter.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     prints = materialize(with_fingerprint(docs, 4).withColumn("node", F.col("f0")), "doc-fingerprints")
@@ -457,7 +458,7 @@ def drop_near_copies(docs: DataFrame, words_per_shingle: int = 5, similarity: fl
     least ``similarity``; a pair right at 0.8 becomes a candidate with probability
     ``RECALL`` (model of ``found_share``, for sets of more than a few shingles). Rows that
     repeat the smallest id of a group stay once. Blank texts are one group. All columns are
-    kept; null ids stay only in groups without other ids.
+    kept; null ids stay only in groups without other ids. An empty table stays empty.
     """
     key, place, row = unused("node", docs), unused("place", docs), unused("row", docs)
     keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))

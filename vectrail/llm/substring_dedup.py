@@ -206,7 +206,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words removed from every document, and a digest of what is left."""
+    """Words removed from every document, and a digest of what is left.
+
+    Nulls and repeats as in ``remove_repeats``; texts of under 20 words lose nothing. An empty
+    table gives no rows. Only doc_id and text are read, so other columns don't matter.
+    """
     d = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 

@@ -178,7 +178,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes removed from every document, and a digest of what is left."""
+    """Bytes removed from every document, and a digest of what is left.
+
+    Nulls, repeats and short texts as in ``remove_repeats``. An empty table gives no rows.
+    Only doc_id and text are read, so other columns don't matter.
+    """
     d = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
