@@ -1,4 +1,4 @@
-"""Language-model scores from a log-frequency Bloom filter.
+"""Language-model scores from a log-frequency Bloom filter in segments.
 
 The training documents' n-grams of one to three tokens are counted exactly: a batch of
 documents sends each distinct n-gram once, with its count, in one packed row per hash range,
@@ -50,8 +50,8 @@ END = b"\n"  # no word holds a line break, so it stands for the end of a text
 #: Orders of packed rows: tokens, pairs, triples, and the batch's documents.
 ORDERS, TEXT = (0, 1, 2), 3
 #: Hashes of pairs and triples keep so many bits beyond those that number the corpus's bytes,
-#: so two of them are taken for one equally seldom (once in 256 at most) at every size.
-SPARE_BITS = 8
+#: so two of them are taken for one equally seldom (once in 65 536 at most) at every size.
+SPARE_BITS = 16
 
 
 def tokens(text: bytes) -> list[bytes]:
