@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectrail.functions.vectors import doubles, dot, l2_normalize
+from vectrail.sources.shared import stored
 
 #: Query vectors that are broadcast at once.
 BLOCK = 4096
@@ -215,7 +216,7 @@ def positive_ranks(queries: DataFrame, gallery: DataFrame, block: int = BLOCK) -
             out.append((np.full(len(n), left[0][i]), of, n.astype(float)))
         return [np.concatenate(c) for c in zip(*out, strict=True)] if out else none()
 
-    found = block_pairs(q, g, positives, PAIR, block)
+    found = stored(block_pairs(q, g, positives, PAIR, block), "positives")
     lists = found.groupBy("qpos").agg(F.collect_list("score").alias("at"), F.collect_list("gpos").alias("of"))
     asked = q.join(lists, F.col("pos") == F.col("qpos")).drop("qpos")
     rows = g.select("*", F.lit(None).cast("array<double>").alias("at"), F.lit(None).cast("array<long>").alias("of"))

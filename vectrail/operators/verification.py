@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from vectrail.functions.vectors import norm
 from vectrail.operators import ranking
 from vectrail.sources import arrays, npy
+from vectrail.sources.shared import stored
 
 #: Neighbours that a gallery vector is pooled with, and the power of their scores, that the check knows.
 DBA_K, DBA_ALPHA = 4, 2
@@ -107,7 +108,7 @@ def float_refined(gallery: DataFrame) -> DataFrame:
 def ranked_lines(queries: DataFrame, gallery: DataFrame, refined: bool, threshold: float) -> DataFrame:
     """(at, query_id, line, first, score, accepted) of each query: what a run's files must say. Sides have (at, image_id, embedding)."""
     side = lambda d: d.select(F.col("at").alias("pos"), "embedding")
-    top = float_top(side(queries), float_refined(side(gallery)) if refined else side(gallery), LISTED)
+    top = float_top(side(queries), stored(float_refined(side(gallery)), "refined") if refined else side(gallery), LISTED)
     names = gallery.select(F.col("at").alias("gpos"), F.col("image_id").alias("gallery_id"))
     d = top.join(names, "gpos").groupBy("qpos").agg(F.array_sort(F.collect_list(F.struct("rank", "gallery_id", "score"))).alias("r"))
     d = d.join(queries.select(F.col("at").alias("qpos"), F.col("image_id").alias("query_id")), "qpos")
@@ -121,7 +122,7 @@ def write_run(lines: DataFrame, vectors: DataFrame, folder: str, summary: dict,
     ``lines`` as of ``ranked_lines``, ``vectors`` (row, embedding). The last three arguments stand for what is written in
     place of the lines' own line, acceptance and confidence. An existing target is refused.
     """
-    spark = lines.sparkSession
+    spark, lines = lines.sparkSession, stored(lines, "lines")  # read for each of the files
     rows = vectors.select(F.col("row").alias("pos"), "embedding").repartitionByRange("pos").sortWithinPartitions("pos")
     arrays.write_matrix(rows, f"{folder}/embeddings")
     lines.repartitionByRange("at").sortWithinPartitions("at").select((F.col("line") if line is None else line).alias("value")).write.text(f"{folder}/submission.csv")
@@ -140,7 +141,7 @@ def verify(spark: SparkSession, folder: str, query_csv: str, gallery_csv: str, m
     fit fails at once.
     """
     refined, threshold = retrieval_policy(manifest)
-    sides = npy.file_order(spark, query_csv), npy.file_order(spark, gallery_csv)
+    sides = [stored(npy.file_order(spark, path), "ids") for path in (query_csv, gallery_csv)]
     n_q, n_g = (d.count() for d in sides)
     rows, dim = npy.shape(f"{folder}/{embeddings}")
     if rows != n_q + n_g or dim != manifest.get("dim", dim):
@@ -148,7 +149,8 @@ def verify(spark: SparkSession, folder: str, query_csv: str, gallery_csv: str, m
     vectors = npy.read_npy(spark, f"{folder}/{embeddings}")
     q = vectors.where(F.col("row") < n_q).select(F.col("row").alias("at"), "embedding").join(sides[0], "at")
     g = vectors.where(F.col("row") >= n_q).select((F.col("row") - n_q).alias("at"), "embedding").join(sides[1], "at")
-    expected = ranked_lines(q, g, refined, threshold)
+    q, g = stored(q, "queries"), stored(g, "gallery")
+    expected = stored(ranked_lines(q, g, refined, threshold), "expected")
     problem = lambda d, name, found, want, query="query_id": d.select(F.col(query).alias("query_id"), F.lit(name).alias("problem"), F.expr(found).cast("string").alias("found"), F.expr(want).cast("string").alias("expected"))
     out = [problem(sides[0].join(sides[1].select("image_id"), "image_id", "left_semi"), "overlap", "NULL", "NULL", "image_id")]
     off = F.coalesce(F.abs(norm("embedding") - 1) > UNIT, F.lit(True)) | F.isnan(norm("embedding"))
@@ -160,7 +162,7 @@ def verify(spark: SparkSession, folder: str, query_csv: str, gallery_csv: str, m
     listed = spark.read.schema(CANDIDATES).csv(f"{folder}/candidates.csv", header=True, mode="FAILFAST", enforceSchema=False)
     once = listed.groupBy("query_id").agg(F.count("*").alias("n"), F.min_by(F.struct("gallery_id", "confidence"), "gallery_id").alias("c"))
     out.append(problem(once.where("n > 1"), "repeated", "n", "1"))
-    d = once.join(expected, "query_id", "full_outer")
+    d = stored(once.join(expected, "query_id", "full_outer"), "compared")
     out.append(problem(d.where("at IS NULL"), "unknown", "c.gallery_id", "NULL"))
     out.append(problem(d.where("at IS NOT NULL AND (c IS NOT NULL) <> accepted"), "decision", "c IS NOT NULL", "accepted"))
     fit = d.where("c IS NOT NULL AND accepted")

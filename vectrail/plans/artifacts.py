@@ -16,6 +16,7 @@ from vectrail.plans import sql
 from vectrail.plans.retrieval import _DBA, _WITH, THRESHOLD, _decided, _six
 from vectrail.sources import arrays, npy, readers, tables
 from vectrail.sources.shared import place as _place
+from vectrail.sources.shared import stored
 
 
 #: Threshold of the verified run, whose scores are higher as its gallery is refined.
@@ -58,7 +59,8 @@ def run_summary(spark, sf):
 
 def _numbered_sides(spark, sf):
     """Queries and gallery numbered in order of pos, as a run's CSV files list them."""
-    return [ordered.numbered(d.select("pos", "image_id", "embedding"), [F.col("pos")], "at") for d in (tables.queries(spark, sf), tables.gallery(spark, sf))]
+    sides = (tables.queries(spark, sf), tables.gallery(spark, sf))
+    return [stored(ordered.numbered(d.select("pos", "image_id", "embedding"), [F.col("pos")], "at"), "side") for d in sides]
 
 
 def _input_files(sides, folder):
