@@ -44,13 +44,13 @@ def _products(own: np.ndarray, q: np.ndarray, pos: np.ndarray, rows: np.ndarray,
         yield np.repeat(own[i : i + 1024], pick.shape[1]), pos[pick].ravel(), np.take_along_axis(s, pick, 1).ravel()
 
 
-def block_pairs(left: DataFrame, right: DataFrame, solve: Callable[..., list[np.ndarray]], schema: str, block: int = BLOCK) -> DataFrame:
+def block_pairs(left: DataFrame, right: DataFrame, solve: Callable[..., list[np.ndarray]], schema: str, block: int = BLOCK, rows: tuple[int, int] | None = None) -> DataFrame:
     """``solve(left columns, right columns)`` of every pair of a left and a right block, one task each.
 
-    Both sides have the same columns: pos, v and others. Rows go to blocks by hash of pos.
+    Both sides have the same columns: pos, v and others. Rows go to blocks by hash of pos. ``rows`` are the sides' row counts,
+    which are counted where they aren't given.
     """
-    many = lambda d: max(1, -(-d.count() // block))
-    n_left, n_right = many(left), many(right)
+    n_left, n_right = (max(1, -(-n // block)) for n in rows or (left.count(), right.count()))
     deal = lambda n: F.pmod(F.xxhash64("pos"), F.lit(n)).cast("int")
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     names, out = left.columns, [c.split()[0] for c in schema.split(", ")]
@@ -189,6 +189,7 @@ def positive_ranks(queries: DataFrame, gallery: DataFrame, block: int = BLOCK) -
     """
     side = lambda d: d.select("pos", doubles("embedding").alias("v"), "vehicle_id", "camera_id")
     q, g = side(queries), side(gallery)
+    sizes = queries.count(), gallery.count()
     none = lambda: [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
     same = lambda left, right, c: left[c][:, None] == right[c][None, :]
 
@@ -216,10 +217,10 @@ def positive_ranks(queries: DataFrame, gallery: DataFrame, block: int = BLOCK) -
             out.append((np.full(len(n), left[0][i]), of, n.astype(float)))
         return [np.concatenate(c) for c in zip(*out, strict=True)] if out else none()
 
-    found = stored(block_pairs(q, g, positives, PAIR, block), "positives")
+    found = stored(block_pairs(q, g, positives, PAIR, block, sizes), "positives")
     lists = found.groupBy("qpos").agg(F.collect_list("score").alias("at"), F.collect_list("gpos").alias("of"))
     asked = q.join(lists, F.col("pos") == F.col("qpos")).drop("qpos")
     rows = g.select("*", F.lit(None).cast("array<double>").alias("at"), F.lit(None).cast("array<long>").alias("of"))
-    counts = block_pairs(asked, rows, before, PAIR, block)
+    counts = block_pairs(asked, rows, before, PAIR, block, sizes)
     ranks = counts.groupBy("qpos", "gpos").agg((F.sum("score") + 1).cast("long").alias("rank"))
     return found.join(ranks, ["qpos", "gpos"])
