@@ -50,7 +50,11 @@ def precision_of_ranks(ranks: DataFrame, counts: DataFrame) -> DataFrame:
     """``average_precision`` over whole rankings from the ranks of the positives (qpos, gpos, rank) alone."""
     w = Window.partitionBy("qpos").orderBy("rank")
     d = ranks.withColumn("hits", F.row_number().over(w))
-    per = d.groupBy("qpos").agg(F.sum(F.col("hits") / F.col("rank")).alias("s"), F.max("rank").alias("last"), F.min("rank").alias("first_hit"))
+    return precision_of_sums(d.groupBy("qpos").agg(F.sum(F.col("hits") / F.col("rank")).alias("s"), F.max("rank").alias("last"), F.min("rank").alias("first_hit")), counts)
+
+
+def precision_of_sums(per: DataFrame, counts: DataFrame) -> DataFrame:
+    """``average_precision`` over whole rankings from each query's sum of hits over ranks, last and first rank (``ranking.ranked_sums``)."""
     return counts.where("n_pos > 0").join(per, "qpos", "left").select("qpos", "n_pos", F.coalesce(F.col("s") / F.col("n_pos"), F.lit(0.0)).alias("ap"), F.coalesce(F.col("n_pos") / F.col("last"), F.lit(0.0)).alias("inp"), "first_hit")
 
 

@@ -137,7 +137,7 @@ def rank_1_5(spark, sf):
 
 
 def full_ranking_metrics(spark, sf):
-    d = metrics.precision_of_ranks(ranking.positive_ranks(*_sides(spark, sf)), _counts(spark, sf))
+    d = metrics.precision_of_sums(ranking.ranked_sums(*_sides(spark, sf)), _counts(spark, sf))
     return d.agg(F.count("*").alias("n_scored"), F.round(F.avg("ap"), 6).alias("map"), F.round(F.avg("inp"), 6).alias("minp"))
 
 
