@@ -92,3 +92,11 @@ def test_query_sides_beyond_a_block(spark, sf):
 
 def test_page_requests():
     assert gallery.page_of(None, None, 41) == (0, 20, 3) and gallery.page_of(3, 500, 401) == (400, 200, 3) and gallery.page_of(-1, 0, 0) == (0, 1, 0)
+
+
+def test_a_summary_counts_accepted_queries(spark, sf):
+    from vectrail import catalog
+
+    got = catalog.queries()["run_summary"](spark, sf).first()
+    exported = catalog.queries()["candidates_export"](spark, sf).count()
+    assert got["accepted"] == exported > 0 and got["n_query"] > got["accepted"]

@@ -46,14 +46,15 @@ def matrix_shape(spark, sf):
 
 
 def run_summary(spark, sf):
-    """A run's summary, written as JSON and read back without its seconds."""
+    """A run's summary with its accepted queries, written as JSON and read back without its seconds."""
     began = time.monotonic()
     q, g = tables.queries(spark, sf), tables.gallery(spark, sf)
     refined, threshold = verification.retrieval_policy({"threshold": THRESHOLD})
     summary = {"model": "tables", "version": tables.CURRENT_VERSION, "provider": "spark", "threshold": threshold, "retrieval": "gallery_dba_k4_alpha2" if refined else "cosine"}
+    accepted = ranking.top_k(q, g, 1).where(F.col("score") >= threshold).count()
     path = _place(spark, "run") + ".json"
-    arrays.write_summary(spark, path, summary | {"n_query": q.count(), "n_gallery": g.count(), "batch_size": 1, "seconds": round(time.monotonic() - began, 2)})
-    d = spark.read.schema("model string, version string, provider string, threshold double, retrieval string, n_query long, n_gallery long, batch_size long, seconds double").json(path)
+    arrays.write_summary(spark, path, summary | {"n_query": q.count(), "n_gallery": g.count(), "accepted": accepted, "batch_size": 1, "seconds": round(time.monotonic() - began, 2)})
+    d = spark.read.schema("model string, version string, provider string, threshold double, retrieval string, n_query long, n_gallery long, accepted long, batch_size long, seconds double").json(path)
     return d.where("seconds >= 0").drop("seconds")
 
 
@@ -298,7 +299,7 @@ ORACLES = {
     "npy_round_trip": _SUMS,
     "f32_round_trip": _SUMS,
     "matrix_shape": "SELECT count(*) AS n, CAST(min(len(embedding)) AS BIGINT) AS dim, min(len(embedding)) = max(len(embedding)) AS consistent FROM embeddings",
-    "run_summary": f"WITH {sql.SIDES} SELECT 'tables' AS model, '1.2.0' AS version, 'spark' AS provider, 0.35::DOUBLE AS threshold, 'cosine' AS retrieval, (SELECT count(*) FROM q) AS n_query, (SELECT count(*) FROM g) AS n_gallery, 1::BIGINT AS batch_size",
+    "run_summary": f"WITH {sql.PAIRS} SELECT 'tables' AS model, '1.2.0' AS version, 'spark' AS provider, 0.35::DOUBLE AS threshold, 'cosine' AS retrieval, (SELECT count(*) FROM q) AS n_query, (SELECT count(*) FROM g) AS n_gallery, (SELECT count(*) FROM ranked WHERE rank = 1 AND score >= 0.35) AS accepted, 1::BIGINT AS batch_size",
     "evaluation_vectors": f"""WITH {sql.SIDES}, s AS (SELECT 'query' AS side, * FROM q UNION ALL SELECT 'gallery', * FROM g)
 SELECT side, row_number() OVER (PARTITION BY side ORDER BY pos) - 1 AS at, image_id, round(list_sum(v) / sqrt(list_dot_product(v, v)), 5) AS total FROM s""",
     "artifact_verification": f"""{_DBA},
