@@ -72,3 +72,23 @@ def test_ties_go_to_the_smaller_position(spark, tmp_path):
     x = np.repeat(clustered(1, 8), 30, axis=0)
     ix = ivfpq.build(frame(spark, x), f"file://{tmp_path}/ties", cells=4)
     assert [r["gpos"] for r in ivfpq.search(frame(spark, x[:1]), ix, 4, 10).orderBy("rank").collect()] == list(range(10))
+
+
+def test_what_a_search_passes_on_does_not_go_with_the_rerank(spark, index, monkeypatch):
+    monkeypatch.setattr(ivfpq, "ESTIMATES", 4000)  # two queries a task
+    x, ix = index
+    q = frame(spark, clustered(9, 20, 4))
+    near = ivfpq._near(q, ix, 5)
+    cut = {r["qpos"]: r for r in ivfpq.cutoffs(near, ix, 5, 150).collect()}
+    assert len(cut) == 9  # a row a query
+    assert np.isneginf([r["least"] for r in ivfpq.cutoffs(near, ix, 5, len(x)).collect()]).all()
+    cells = {r["pos"]: (r["cell"], r["code"]) for r in ix.codes.collect()}
+    for row in near.collect():
+        e = {}
+        for pos, (cell, code) in cells.items():
+            if cell in row["near"]:
+                words = np.concatenate([w[c] for w, c in zip(ix.model.words, code, strict=True)])[:20]
+                e[pos] = np.float32(np.dot(row["v"], words + ix.model.centres[cell]))
+        c = cut[row["pos"]]
+        assert row["compared"] == len(e)
+        assert sum(v > c["least"] or (v == c["least"] and p <= c["last"]) for p, v in e.items()) == pytest.approx(min(150, len(e)), abs=1)

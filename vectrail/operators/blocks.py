@@ -72,7 +72,8 @@ def _block(batch: pa.RecordBatch, row: int, first: int, names: list[str], number
     out = []
     for i, name in enumerate(names, first):
         value = batch.column(i)[row]
-        out.append(np.frombuffer(value.as_buffer(), number) if name == "v" else value if not hasattr(value, "values") else value.values.to_numpy(zero_copy_only=False))
+        plain = hasattr(value, "values") and not pa.types.is_nested(value.values.type)
+        out.append(np.frombuffer(value.as_buffer(), number) if name == "v" else value.values.to_numpy(zero_copy_only=False) if plain else value)
     at = names.index("v") if "v" in names else None
     if at is not None:
         out[at] = out[at].reshape(len(out[names.index("pos")]), -1)

@@ -3,13 +3,13 @@
 ``build`` fits on at most ``SAMPLE`` vectors (the first by hash of their position): coarse centres, whose number grows
 with the rows (``cells_for``), and for each of ``PARTS`` stretches of a vector ``CODES`` code words of what is left
 after the centre. Every row is indexed: it is assigned to its nearest centre and kept as one byte a stretch. The index is
-a folder, ``codes`` partitioned by cell, ``vectors`` bucketed by nothing but position order for the re-rank, and
-``model`` with the centres and code words, published by one rename. ``load`` opens it in another session.
+a folder, ``blocks`` of a cell's rows (positions, codes, vectors) and ``model`` with the centres and code words, published
+by one rename. ``load`` opens it in another session.
 
-``search`` looks into the ``probes`` nearest cells of each query. Cells are read by partition, cut into blocks, and a
-task compares a block's codes with all its queries through one table of code-word products a query, so a row costs
-``PARTS`` additions and its vector isn't read. The best ``rerank`` rows of a query by these estimates get exact scores:
-only their vectors are joined. Ties go to the smaller position.
+``search`` looks into the ``probes`` nearest cells of each query, in two passes over blocks of cells that some query of a
+task asks for. The first reads codes alone and finds where a query's best ``rerank`` estimates end; the second scores just
+those rows exactly, beside their codes, and passes on the best k. So neither estimates nor the rows to re-rank are shuffled.
+Ties go to the smaller position.
 """
 
 from __future__ import annotations
@@ -24,10 +24,14 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vectrail.functions.vectors import doubles, dot
+from vectrail.functions.vectors import doubles
+from vectrail.operators.blocks import NONE, Best, against, dots
+from vectrail.sources.shared import stored
 
 #: Vectors to fit on; stretches of a vector; code words of a stretch; rows of a block of codes; queries of a block; cells at most.
-SAMPLE, PARTS, CODES, BLOCK, QUERIES, MOST_CELLS = 50_000, 16, 256, 1 << 16, 256, 16_384
+SAMPLE, PARTS, CODES, BLOCK, QUERIES, MOST_CELLS = 50_000, 16, 256, 1 << 13, 512, 16_384
+#: Estimates that a task keeps, of as many queries as fit.
+ESTIMATES = 1 << 24
 
 
 class Model(NamedTuple):
@@ -38,13 +42,19 @@ class Model(NamedTuple):
 
 
 class Index(NamedTuple):
-    """An opened index: its model, all codes (cell, pos, code) and vectors (pos, embedding), and the number of rows."""
+    """An opened index: its model, blocks of a cell's rows (cell, pos, code, v) with positions as an array, codes and vectors as bytes, and the number of rows."""
 
     model: Model
-    codes: DataFrame
-    vectors: DataFrame
+    blocks: DataFrame
     rows: int
 
+    @property
+    def codes(self) -> DataFrame:
+        """(cell, pos, code) of every row."""
+        width = len(self.model.words)
+        at = F.posexplode("pos").alias("i", "pos")
+        return self.blocks.select("cell", "code", at).select("cell", "pos", F.substring("code", F.col("i") * width + 1, F.lit(width)).alias("code"))
+
 
 def cells_for(rows: int) -> int:
     """Cells of an index: the root of the rows, a power of two, at most MOST_CELLS so that centres stay small enough to broadcast."""
@@ -113,12 +123,19 @@ def build(rows: DataFrame, path: str, cells: int | None = None) -> Index:
         for batch in batches:
             if batch.num_rows:
                 cell, codes = encode(sent.value, _matrix(batch.column(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary())], names=["cell", "pos", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column(1)], names=["cell", "pos", "code", "v"])
+
+    codes = stored(d.select("pos", doubles("embedding").alias("v")).mapInArrow(run, "cell int, pos long, code binary, v array<double>"), "codes")
+    # a crowded cell is many blocks
+    parts = codes.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = codes.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("pos"), "parts").cast("int")).drop("parts")
 
-    codes = d.select("pos", doubles("embedding").alias("v")).mapInArrow(run, "cell int, pos long, code binary")
-    # a crowded cell is many tasks and files: the second key spreads its rows
-    codes.repartition("cell", F.pmod(F.xxhash64("pos"), F.lit(max(1, n // BLOCK)))).write.partitionBy("cell").parquet(f"{path}.partial/codes")
-    d.write.parquet(f"{path}.partial/vectors")
+    def pack(table: pa.Table) -> pa.Table:
+        t, v = table.combine_chunks(), _matrix(table.column("v").combine_chunks())
+        code = b"".join(t.column("code").to_pylist())
+        return pa.table({"cell": t.column("cell")[:1], "pos": pa.array([t.column("pos").to_numpy()]), "code": pa.array([code], pa.binary()), "v": pa.array([v.tobytes()], pa.binary())})
+
+    dealt.groupBy("cell", "part").applyInArrow(pack, "cell int, pos array<long>, code binary, v binary").write.parquet(f"{path}.partial/blocks")
     about = [(n, *(a for x in model for a in (list(x.shape), x.astype(float).ravel().tolist())))]
     spark.createDataFrame(about, "rows long, c_shape array<int>, centres array<double>, w_shape array<int>, words array<double>").coalesce(1).write.parquet(f"{path}.partial/model")
     fs.move(f"{place}.partial", place)
@@ -129,71 +146,100 @@ def load(spark: SparkSession, path: str) -> Index:
     """Open an index that ``build`` made."""
     about = spark.read.parquet(f"{path}/model").first()
     model = Model(np.array(about["centres"]).reshape(about["c_shape"]), np.array(about["words"]).reshape(about["w_shape"]))
-    return Index(model, spark.read.schema("pos long, code binary, cell int").parquet(f"{path}/codes"), spark.read.parquet(f"{path}/vectors"), about["rows"])
+    return Index(model, spark.read.schema("cell int, pos array<long>, code binary, v binary").parquet(f"{path}/blocks"), about["rows"])
 
 
-def _probed(queries: DataFrame, model: Model, probes: int) -> DataFrame:
-    """(qpos, v, cell): each query once per nearest cell."""
-    sent = queries.sparkSession.sparkContext.broadcast(model.centres)
+def _near(queries: DataFrame, index: Index, probes: int) -> DataFrame:
+    """(pos, v, near, compared) of queries (pos, embedding): the nearest cells and how many rows are in them."""
+    sizes = np.zeros(len(index.model.centres), np.int64)
+    for row in index.blocks.groupBy("cell").agg(F.sum(F.size("pos")).alias("n")).collect():  # MOST_CELLS rows at most
+        sizes[row["cell"]] = row["n"]
+    sent = queries.sparkSession.sparkContext.broadcast((index.model.centres, sizes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                near = np.argsort(-(_matrix(batch.column(1)) @ sent.value.T), axis=1, kind="stable")[:, :probes]
-                at = pa.array(np.repeat(np.arange(len(near)), near.shape[1]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(near.ravel().astype(np.int32))], names=["qpos", "v", "cell"])
-
-    return queries.select(F.col("pos").alias("qpos"), doubles("embedding").alias("v")).mapInArrow(run, "qpos long, v array<double>, cell int")
-
-
-def _best(q: np.ndarray, v: np.ndarray, pos: np.ndarray, codes: np.ndarray, model: Model, cell: int, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, position, estimate) of each query's best rows of a block of codes."""
-    tables = np.einsum("qpw,pcw->qpc", _cut(v, len(model.words)), model.words)
-    base = v @ model.centres[cell]
-    out = []
-    for i in range(len(q)):
-        score = np.full(len(codes), base[i])
-        for p in range(codes.shape[1]):
-            score += tables[i, p][codes[:, p]]
-        pick = np.lexsort((pos, -score))[:keep] if len(score) > keep else np.arange(len(score))
-        out.append((np.full(len(pick), q[i]), pos[pick], score[pick]))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
-
-
-def estimates(queries: DataFrame, index: Index, probes: int, keep: int) -> DataFrame:
-    """(qpos, gpos, estimate): each query's best ``keep`` rows by code; rows compared are those of its probed cells."""
-    q = _probed(queries, index.model, probes)
-    sizes = index.codes.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ng"))
-    asked = q.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("nq"))
-    blocks = F.broadcast(sizes.join(asked, "cell"))  # MOST_CELLS rows at most
-    deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    none = lambda kind: F.lit(None).cast(kind)
-    left = q.join(blocks, "cell").select("cell", deal("qpos", "nq").alias("qb"), copies("ng").alias("gb"), F.col("qpos").alias("pos"), "v", none("binary").alias("code"))
-    right = index.codes.join(blocks, "cell").select("cell", copies("nq").alias("qb"), deal("pos", "ng").alias("gb"), "pos", none("array<double>").alias("v"), "code")
-    sent = queries.sparkSession.sparkContext.broadcast(index.model)
-
-    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ask, rows = table.filter(table.column("code").is_null()), table.filter(table.column("code").is_valid())
-        out = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        if len(ask) and len(rows):
-            codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(rows), -1)
-            out = _best(ask.column("pos").to_numpy(), _matrix(ask.column("v").combine_chunks()), rows.column("pos").to_numpy(), codes, sent.value, key[0].as_py(), keep)
-        return pa.table(dict(zip(("qpos", "gpos", "estimate"), map(pa.array, out), strict=True)))
-
-    found = left.unionByName(right).groupBy("cell", "qb", "gb").applyInArrow(compare, "qpos long, gpos long, estimate double")
-    place = F.row_number().over(Window.partitionBy("qpos").orderBy(F.desc("estimate"), "gpos"))
-    return found.withColumn("place", place).where(F.col("place") <= keep).drop("place")
+                centres, sizes = sent.value
+                near = np.argsort(-(_matrix(batch.column(1)) @ centres.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(near), pa.list_(pa.int32())), pa.array(sizes[near].sum(axis=1))], names=["pos", "v", "near", "compared"])
+
+    return queries.select("pos", doubles("embedding").alias("v")).mapInArrow(run, "pos long, v array<double>, near array<int>, compared long")
+
+
+def _asking(near: pa.Array, cells: int) -> np.ndarray:
+    """Whether a query (row) looks into a cell (column)."""
+    out = np.zeros((len(near), cells), bool)
+    lists = near.values
+    out[np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()] = True
+    return out
+
+
+def _estimates(q: np.ndarray, model: Model, cell: int, code: pa.Scalar) -> np.ndarray:
+    """Products of queries with a block's rows as their codes give them, in single precision, so that equal codes have equal ones."""
+    parts = len(model.words)
+    codes = np.frombuffer(code.as_buffer(), np.uint8).reshape(-1, parts)
+    rows = np.concatenate([words[codes[:, p]] for p, words in enumerate(model.words)], axis=1)[:, : q.shape[1]] + model.centres[cell]
+    return (q @ rows.T).astype(np.float32)
+
+
+def _asked(index: Index, probes: int):
+    """Condition of a block of queries and a block of the index: some query looks into its cell. None if all do."""
+    return None if probes >= len(index.model.centres) else F.exists("q_near", lambda x: F.array_contains(x, F.col("cell")))
+
+
+def cutoffs(near: DataFrame, index: Index, probes: int, keep: int) -> DataFrame:
+    """(qpos, least, last): a query's best ``keep`` rows by estimate are those over ``least``, and those equal to it up to position ``last``.
+
+    A task reads the codes for a few queries and keeps one estimate a row: ``ESTIMATES`` in all, or one query's.
+    """
+    sent, cells = near.sparkSession.sparkContext.broadcast(index.model), len(index.model.centres)
+
+    def solve(left: list, rights: Iterator[list]) -> Iterator[list[np.ndarray]]:
+        own, q, asking = left[0], left[1], _asking(left[2], cells)
+        found = [[] for _ in own]
+        for cell, pos, code in rights:
+            ask = np.flatnonzero(asking[:, cell.as_py()])
+            pos = pos.copy()
+            for i, e in zip(ask, _estimates(q[ask], sent.value, cell.as_py(), code), strict=True):
+                found[i].append((e, pos))
+        least, last = np.full(len(own), -np.inf), np.full(len(own), NONE)
+        for i, parts in enumerate(found):
+            if sum(len(e) for e, _ in parts) > keep:
+                e = np.concatenate([x for x, _ in parts])
+                least[i] = np.partition(e, len(e) - keep)[len(e) - keep]
+                more = keep - np.count_nonzero(e > least[i])
+                if np.count_nonzero(e == least[i]) > more:
+                    last[i] = np.sort(np.concatenate([p for _, p in parts])[e == least[i]])[more - 1]
+        yield [own, least, last]
+
+    size = max(1, min(QUERIES, ESTIMATES // max(1, index.rows)))
+    return against(near.select("pos", "v", "near"), index.blocks.select("cell", "pos", "code"), solve, "qpos long, least double, last long", size, whole=True, condition=_asked(index, probes), number="<f8")
 
 
 def search(queries: DataFrame, index: Index, probes: int, rerank: int, k: int = 10) -> DataFrame:
     """(qpos, gpos, score, rank): the best k of the ``rerank`` best estimates, by exact score, ties by position."""
-    near = estimates(queries, index, probes, max(rerank, k))
-    q = queries.select(F.col("pos").alias("qpos"), F.col("embedding").alias("_q"))
-    g = index.vectors.select(F.col("pos").alias("gpos"), F.col("embedding").alias("_g"))
-    exact = near.join(g, "gpos").join(q, "qpos").select("qpos", "gpos", dot("_q", "_g").alias("score"))
+    near = stored(_near(queries, index, probes), "near")
+    cut = cutoffs(near, index, probes, max(rerank, k)).withColumnRenamed("qpos", "pos")
+    sent, cells = queries.sparkSession.sparkContext.broadcast(index.model), len(index.model.centres)
+
+    def solve(left: list, rights: Iterator[list]) -> Iterator[list[np.ndarray]]:
+        own, q, asking, least, last = left[0], left[1], _asking(left[2], cells), left[3], left[4]
+        best = Best(len(own), k)
+        for cell, pos, code, v in rights:
+            ask = np.flatnonzero(asking[:, cell.as_py()])
+            e = _estimates(q[ask], sent.value, cell.as_py(), code)
+            a, b = np.nonzero((e > least[ask, None]) | ((e == least[ask, None]) & (pos[None, :] <= last[ask, None])))
+            a = ask[a]
+            score = dots(q, v, a, b)
+            enter = ~(score < best.least(slice(None))[a])
+            if enter.any():
+                best.add(a[enter], pos[b[enter]], score[enter])
+        yield best.rows(own)
+
+    asked = near.select("pos", "v", "near").join(cut, "pos")
+    found = against(asked, index.blocks, solve, "qpos long, gpos long, score double", QUERIES, condition=_asked(index, probes), number="<f8", rows=near.count())
     rank = F.row_number().over(Window.partitionBy("qpos").orderBy(F.desc("score"), "gpos"))
-    return exact.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def sweep(queries: DataFrame, index: Index, exact: DataFrame, settings: list[tuple[int, int]], k: int = 10) -> DataFrame:
@@ -203,12 +249,11 @@ def sweep(queries: DataFrame, index: Index, exact: DataFrame, settings: list[tup
     were compared and which were scored exactly.
     """
     q, total = queries.select("pos", "embedding"), F.lit(max(1, index.rows))
-    size = index.codes.groupBy("cell").agg(F.count("*").alias("size"))
-    want, out = exact.select("qpos", "gpos"), None
+    want, out = stored(exact.select("qpos", "gpos"), "exact"), None
     for probes, rerank in settings:
         found = search(q, index, probes, rerank, k).select("qpos", "gpos", F.lit(1).alias("hit"))
         hits = want.join(found, ["qpos", "gpos"], "left").groupBy("qpos").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("r"))
-        cost = _probed(q, index.model, probes).join(F.broadcast(size), "cell").groupBy("qpos").agg(F.sum("size").alias("compared"))
+        cost = _near(q, index, probes).select(F.col("pos").alias("qpos"), "compared")
         row = hits.join(cost, "qpos").agg(F.count("*").alias("n"), F.avg("r").alias("recall"), (F.avg("compared") / total).alias("compared"), (F.avg(F.least("compared", F.lit(max(rerank, k)))) / total).alias("scored"))
         row = row.select(F.lit(probes).alias("probes"), F.lit(rerank).alias("rerank"), "*")
         out = row if out is None else out.unionByName(row)
