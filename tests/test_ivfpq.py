@@ -92,3 +92,44 @@ def test_what_a_search_passes_on_does_not_go_with_the_rerank(spark, index, monke
         c = cut[row["pos"]]
         assert row["compared"] == len(e)
         assert sum(v > c["least"] or (v == c["least"] and p <= c["last"]) for p, v in e.items()) == pytest.approx(min(150, len(e)), abs=1)
+
+
+@pytest.mark.parametrize("rounds", [0, 4])  # a task for the whole index, and pieces
+def test_settings_that_are_searched_together_are_a_plain_model_s(spark, tmp_path, monkeypatch, rounds):
+    monkeypatch.setattr(ivfpq, "QUERIES", 5)
+    monkeypatch.setattr(ivfpq, "ROUNDS", rounds)
+    x = np.repeat(clustered(300, 20, 5), 3, axis=0)[:899]  # copies, so that re-ranks end among equal estimates
+    ix = ivfpq.build(frame(spark, x), f"file://{tmp_path}/ix", cells=16)
+    q = clustered(12, 20, 6)
+    settings = [(3, 31), (16, 40), (7, 40), (16, 899), (16, 11), (7, 40)]
+    model, rounded = ivfpq._rounded_model(ix.model), ivfpq._rounded_queries(q.astype(float))
+    cell, code = (np.array(c) for c in zip(*[(r["cell"], list(r["code"])) for r in ix.codes.orderBy("pos").collect()], strict=True))
+    rows = np.concatenate([w[code[:, p]] for p, w in enumerate(model.words)], axis=1)[:, :20] + model.centres[cell]
+    e, score = (rounded @ rows.T).astype(np.float32), q.astype(float) @ x.astype(float).T
+    places = np.argsort(np.argsort(-(rounded @ model.centres.T), axis=1, kind="stable"), axis=1)
+    want = set()
+    for s, (probes, rerank) in enumerate(settings):
+        for i in range(len(q)):
+            there = np.flatnonzero(places[i, cell] < probes)
+            there = there[np.lexsort((there, -e[i, there]))][:rerank]
+            there = there[np.lexsort((there, -np.round(score[i, there], 12)))][:10]
+            want |= {(s, i, int(g), r + 1) for r, g in enumerate(there)}
+    d = frame(spark, q)
+    assert {(r["setting"], r["qpos"], r["gpos"], r["rank"]) for r in ivfpq.searches(d, ix, settings).collect()} == want
+    alone = {(r["qpos"], r["gpos"], r["rank"]) for r in ivfpq.search(d, ix, 7, 40).collect()}
+    assert alone == {x[1:] for x in want if x[0] == 2}
+
+
+def test_a_sweep_reads_the_index_as_often_for_many_settings_as_for_one(spark, index):
+    x, ix = index
+    d = frame(spark, clustered(9, 20, 7))
+    best = ranking.top_k(d, frame(spark, x)).localCheckpoint()
+    times = [ivfpq.sweep(d, ix, best, s)._jdf.queryExecution().executedPlan().toString().count("CartesianProduct") for s in ([(8, 100)], [(2, 50), (8, 100), (32, 100), (32, 150)])]
+    assert times[0] == times[1] > 0
+
+
+def test_a_sweep_of_no_queries(spark, index):
+    x, ix = index
+    d = frame(spark, clustered(9, 20, 7))
+    none = ivfpq.sweep(d.where("pos < 0"), ix, ranking.top_k(d, frame(spark, x)), [(2, 50), (32, 100)]).orderBy("probes").collect()
+    assert [(r["probes"], r["rerank"], r["n"], r["recall"]) for r in none] == [(2, 50, 0, None), (32, 100, 0, None)]

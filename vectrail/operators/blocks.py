@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StructField, StructType
 
 from vectrail.sources.shared import stored
@@ -21,7 +22,7 @@ from vectrail.sources.shared import stored
 #: Rows of a block; pieces of the gallery per core where few blocks of queries would leave cores idle.
 BLOCK, WAVES = 4096, 8
 #: Rows of queries that are scored at once; pairs whose exact score is summed at once.
-STEP, PAIRS = 512, 8192
+STEP, PAIRS = 512, 2048
 #: No position.
 NONE = np.iinfo(np.int64).max
 
@@ -106,6 +107,9 @@ def against(queries: DataFrame, gallery: DataFrame, solve: Solve, schema: str, s
     q = packed(queries.repartition(blocks), None).toDF(*[f"q_{c}" for c in own])
     g = g.hint("shuffle_replicate_nl")
     both = g.crossJoin(q) if condition is None else g.join(q, condition)
+    # a task has one block of queries, which only its first row takes along to Python
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    both = both.select(*names, *[F.when(first, F.col(c)).alias(c) for c in q.columns])
     out = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,15 +174,27 @@ def _length(v: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(x), x, 0.0)
 
 
+def hits(there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a matrix that hold, as nonzero gives them; quicker where few rows have any."""
+    some = np.flatnonzero(there.any(axis=1))
+    i, j = np.nonzero(there[some])
+    return some[i], j
+
+
+def room(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """What products in single precision of each query with any row, and their sums in any order, can be off: two sums of d products differ by at most 2 d 2**-24 times both lengths."""
+    return 1.01 * (2 * q.shape[1] + 16) * 2.0**-24 * _length(q) * _length(rows).max(initial=0.0) + 1e-36
+
+
 def add_best(best: Best, q: np.ndarray, pos: np.ndarray, rows: np.ndarray) -> None:
     """Adds a block of the gallery to what is best.
 
-    Products in single precision leave out pairs that can't enter: two sums of d products in whatever order differ by at most
-    2 d 2**-24 times both lengths. The others are summed from the first dimension to the last, so equal vectors have equal scores.
+    Products in single precision leave out pairs that can't enter. The others are summed from the first dimension to the last, so
+    equal vectors have equal scores.
     """
     with np.errstate(all="ignore"):
         single, k = rows.astype(np.float32).T, best.k
-        room = 1.01 * (2 * q.shape[1] + 16) * 2.0**-24 * _length(q) * _length(rows).max(initial=0.0) + 1e-36
+        spare = room(q, rows)
         for i in range(0, len(q), STEP):
             at = slice(i, i + STEP)
             near = q[at].astype(np.float32) @ single
@@ -186,8 +202,8 @@ def add_best(best: Best, q: np.ndarray, pos: np.ndarray, rows: np.ndarray) -> No
             least = best.least(at)
             if np.isneginf(least).any() and near.shape[1] > k:
                 known = np.where(odd, -np.inf, near) if odd.any() else near
-                least = np.maximum(least, np.partition(known, near.shape[1] - k, axis=1)[:, near.shape[1] - k].astype(float) - room[at])
-            least = np.nextafter((least - room[at]).astype(np.float32), np.float32(-np.inf))
-            a, b = np.nonzero((near >= least[:, None]) | odd)
+                least = np.maximum(least, np.partition(known, near.shape[1] - k, axis=1)[:, near.shape[1] - k].astype(float) - spare[at])
+            least = np.nextafter((least - spare[at]).astype(np.float32), np.float32(-np.inf))
+            a, b = hits((near >= least[:, None]) | odd)
             if len(a):
                 best.add(a + i, pos[b], dots(q[at], rows, a, b).astype(float))

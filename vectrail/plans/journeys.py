@@ -135,7 +135,7 @@ def ann_search(spark, sf):
 
 
 def ann_sweep(spark, sf):
-    """Recall of the first ten, share of rows compared by code and scored exactly, for growing probes and re-ranks.
+    """Recall of the first ten, share of rows compared by code and re-ranked, for growing probes and re-ranks.
 
     These vectors hardly cluster, so that few cells find few of the neighbours; the last setting is that of ``ann_search``.
     """
